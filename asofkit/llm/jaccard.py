@@ -22,6 +22,7 @@ ids are ignored when the smallest id is taken; empty tables give empty results;
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -33,6 +34,7 @@ from asofkit.llm.common import cut, work_table
 from asofkit.llm.text_kernel import mix64, scan_words, slices, sort_within_rows
 
 BITMAP_BYTES = 64
+TILES_PER_PART = 2_500_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +119,14 @@ def bitmaps(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return np.concatenate((sizes.astype(np.int64)[:, None].view(np.uint8), bits), axis=1)
 
 
-def class_table(docs: DataFrame, shingle: int, threshold: Fraction, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: ``doc_id, text_key, cls, n_shingles, bitmap, tiles``. ``cls`` is a digest of the set."""
+def class_digests(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    digest = np.zeros(len(sizes), dtype=np.uint64)
+    np.add.at(digest, rows, mix64(values ^ np.uint64(0xA0761D6478BD642F)))
+    return mix64(digest + sizes.astype(np.uint64)).astype(np.int64)
+
+
+def class_table(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: ``doc_id, text_key, cls, n_shingles, bitmap``. ``cls`` is a digest of the set."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def build(batches):
@@ -126,21 +134,54 @@ def class_table(docs: DataFrame, shingle: int, threshold: Fraction, id_col: str,
             for batch in slices(whole, "text"):
                 rows, values = shingle_sets(batch.column("text"), shingle)
                 sizes = np.bincount(rows, minlength=batch.num_rows).astype(np.int64)
-                digest = np.zeros(batch.num_rows, dtype=np.uint64)
-                np.add.at(digest, rows, mix64(values ^ np.uint64(0xA0761D6478BD642F)))
-                cls = mix64(digest + sizes.astype(np.uint64)).astype(np.int64)
-                row, tile = tiles_of(rows, values, sizes, threshold)
-                order = np.argsort(row, kind="stable")
-                edge = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32)
-                tiles = pa.ListArray.from_arrays(pa.array(edge), pa.array(tile[order].astype(np.int64)))
-                maps = bitmaps(rows, values, sizes)
+                cls, maps = class_digests(rows, values, sizes), bitmaps(rows, values, sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text_key"), pa.array(np.where(sizes > 0, cls, 0), mask=sizes == 0), pa.array(sizes), pa.array([m.tobytes() for m in maps], pa.binary()), tiles],
-                    ["doc_id", "text_key", "cls", "n_shingles", "bitmap", "tiles"],
+                    [batch.column("doc_id"), batch.column("text_key"), pa.array(np.where(sizes > 0, cls, 0), mask=sizes == 0), pa.array(sizes), pa.array([m.tobytes() for m in maps], pa.binary())],
+                    ["doc_id", "text_key", "cls", "n_shingles", "bitmap"],
                 )
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_key"))
-    return source.mapInArrow(build, f"doc_id {kind}, text_key bigint, cls bigint, n_shingles bigint, bitmap binary, tiles array<bigint>")
+    return source.mapInArrow(build, f"doc_id {kind}, text_key bigint, cls bigint, n_shingles bigint, bitmap binary")
+
+
+def shared_tiles(docs: DataFrame, shingle: int, threshold: Fraction, n_parts: int, text_col: str) -> DataFrame:
+    """``tile, cls, least`` for the members of all tiles with several classes; ``least`` is the tile's smallest class.
+
+    Tiles travel once, packed by part: a row holds the tiles and classes of a whole slice of texts for one part.
+    """
+
+    def deal(batches):
+        for whole in batches:
+            for batch in slices(whole, "text", 8 << 20):
+                rows, values = shingle_sets(batch.column("text"), shingle)
+                sizes = np.bincount(rows, minlength=batch.num_rows).astype(np.int64)
+                cls = class_digests(rows, values, sizes)
+                one = np.zeros(batch.num_rows, dtype=bool)  # copies within the slice send their tiles once
+                one[np.unique(cls, return_index=True)[1]] = True
+                keep = one[rows]
+                row, tile = tiles_of(rows[keep], values[keep], np.where(one, sizes, 0), threshold)
+                part = (mix64(tile) % np.uint64(n_parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                edge = np.searchsorted(part[order], np.arange(n_parts + 1))
+                tile, member = tile[order], cls[row[order]]
+                used = np.flatnonzero(np.diff(edge))
+                cut_ = lambda a: pa.array([a[edge[p] : edge[p + 1]].tobytes() for p in used], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), cut_(tile), cut_(member)], ["part", "tiles", "classes"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        tile = np.frombuffer(b"".join(table.column("tiles").to_pylist()), dtype=np.int64)
+        cls = np.frombuffer(b"".join(table.column("classes").to_pylist()), dtype=np.int64)
+        order = np.argsort(tile)
+        tile, cls = tile[order], cls[order]
+        begin = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+        length = np.diff(np.concatenate((begin, [len(tile)])))
+        low, high = np.minimum.reduceat(cls, begin), np.maximum.reduceat(cls, begin)
+        several = np.repeat(low != high, length)
+        least = np.repeat(low, length)
+        return pa.table({"tile": tile[several], "cls": cls[several], "least": least[several]})
+
+    packs = docs.select(F.col(text_col).alias("text")).mapInArrow(deal, "part int, tiles binary, classes binary")
+    return packs.groupBy("part").applyInArrow(meet, "tile bigint, cls bigint, least bigint").distinct()
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -259,10 +300,10 @@ def _late_candidates(shared: DataFrame, labels: DataFrame, classes: DataFrame, t
 def link_classes(docs: DataFrame, shingle: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(one row per document: doc_id, text_key, cls, n_shingles; one row per linked class: cls, component)."""
     threshold = Fraction(str(threshold))
-    rows = work_table(class_table(docs, shingle, threshold, id_col, text_col), "sets")
-    tiles = rows.filter("cls is not null").select(F.explode("tiles").alias("tile"), "cls")
-    stars = tiles.groupBy("tile").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).filter("least <> most").select("tile", "least")
-    shared = cut(tiles.join(stars, "tile").distinct())
+    rows = work_table(class_table(docs, shingle, id_col, text_col), "sets")
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    tiles = total * 4.4 * (1 - threshold) / (1 + threshold)  # about as many: two bands of d + 1 slices for each set
+    shared = cut(shared_tiles(docs, shingle, threshold, max(24, math.ceil(tiles / TILES_PER_PART)), text_col))
     candidates = shared.select("cls").distinct()
     classes = cut(rows.join(candidates, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("m"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap")))
     sets = work_table(set_table(docs, classes.select("cls", "m.doc_id", "m.text_key"), shingle, id_col, text_col), "arrays")
