@@ -18,13 +18,14 @@ usable label all scores are 0. Ties cannot arise. Extra columns are kept by ``dr
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from asofkit.llm.common import cut
+
 MOST_LABELS = 8_000
 MOST_FEATURES = 60_000
 THRESHOLD = 0.3
@@ -71,41 +72,27 @@ class NoisyOr:
         return float(-np.expm1(-total))
 
 
-def _sparse(texts: list[str], toxic: np.ndarray, most_features: int, least_docs: int):
-    """Feature names and, for all sentences in a row, their features and their document."""
-    in_docs: Counter = Counter()
-    parsed = []
-    for text in texts:
-        sentences = [sentence_features(s) for s in _SENTENCE.findall((text or "").lower())]
-        parsed.append(sentences)
-        in_docs.update(set().union(*sentences) if sentences else ())
-    positive: Counter = Counter()
-    for sentences, y in zip(parsed, toxic):
-        if y:
-            positive.update(set().union(*sentences) if sentences else ())
-    rate = max(float(toxic.mean()), 1e-6)
-    # what leans towards toxic documents comes first: by the normal deviate of its share of toxic documents
-    deviate = {f: (positive[f] - n * rate) / (n * rate * (1 - rate) + 1) ** 0.5 for f, n in in_docs.items() if n >= least_docs}
-    names = sorted(deviate, key=lambda f: (-abs(deviate[f]), f))[:most_features]
-    number = {f: i for i, f in enumerate(names)}
-    feature, sentence, document = [], [], []
-    for d, sentences in enumerate(parsed):
-        for s in sentences:
-            known = [number[f] for f in s if f in number]
-            feature.extend(known)
-            sentence.extend([len(document)] * len(known))
-            document.append(d)
-    return names, np.asarray(feature, np.int64), np.asarray(sentence, np.int64), np.asarray(document, np.int64)
-
-
-def fit_noisy_or(texts: list[str], labels: list[int], *, most_features: int = MOST_FEATURES, least_docs: int = 5, steps: int = 120, prior: float = 0.03) -> NoisyOr:
+def encode(text: str | None, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the known features of all sentences in a row, how many each sentence has)."""
+    flat, lengths = [], []
+    for sentence in _SENTENCE.findall((text or "").lower()):
+        known = [number[f] for f in sentence_features(sentence) if f in number]
+        flat.extend(known)
+        lengths.append(len(known))
+    return np.asarray(flat, np.int32), np.asarray(lengths, np.int32)
+
+
+def fit_noisy_or(names: list[str], encoded: list[tuple[np.ndarray, np.ndarray]], labels: list[int], *, steps: int = 120, prior: float = 0.03) -> NoisyOr:
     """Full-batch Adam on the noisy-or likelihood, in sparse numpy arrays; small weights are cut to zero at the end."""
     y = np.asarray(labels, dtype=np.float64)
     if not len(y) or y.sum() == 0:
         return NoisyOr({}, -60.0)
-    names, feature, sentence, document = _sparse(texts, y, most_features, least_docs)
-    l1 = l2 = max(2e-5, prior / len(texts))  # a prior counts for less the more documents there are
-    n_docs, n_sentences, n = len(texts), max(len(document), 1), len(names)
+    feature = np.concatenate([f for f, _ in encoded])
+    lengths = np.concatenate([n for _, n in encoded])
+    sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    document = np.repeat(np.arange(len(encoded), dtype=np.int32), [len(n) for _, n in encoded])
+    l1 = l2 = max(2e-5, prior / len(y))  # a prior counts for less the more documents there are
+    n_docs, n_sentences, n = len(y), max(len(document), 1), len(names)
     w = np.zeros(n + 1)
     w[n] = np.log(max(y.mean(), 1e-4) / max(1.0, n_sentences / n_docs) / 4)
     m, v = np.zeros(n + 1), np.zeros(n + 1)
@@ -132,13 +119,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from, most_labels:
 
 
 def train_toxicity(
-    docs: DataFrame, labels: DataFrame, *, learn_from=lambda c: F.lit(True), most_labels: int = MOST_LABELS, most_features: int = MOST_FEATURES,
+    docs: DataFrame, labels: DataFrame, *, learn_from=lambda c: F.lit(True), most_labels: int = MOST_LABELS, most_features: int = MOST_FEATURES, least_docs: int = 5,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id",
 ) -> NoisyOr:
-    """Fit on the bounded sample. It reaches the driver in pieces of whole texts, and only its features are kept."""
-    sample = labelled_sample(docs, labels, learn_from, most_labels, id_col=id_col, text_col=text_col, label_col=label_col, label_id=label_id)
-    got = sorted(((r["__id"], r["text"], r["y"]) for r in sample.toLocalIterator()), key=lambda r: str(r[0]))
-    return fit_noisy_or([r[1] for r in got], [r[2] for r in got], most_features=most_features)
+    """Fit on the bounded sample. Features are chosen and texts encoded on Spark; the driver gets numbers only."""
+    sample = cut(labelled_sample(docs, labels, learn_from, most_labels, id_col=id_col, text_col=text_col, label_col=label_col, label_id=label_id))
+    n, positive = sample.agg(F.count(F.lit(1)), F.sum("y")).first()
+    if not n or not positive:
+        return NoisyOr({}, -60.0)
+
+    def features(batches):
+        for batch in batches:
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
+                seen = sorted(set().union(*[sentence_features(s) for s in _SENTENCE.findall((text or "").lower())], set()))
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([y] * len(seen), pa.int32())], ["f", "y"])
+
+    # the features whose share of toxic documents is furthest from the rate, as a normal deviate
+    rate = positive / n
+    counted = sample.select("text", "y").mapInArrow(features, "f string, y int").groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).filter(F.col("n") >= least_docs)
+    deviate = F.abs((F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)) + 1))
+    names = [r["f"] for r in counted.orderBy(deviate.desc(), "f").limit(most_features).select("f").collect()]
+    number = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def encoded(batches):
+        for batch in batches:
+            rows = [encode(t, number.value) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("y"), *[pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (0, 1)]], ["id", "y", "f", "n"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    got = sample.mapInArrow(encoded, f"id {kind}, y int, f binary, n binary").orderBy("id").collect()
+    return fit_noisy_or(names, [(np.frombuffer(r["f"], np.int32), np.frombuffer(r["n"], np.int32)) for r in got], [r["y"] for r in got])
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr, *, id_col: str = "doc_id", text_col: str = "text", locate: float | None = 0.3) -> DataFrame:
