@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from asofkit.plans import market
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (market,):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
