@@ -29,7 +29,7 @@ def norm_cdf(x) -> Column:
 def bs_price(cp, spot, strike, total_vol) -> Column:
     """Black-Scholes price without rates; ``total_vol`` is sigma * sqrt(T). Without volatility it is the intrinsic value; puts by parity."""
     spot, strike, v = _c(spot), _c(strike), _c(total_vol)
-    d1 = F.try_divide(F.ln(spot / strike), v) + v / 2
+    d1 = F.try_divide(F.ln(F.try_divide(spot, strike)), v) + v / 2
     call = spot * norm_cdf(d1) - strike * norm_cdf(d1 - v)
     call = F.when(v > 0, call).otherwise(F.greatest(spot - strike, F.lit(0.0)))
     return F.when(_c(cp) == "C", call).otherwise(call - spot + strike)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from asofkit.plans import market
+from asofkit.plans import market, research
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (market,):
+for _module in (market, research):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
