@@ -5,9 +5,9 @@ Tokens are the lower-cased words of a text and one end token. The model mixes ma
     p(w)     = m * c(w) / N + (1 - m) / (V + 1)
     p(w | v) = k[b] * c(v, w) / c(v) + (1 - k[b]) * p(w),      b = bucket of the context frequency c(v), by powers of two
 
-The weights m and k[b] are learned by expectation-maximisation on held-out counts in the sense of deleted estimation: each training
-token in turn is held out, so the estimates that explain it are (c - 1) / (n - 1). All training tokens take
-part, through exact counts of counts (m) and a histogram of likelihood ratios per bucket (k).
+The weights m and k[b] are learned by expectation-maximisation on held-out counts, by deleted estimation: each training token in turn
+is held out, so the estimates that explain it are (c - 1) / (n - 1). All training tokens take part, through counts of
+counts (m) and a histogram of likelihood ratios per bucket (k).
 
 How it runs. Texts are scanned in slices of some megabytes. Unigram counts are added up by Spark. The most frequent words
 (at most ``MOST_HEAD``, a size bound) and their counts are sent to all tasks. Every token then travels once, packed with
@@ -33,7 +33,7 @@ from asofkit.llm.common import cut, work_table
 from asofkit.llm.text_kernel import mix64, scan_words, slices
 
 MOST_HEAD = 65_000
-TOKENS_PER_PART = 3_000_000
+TOKENS_PER_PART = 2_000_000
 SLICE = 8 << 20
 SLICE_DOCS = 32_000
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
@@ -355,8 +355,16 @@ def score_texts(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_c
     coarse = F.when(F.col("c") < 4096, F.col("c")).otherwise(4096 + F.floor(F.log2("c") * 64))
     shape = counts.groupBy(coarse.alias("g")).agg(F.avg("c").alias("c"), F.count(F.lit(1)).alias("words")).collect()  # at most 4096 + 64 * 64 rows
     m = learn_unigram_weight([(r["c"], r["words"]) for r in shape], n, v)
-    head = counts.orderBy(F.col("c").desc(), "w").limit(min(most_head, MOST_HEAD)).collect()
-    starts = next((r["c"] for r in head if r["w"] == int(np.int64(END.view(np.int64)))), 0)  # as many starts as ends
+    # the head: all words from a count on, with the count so high that they are few enough
+    least, words = None, 0
+    for r in sorted(shape, key=lambda r: -r["g"]):
+        words += r["words"]
+        if words > min(most_head, MOST_HEAD):
+            break
+        least = r["g"]
+    end = F.col("w") == int(END.view(np.int64))
+    head = counts.filter(end if least is None else end | (coarse >= least)).collect()
+    starts = next((r["c"] for r in head if r["w"] == int(END.view(np.int64))), 0)  # as many starts as ends
     words = np.asarray([r["w"] for r in head], dtype=np.int64).view(np.uint64)
     known = Model(n, v, m, np.concatenate((words, [START])), np.asarray([*(r["c"] for r in head), starts], dtype=np.int64))
     model = spark.sparkContext.broadcast(known)
