@@ -36,7 +36,7 @@ def work_table(df: DataFrame, name: str, partition_by: str | None = None) -> Dat
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # the schema is given, as an empty table may have no file
 
 
 def held_out(doc_id: Column | str, modulus: int, remainder: int) -> Column:
