@@ -4,8 +4,8 @@ A document is the set of its hashed shingles. Documents of equal sets form one c
 
 *Tiles.* Sizes are cut into bands so wide that a linked pair lies in one band or in two neighbouring ones. In a band of
 sets up to u shingles, linked sets differ in at most d = floor(2u(1-t)/(1+t)) shingles, so if the shingles are dealt by
-hash into d + 1 slices, one slice at least is equal in both. A tile is (band, slice, digest of the slice's shingles): any
-linked pair shares a tile, and hardly any other pair does.
+hash into m > d slices, m - d slices at least are equal in both. A tile is (band, slice, digest of the slice's shingles):
+any linked pair shares a tile that is not empty, and hardly any other pair does.
 
 *Links.* In every tile the members are compared with the smallest member only (a star), first by bitmaps: two rows of
 512 hashed bits bound the overlap from above, because every bit set in one but not in the other stands for at least
@@ -73,17 +73,34 @@ def band_edges(threshold: Fraction, most: int) -> np.ndarray:
     return np.asarray(edges, dtype=np.int64)
 
 
-def slices_of_band(threshold: Fraction, edges: np.ndarray) -> np.ndarray:
-    """Number of slices of each band: one more than linked sets up to the band's largest size can differ."""
-    return np.asarray([int(2 * (int(u) - 1) * (1 - threshold) / (1 + threshold)) + 1 for u in edges[1:]], dtype=np.int64)
+def slices_of_band(threshold: Fraction, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of slices, most differences d) of each band.
+
+    With d + 1 slices one is equal. A few more are dealt, so that more are equal than a set is likely to have empty
+    slices: then an equal slice that is not empty exists, and empty ones need no tile.
+    """
+    n_slices, most = [], []
+    for k, upper in enumerate(edges[1:]):
+        d = int(2 * (int(upper) - 1) * (1 - threshold) / (1 + threshold))
+        smallest, m = int(edges[max(k - 1, 0)]), d + 1
+        for _ in range(8):
+            empty = m * math.exp(-smallest / m)
+            m = d + 1 + math.ceil(empty + 4 * math.sqrt(empty))
+        n_slices.append(m if m <= 1.5 * (d + 1) else d + 1)
+        most.append(d)
+    return np.asarray(n_slices, dtype=np.int64), np.asarray(most, dtype=np.int64)
 
 
 def tiles_of(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(row, tile) for the own and the next band of every set that has shingles."""
+    """(row, tile) for the own and the next band of every set that has shingles.
+
+    Of m slices of a linked pair at least m - d are equal. A set with fewer than m - d empty slices shares a slice that is
+    not empty with each partner, and sends only those; other sets send all, and so meet each other in any case.
+    """
     if not len(values):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     edges = band_edges(threshold, int(sizes.max()) * 2)
-    n_slices = slices_of_band(threshold, edges)
+    n_slices, most = slices_of_band(threshold, edges)
     band = np.searchsorted(edges, np.maximum(sizes, 1), side="right") - 1
     out_row, out_tile = [], []
     dealt = mix64(values ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)
@@ -94,11 +111,14 @@ def tiles_of(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, threshold:
         slot = edge[rows] + (dealt % m[rows].astype(np.uint64)).astype(np.int64)
         digest = np.zeros(edge[-1], dtype=np.uint64)
         np.add.at(digest, slot, mix64(values))
+        empty = np.bincount(slot, minlength=edge[-1]) == 0
         row = np.repeat(np.arange(len(sizes)), m)
         place = np.arange(edge[-1]) - edge[row]
         tag = mix64((k[row].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + np.uint64(1))
-        out_row.append(row)
-        out_tile.append(mix64(digest ^ tag))
+        all_sent = np.bincount(row[empty], minlength=len(sizes)) >= m - most[k]
+        send = ~empty | all_sent[row]
+        out_row.append(row[send])
+        out_tile.append(mix64(digest ^ tag)[send])
     return np.concatenate(out_row), np.concatenate(out_tile)
 
 
