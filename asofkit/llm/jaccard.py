@@ -204,19 +204,43 @@ def shared_tiles(docs: DataFrame, shingle: int, threshold: Fraction, n_parts: in
     return packs.groupBy("part").applyInArrow(meet, "tile bigint, cls bigint, least bigint").distinct()
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``cls, shingles`` (sorted 64-bit hashes as bytes) for ``wanted`` (one member of each class: cls, doc_id, text_key)."""
+def _bloom(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (2**25 bits) of the wanted classes; full bitmaps cost time, never a class."""
+    at = F.pmod("cls", F.lit(1 << 25))
+    words = wanted.groupBy(F.shiftright(at, 5).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(1 << 20, dtype=np.uint32)
+    out[np.asarray(words.column("w"))] = np.asarray(words.column("bits")).astype(np.uint32)
+    return out
+
+
+def set_table(docs: DataFrame, wanted: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """``cls, shingles`` (sorted 64-bit hashes as bytes) for the classes in ``wanted`` (cls).
+
+    The texts stay where they are: tasks send the sets whose class may be wanted by the bitmap, and a join settles it.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
     def build(batches):
+        bits = sent.value
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows, values = shingle_sets(batch.column("text"), shingle)
+                sizes = np.bincount(rows, minlength=batch.num_rows).astype(np.int64)
+                cls = class_digests(rows, values, sizes)
+                at = cls % (1 << 25)
+                may = (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1
+                one = np.zeros(batch.num_rows, dtype=bool)
+                one[np.unique(cls, return_index=True)[1]] = True  # copies within the slice go once
                 edge = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([values[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())], ["cls", "shingles"])
+                use = np.flatnonzero((may > 0) & one & (sizes > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(cls[use]), pa.array([values[edge[r] : edge[r + 1]].tobytes() for r in use], pa.binary())], ["cls", "shingles"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(build, "cls bigint, shingles binary")
+    return found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+
 
-    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    found = texts.join(wanted, (texts["__id"].eqNullSafe(wanted["doc_id"])) & (texts["text_key"] == wanted["text_key"])).select("cls", "text").dropDuplicates(["cls"])
-    return found.mapInArrow(build, "cls bigint, shingles binary")
+def _classes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
 
 
 def _bitmap_filter(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
@@ -235,6 +259,7 @@ def _bitmap_filter(pairs: DataFrame, classes: DataFrame, threshold: Fraction) ->
 
 def _exact(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs (a, b) that reach the threshold, by intersection of their sorted arrays."""
+    sets = work_table(sets, "arrays")
     both = pairs.join(sets.withColumnsRenamed({"cls": "a", "shingles": "set_a"}), "a").join(sets.withColumnsRenamed({"cls": "b", "shingles": "set_b"}), "b")
 
     def check(batches):
@@ -325,13 +350,16 @@ def link_classes(docs: DataFrame, shingle: int, threshold: float, id_col: str, t
     tiles = total * 4.4 * (1 - threshold) / (1 + threshold)  # about as many: two bands of d + 1 slices for each set
     shared = cut(shared_tiles(docs, shingle, threshold, max(24, math.ceil(tiles / TILES_PER_PART)), text_col))
     candidates = shared.select("cls").distinct()
-    classes = cut(rows.join(candidates, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("m"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap")))
-    sets = work_table(set_table(docs, classes.select("cls", "m.doc_id", "m.text_key"), shingle, id_col, text_col), "arrays")
-    maps = classes.select("cls", "n_shingles", "bitmap")
+    maps = cut(rows.join(candidates, "cls", "left_semi").groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        return cut(_exact(pairs, set_table(docs, cut(_classes_of(pairs)), shingle, text_col), threshold))
+
     first = shared.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
-    links = cut(_exact(_bitmap_filter(first, maps, threshold), sets, threshold))
+    links = verified(_bitmap_filter(first, maps, threshold))
     labels = components(links)
-    late = cut(_exact(_late_candidates(shared.select("tile", "cls"), labels, maps, threshold), sets, threshold))
+    late = verified(_late_candidates(shared.select("tile", "cls"), labels, maps, threshold))
     if late.limit(1).count():
         labels = components(links.unionByName(late))
     return rows.select("doc_id", "text_key", "cls", "n_shingles"), labels
