@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from asofkit.plans import market, research
+from asofkit.plans import evaluation, market, research
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (market, research):
+for _module in (market, research, evaluation):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
