@@ -8,7 +8,7 @@ hash into m > d slices, m - d slices at least are equal in both. A tile is (band
 any linked pair shares a tile that is not empty, and hardly any other pair does.
 
 *Links.* In every tile the members are compared with the smallest member only (a star), first by bitmaps: two rows of
-512 hashed bits bound the overlap from above, because every bit set in one but not in the other stands for at least
+hashed bits, four or more for each shingle, bound the overlap from above, because every bit set in one but not in the other stands for at least
 one shingle that the other lacks. Pairs that may still reach the threshold get the exact intersection of their sorted
 arrays. Verified pairs are joined to components. Tiles whose members still belong to several components are not done:
 there, each member outside the tile's largest component is compared with all members of other components, in blocks and
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from asofkit.llm.common import cut, work_table
 from asofkit.llm.text_kernel import mix64, scan_words, slices, sort_within_rows
 
-BITMAP_BYTES = 64
+LEAST_BITS, MOST_BITS = 512, 1 << 17
 TILES_PER_PART = 2_500_000
 
 
@@ -122,21 +122,39 @@ def tiles_of(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, threshold:
     return np.concatenate(out_row), np.concatenate(out_tile)
 
 
-def may_link(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """From bitmaps (rows of bytes led by the set size as 8 bytes): can the pair reach the threshold?"""
-    size_a, size_b = (x[:, :8].copy().view(np.int64)[:, 0] for x in (a, b))
-    x, y = a[:, 8:].copy().view(np.uint64), b[:, 8:].copy().view(np.uint64)
+def may_link(size_a: np.ndarray, a: np.ndarray, size_b: np.ndarray, b: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """From bitmaps of one width (rows of bytes): can the pair reach the threshold?"""
+    x, y = a.view(np.uint64), b.view(np.uint64)
     only_a = np.bitwise_count(x & ~y).sum(axis=1).astype(np.int64)
     only_b = np.bitwise_count(y & ~x).sum(axis=1).astype(np.int64)
     overlap = np.minimum(size_a - only_a, size_b - only_b)
     return overlap * threshold.denominator >= threshold.numerator * (size_a + size_b - overlap)
 
 
-def bitmaps(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    bits = np.zeros((len(sizes), BITMAP_BYTES), dtype=np.uint8)
-    place = (mix64(values + np.uint64(0x2545F4914F6CDD1D)) % np.uint64(8 * BITMAP_BYTES)).astype(np.int64)
-    np.bitwise_or.at(bits, (rows, place >> 3), (1 << (place & 7)).astype(np.uint8))
-    return np.concatenate((sizes.astype(np.int64)[:, None].view(np.uint8), bits), axis=1)
+def bitmaps(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The set size as 8 bytes, then a bitmap of four to eight bits a shingle (a power of two from 512 to 131,072)."""
+    width = np.left_shift(1, np.ceil(np.log2(np.clip(4 * sizes, LEAST_BITS, MOST_BITS))).astype(np.int64))
+    edge = np.concatenate(([0], np.cumsum(width // 8)))
+    bits = np.zeros(edge[-1], dtype=np.uint8)
+    place = (mix64(values + np.uint64(0x2545F4914F6CDD1D)) % width[rows].astype(np.uint64)).astype(np.int64)
+    np.bitwise_or.at(bits, edge[rows] + (place >> 3), (1 << (place & 7)).astype(np.uint8))
+    return [int(n).to_bytes(8, "little") + bits[edge[r] : edge[r + 1]].tobytes() for r, n in enumerate(sizes)]
+
+
+def by_width(maps: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions, set sizes, bits) of the bitmaps of each width."""
+    length = np.asarray([len(m) for m in maps], dtype=np.int64)
+    out = []
+    for n in np.unique(length):
+        at = np.flatnonzero(length == n)
+        rows = np.frombuffer(b"".join(maps[i] for i in at), dtype=np.uint8).reshape(len(at), n)
+        out.append((at, rows[:, :8].copy().view(np.int64)[:, 0], rows[:, 8:].copy()))
+    return out
+
+
+def fold(bits: np.ndarray, n_bytes: int) -> np.ndarray:
+    """Bitmaps brought to a smaller width, as if they had been made with it: bits were dealt modulo a power of two."""
+    return np.ascontiguousarray(np.bitwise_or.reduce(bits.reshape(len(bits), -1, n_bytes), axis=1))
 
 
 def class_digests(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -156,7 +174,7 @@ def class_table(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Da
                 sizes = np.bincount(rows, minlength=batch.num_rows).astype(np.int64)
                 cls, maps = class_digests(rows, values, sizes), bitmaps(rows, values, sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text_key"), pa.array(np.where(sizes > 0, cls, 0), mask=sizes == 0), pa.array(sizes), pa.array([m.tobytes() for m in maps], pa.binary())],
+                    [batch.column("doc_id"), batch.column("text_key"), pa.array(np.where(sizes > 0, cls, 0), mask=sizes == 0), pa.array(sizes), pa.array(maps, pa.binary())],
                     ["doc_id", "text_key", "cls", "n_shingles", "bitmap"],
                 )
 
@@ -250,9 +268,13 @@ def _bitmap_filter(pairs: DataFrame, classes: DataFrame, threshold: Fraction) ->
 
     def check(batches):
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("map_a", "map_b"))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(may_link(a, b, threshold)))
+            ok = np.zeros(batch.num_rows, dtype=bool)
+            maps_a, maps_b = (batch.column(c).to_pylist() for c in ("map_a", "map_b"))
+            for at, size_a, bits_a in by_width(maps_a):
+                for k, size_b, bits_b in by_width([maps_b[i] for i in at]):
+                    n = min(bits_a.shape[1], bits_b.shape[1])
+                    ok[at[k]] = may_link(size_a[k], fold(bits_a[k], n), size_b, fold(bits_b, n), threshold)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     return both.select("a", "b", "map_a", "map_b").mapInArrow(check, "a bigint, b bigint")
 
@@ -326,15 +348,19 @@ def _late_candidates(shared: DataFrame, labels: DataFrame, classes: DataFrame, t
                 p, q = p.values, q.values
                 get = lambda m, f: np.asarray(m.field(f).to_numpy(zero_copy_only=False))
                 pc, qc, pl, ql, po, qo = get(p, "cls"), get(q, "cls"), get(p, "label"), get(q, "label"), get(p, "outside"), get(q, "outside")
-                pm, qm = (np.frombuffer(b"".join(m.field("bitmap").to_pylist()), dtype=np.uint8).reshape(len(m), -1) for m in (p, q))
+                pw, qw = (by_width(m.field("bitmap").to_pylist()) for m in (p, q))
                 a, b = [], []
-                for i in range(len(pc)):
-                    on = np.flatnonzero((pl[i] != ql) & (po[i] | qo))
-                    on = on[on > i] if same else on
-                    if len(on):
-                        on = on[may_link(np.repeat(pm[i : i + 1], len(on), axis=0), qm[on], threshold)]
-                        a.append(np.full(len(on), pc[i]))
-                        b.append(qc[on])
+                for pi, ps, pb in pw:
+                    for qi, qs, qb in qw:
+                        n = min(pb.shape[1], qb.shape[1])
+                        x, y = fold(pb, n), fold(qb, n)
+                        for k, i in enumerate(pi):
+                            on = (pl[i] != ql[qi]) & (po[i] | qo[qi])
+                            on = np.flatnonzero(on & (qi > i) if same else on)
+                            if len(on):
+                                on = on[may_link(ps[k], x[k : k + 1], qs[on], y[on], threshold)]
+                                a.append(np.full(len(on), pc[i]))
+                                b.append(qc[qi[on]])
                 if a:
                     a, b = np.concatenate(a), np.concatenate(b)
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
