@@ -208,17 +208,18 @@ def win33_turnover_costs(spark, d):
     return _arm(spark, d).withColumns({"base": F.round("base", 8), "elevated": F.round("elevated", 8)})
 
 
-@query(with_sql("daily") + WEEKS + """, e AS (SELECT *, exp(sum(ln(1 + base)) OVER (PARTITION BY symbol ORDER BY week)) AS eq FROM arm),
+@query(with_sql("daily") + WEEKS + """, e AS (SELECT *, exp(sum(ln(greatest(1 + base, 1e-6))) OVER (PARTITION BY symbol ORDER BY week)) AS eq FROM arm),
 f AS (SELECT *, 1 - eq / greatest(1, max(eq) OVER (PARTITION BY symbol ORDER BY week)) AS dd FROM e)
-SELECT symbol, count(*) AS periods, round(exp(sum(ln(1 + base))) - 1, 6) AS total, round(avg(base) / stddev_samp(base) * sqrt(52), 6) AS sharpe, round(avg(base) / stddev_samp(base) * sqrt(count(*)), 6) AS t_stat,
+SELECT symbol, count(*) AS periods, round(exp(sum(ln(greatest(1 + base, 1e-6)))) - 1, 6) AS total, round(avg(base) / stddev_samp(base) * sqrt(52), 6) AS sharpe, round(avg(base) / stddev_samp(base) * sqrt(count(*)), 6) AS t_stat,
 round(max(dd), 6) AS max_drawdown, round(avg(CASE WHEN pos <> 0 THEN CAST(base > 0 AS INTEGER) END), 6) AS hit_rate, round(avg(CAST(pos <> 0 AS INTEGER)), 6) AS in_market, round(sum(base - elevated), 6) AS costs FROM f GROUP BY 1""")
 def agg26_arm_metrics(spark, d):
+    """A period can lose all but a millionth of the equity, so that a total loss counts and is not skipped as NULL."""
     upto = series("symbol", "week").rowsBetween(W.unboundedPreceding, 0)
-    e = _arm(spark, d).withColumn("eq", F.exp(F.sum(F.log1p("base")).over(upto)))
+    e = _arm(spark, d).withColumn("eq", F.exp(F.sum(F.ln(F.greatest(1 + F.col("base"), F.lit(1e-6)))).over(upto)))
     e = e.withColumn("dd", 1 - F.col("eq") / F.greatest(F.lit(1.0), F.max("eq").over(upto)))
     ratio = F.try_divide(F.avg("base"), F.stddev_samp("base"))
     return e.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("periods"), r6(F.exp(F.sum(F.log1p("base"))) - 1).alias("total"), r6(ratio * F.sqrt(F.lit(52.0))).alias("sharpe"), r6(ratio * F.sqrt(F.count(F.lit(1)))).alias("t_stat"),
+        F.count(F.lit(1)).alias("periods"), r6(F.exp(F.sum(F.ln(F.greatest(1 + F.col("base"), F.lit(1e-6))))) - 1).alias("total"), r6(ratio * F.sqrt(F.lit(52.0))).alias("sharpe"), r6(ratio * F.sqrt(F.count(F.lit(1)))).alias("t_stat"),
         r6(F.max("dd")).alias("max_drawdown"), r6(F.avg(F.when(F.col("pos") != 0, (F.col("base") > 0).cast("int")))).alias("hit_rate"), r6(F.avg((F.col("pos") != 0).cast("int"))).alias("in_market"), r6(F.sum(F.col("base") - F.col("elevated"))).alias("costs"),
     )
 
