@@ -22,6 +22,7 @@ ids are ignored when the smallest id is taken; empty tables give empty results;
 
 from __future__ import annotations
 
+import functools
 import math
 from fractions import Fraction
 
@@ -330,13 +331,17 @@ def _late_candidates(shared: DataFrame, labels: DataFrame, classes: DataFrame, t
 
     Only tiles with several components count. Their members go into blocks of bounded size by set size, and blocks meet
     blocks of the same tile; the comparison is a bitmap operation inside a task, and no pair is a row before it passes.
+    A pair that shares several tiles comes from the smallest of them only: each member carries the smaller open tiles that
+    it is in, no more than its own set gave, and a pair with one of them in common is left to that tile.
     """
     named = shared.join(labels, "cls", "left").select("tile", "cls", F.coalesce("component", "cls").alias("label"))
     several = named.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tile")
     open_ = cut(named.join(several, "tile", "left_semi"))
     largest = open_.groupBy("tile", "label").count().groupBy("tile").agg(F.max(F.struct("count", "label")).alias("m")).select("tile", F.col("m.label").alias("largest"))
-    rows = open_.join(largest, "tile").join(classes, "cls").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("tile").orderBy("n_shingles", "cls")) - 1) / block))
-    member = F.struct("cls", "label", (F.col("label") != F.col("largest")).alias("outside"), "bitmap")
+    lists = open_.groupBy("cls").agg(F.collect_list("tile").alias("tiles"))
+    named = open_.join(largest, "tile").join(classes, "cls").join(lists, "cls").withColumn("earlier", F.expr("filter(tiles, x -> x < tile)")).drop("tiles")
+    rows = named.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("tile").orderBy("n_shingles", "cls")) - 1) / block))
+    member = F.struct("cls", "label", (F.col("label") != F.col("largest")).alias("outside"), "bitmap", "earlier")
     blocks = rows.groupBy("tile", "block").agg(F.collect_list(member).alias("m"), F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.max((F.col("label") != F.col("largest"))).alias("any"))
     x, y = blocks.alias("x"), blocks.alias("y")
     reach = F.col("x.hi") * threshold.denominator >= F.col("y.lo") * threshold.numerator
@@ -349,6 +354,7 @@ def _late_candidates(shared: DataFrame, labels: DataFrame, classes: DataFrame, t
                 get = lambda m, f: np.asarray(m.field(f).to_numpy(zero_copy_only=False))
                 pc, qc, pl, ql, po, qo = get(p, "cls"), get(q, "cls"), get(p, "label"), get(q, "label"), get(p, "outside"), get(q, "outside")
                 pw, qw = (by_width(m.field("bitmap").to_pylist()) for m in (p, q))
+                first = functools.cache(lambda which, k: frozenset((p, q)[which].field("earlier")[k].as_py()))  # noqa: B023
                 a, b = [], []
                 for pi, ps, pb in pw:
                     for qi, qs, qb in qw:
@@ -359,13 +365,14 @@ def _late_candidates(shared: DataFrame, labels: DataFrame, classes: DataFrame, t
                             on = np.flatnonzero(on & (qi > i) if same else on)
                             if len(on):
                                 on = on[may_link(ps[k], x[k : k + 1], qs[on], y[on], threshold)]
+                                on = on[[first(0, int(i)).isdisjoint(first(1, int(j))) for j in qi[on]]] if len(on) else on
                                 a.append(np.full(len(on), pc[i]))
                                 b.append(qc[qi[on]])
                 if a:
                     a, b = np.concatenate(a), np.concatenate(b)
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return met.mapInArrow(meet, "a bigint, b bigint").distinct()
+    return met.mapInArrow(meet, "a bigint, b bigint")
 
 
 def link_classes(docs: DataFrame, shingle: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
