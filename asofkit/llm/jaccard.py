@@ -11,8 +11,8 @@ any linked pair shares a tile that is not empty, and hardly any other pair does.
 hashed bits, four or more for each shingle, bound the overlap from above, because every bit set in one but not in the other stands for at least
 one shingle that the other lacks. Pairs that may still reach the threshold get the exact intersection of their sorted
 arrays. Verified pairs are joined to components. Tiles whose members still belong to several components are not done:
-there, each member outside the tile's largest component is compared with all members of other components, in blocks and
-in the same two steps. No link between components is lost, and pairs inside a component are never made.
+there, but for the smallest member, which met all others, each member outside the tile's largest component is compared
+with all members of other components, in blocks and in the same two steps. No link between components is lost, and pairs inside a component are never made.
 
 Defined cases: null texts and texts without words have the empty set and are linked with nothing; texts of fewer words
 than a shingle have one shingle, the whole sequence; equal sets are linked; repeated rows are members of one class; null
@@ -329,6 +329,7 @@ def components(links: DataFrame) -> DataFrame:
 def _late_candidates(shared: DataFrame, labels: DataFrame, classes: DataFrame, threshold: Fraction, block: int = 512) -> DataFrame:
     """Pairs (a, b) of different components in one tile that the bitmaps let pass.
 
+    ``shared`` leaves out the smallest class of each tile, whose pairs are done; so tiles of two classes do not come back.
     Only tiles with several components count. Their members go into blocks of bounded size by set size, and blocks meet
     blocks of the same tile; the comparison is a bitmap operation inside a task, and no pair is a row before it passes.
     A pair that shares several tiles comes from the smallest of them only: each member carries the smaller open tiles that
@@ -392,7 +393,7 @@ def link_classes(docs: DataFrame, shingle: int, threshold: float, id_col: str, t
     first = shared.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
     links = verified(_bitmap_filter(first, maps, threshold))
     labels = components(links)
-    late = verified(_late_candidates(shared.select("tile", "cls"), labels, maps, threshold))
+    late = verified(_late_candidates(shared.filter("cls <> least").select("tile", "cls"), labels, maps, threshold))
     if late.limit(1).count():
         labels = components(links.unionByName(late))
     return rows.select("doc_id", "text_key", "cls", "n_shingles"), labels
