@@ -8,8 +8,9 @@ classes of the alphabet, runs above and below the middle, and serial correlation
 a z value; the sum of squares gives one p value (chi-squared with 3 degrees of freedom, large when it looks random).
 
 Random strings have uniform p values, words have p values near 0. Within a class of lengths and encoding the share of
-random strings is read off the p values above one half, and a candidate is reported if, at its p value,
-``expected random strings / candidates`` leaves at most ``fdr`` false ones (the length classes keep short strings,
+random strings is read off the p values above one half. A cut-off is refused only if, by two standard errors, more than
+``fdr`` of the candidates above it are false ones; so a class of few candidates, whose counts say little, keeps all with p
+of 0.02 and more, and a dense one is cut by its counts (the length classes keep short strings,
 whose tests are weak, from borrowing from long ones). The counts are a histogram of fixed size, so nothing is collected.
 
 Defined cases: null texts count as empty and have no spans; overlapping base kinds are all kept; equal texts have equal
@@ -31,6 +32,8 @@ SHORTEST = {"assign": 6, "access": 20, "hex": 24}
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 BINS = 50
 FDR = 0.2
+#: Candidates below this bin (p < 0.02) are reported only where the counts show that nearly the whole class is random.
+FLOOR = 1
 
 
 def match_spans(text: Column, pattern: str, kind: str, order: int, long_enough=None) -> Column:
@@ -125,12 +128,22 @@ def _class(test: Column) -> tuple[Column, Column, Column]:
 
 
 def bin_limits(counts: DataFrame, fdr: float = FDR) -> DataFrame:
-    """Per class the lowest bin from which on candidates are reported: ``encoding, length_class, lowest``."""
-    above = Window.partitionBy("encoding", "length_class").orderBy(F.col("bin").desc())
-    whole = Window.partitionBy("encoding", "length_class")
-    c = counts.withColumn("at_least", F.sum("count").over(above)).withColumn("random", 2.0 * F.sum(F.when(F.col("bin") >= BINS // 2, F.col("count")).otherwise(0)).over(whole))
-    c = c.withColumn("expected", F.col("random") * (1 - F.col("bin") / BINS)).filter(F.col("expected") >= (1 - fdr) * F.col("at_least"))
-    return c.groupBy("encoding", "length_class").agg(F.min("bin").alias("lowest"))
+    """Per class the lowest bin from which on candidates are reported: ``encoding, length_class, lowest``.
+
+    Every bin is a possible cut-off, also one that holds no candidate. ``high`` candidates with p of one half and more
+    stand for twice as many random ones, with a standard error of at most the root of the candidates above the cut-off.
+    """
+    cutoffs = F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("cutoff")
+    c = counts.select("encoding", "length_class", "bin", "count", cutoffs).groupBy("encoding", "length_class", "cutoff").agg(
+        F.sum(F.when(F.col("bin") >= F.col("cutoff"), F.col("count")).otherwise(0)).alias("at_least"),
+        F.sum(F.when(F.col("bin") >= BINS // 2, F.col("count")).otherwise(0)).alias("high"),
+    )
+    error = F.sqrt("at_least")
+    margin = F.when(F.col("cutoff") < FLOOR, -error).otherwise(2 * error)
+    expected = (2.0 * F.col("high") + margin) * (1 - F.col("cutoff") / BINS)
+    # at one half and above all that is there counts as random
+    passes = (F.col("at_least") > 0) & ((expected >= (1 - fdr) * F.col("at_least")) | (F.col("cutoff") >= BINS // 2))
+    return c.filter(passes).groupBy("encoding", "length_class").agg(F.min("cutoff").alias("lowest"))
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:

@@ -16,7 +16,7 @@ from asofkit.llm.fm_index import FMIndex
 from asofkit.llm.jaccard import keep_representatives, link_documents
 from asofkit.llm.lm_scoring import score_texts
 from asofkit.llm.mixing import mix_sources, take_mixture
-from asofkit.llm.secrets import battery, secret_digest
+from asofkit.llm.secrets import battery, bin_limits, secret_digest
 from asofkit.llm.sharding import shard_rows
 from asofkit.llm.token_counts import scan_separators
 from asofkit.llm.toxicity import score_toxicity, train_toxicity
@@ -210,6 +210,31 @@ def test_secret_spans(spark, none):
     assert secret_digest(none).count() == 0
 
 
+def test_secrets_in_sparse_classes(spark):
+    rng = np.random.default_rng(21)
+    symbols = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    tokens_ = ["".join(rng.choice(symbols, n)) for n in (21, 24, 40, 40, 60, 90, 130)]
+    p = [r[0] for r in spark.createDataFrame([(t,) for t in tokens_], "t string").select(battery(F.col("t"))["p"]).collect()]
+    assert min(p) > 0.02 and any(x < 0.5 for x in p) and any(x > 0.62 for x in p)
+    for t in tokens_:  # each alone, as in a small table
+        text = f"see {t} and internationalizationally"
+        assert secret_digest(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()["spans"] == f"random:4:{4 + len(t)}"
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(tokens_)], "doc_id bigint, text string")
+    assert [r["spans"] for r in secret_digest(docs).orderBy("doc_id").collect()] == [f"random:4:{4 + len(t)}" for t in tokens_]
+
+
+def test_secret_limits(spark):
+    def lowest(*bins):
+        got = bin_limits(spark.createDataFrame([("x", 0, b, n) for b, n in bins], "encoding string, length_class int, bin int, count bigint")).collect()
+        return got[0]["lowest"] if got else None
+
+    assert lowest((0, 1)) is None and lowest((0, 1), (45, 1)) == 1  # a word never passes with a lone secret
+    assert lowest((45, 1)) == 0 and lowest((3, 1)) == 1  # alone, they pass wherever their p lies
+    assert lowest(*((b, 20) for b in range(50))) == 0
+    assert lowest((0, 5000), *((b, 20) for b in range(50))) == 1
+    assert lowest((1, 5000), (2, 500), *((b, 20) for b in range(50))) in (2, 3)  # many false ones: the counts decide
+
+
 def test_toxicity_learns_from_document_labels(spark, none):
     rng = np.random.default_rng(3)
     texts, labels = [], []
