@@ -2,9 +2,10 @@
 
 Base findings are pattern matches (``assign``, ``access``, ``hex``). The battery adds spans of kind ``random``: every
 free-standing run of 20 or more characters of ``[A-Za-z0-9+/_-]`` that no base finding overlaps is a candidate. Its
-encoding is inferred from its characters (hexadecimal, base32, letters and digits, base64), each symbol gets its value in
+encoding is inferred from its characters (hexadecimal, base32, letters of one or both cases with or without digits,
+base64; an '=' before a run, as in NAME=value, does not belong to it), each symbol gets its value in
 that alphabet, and three tests ask whether the symbols look drawn at random: chi-squared for uniform use of 8 equal
-classes of the alphabet, runs above and below the middle, and serial correlation of neighbours. Each test gives
+classes of the alphabet (single letters where there is one case and no digit), runs above and below the middle, and serial correlation of neighbours. Each test gives
 a z value; the sum of squares gives one p value (chi-squared with 3 degrees of freedom, large when it looks random).
 
 Random strings have uniform p values, words have p values near 0. Within a class of lengths and encoding the share of
@@ -30,6 +31,18 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 SHORTEST = {"assign": 6, "access": 20, "hex": 24}
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: From frequent to rare in texts, so that words, which favour frequent letters, fill the first classes of the alphabet.
+_OFTEN = "enitsrahulcodgmpbfvwkzyqxj"
+#: In order of trial; what fits none is base64.
+ENCODINGS = {
+    "hex": "^([0-9a-f]+|[0-9A-F]+)$", "upper": "^[A-Z]+$", "base32": "^[A-Z2-7]+$", "upper36": "^[A-Z0-9]+$", "lower": "^[a-z]+$",
+    "lower36": "^[a-z0-9]+$", "letters": "^[A-Za-z]+$", "alnum": "^[A-Za-z0-9]+$",
+}
+ALPHABETS = {
+    "hex": _DIGITS + "abcdef", "upper": _OFTEN.upper(), "base32": _UPPER + "234567", "upper36": _OFTEN.upper() + _DIGITS, "lower": _OFTEN,
+    "lower36": _OFTEN + _DIGITS, "letters": _UPPER + _LOWER, "alnum": _UPPER + _LOWER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + "+/",
+}
 BINS = 50
 FDR = 0.2
 #: Candidates below this bin (p < 0.02) are reported only where the counts show that nearly the whole class is random.
@@ -70,14 +83,12 @@ def _let(value: Column, body) -> Column:
 
 
 def symbol_values(token: Column) -> Column:
-    """struct(encoding, size of the alphabet, value of each symbol) of a token."""
-    encoding = (
-        F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+$"), "base32")
-        .when(token.rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64")
-    )
-    digits, upper, lower = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    alphabet = F.when(encoding == "hex", digits + "abcdef").when(encoding == "base32", upper + "234567").when(encoding == "alnum", upper + lower + digits).otherwise(upper + lower + digits + "+/")
-    plain = F.when(encoding == "hex", F.lower(token)).when(encoding == "base64", F.translate(token, "-_", "+/")).otherwise(token)
+    """struct(encoding, size of the alphabet, value of each symbol) of a token; the first alphabet that has all its symbols."""
+    encoding, alphabet, plain = F.lit("base64"), F.lit(ALPHABETS["base64"]), F.translate(token, "-_", "+/")
+    for name, pattern in reversed(ENCODINGS.items()):
+        fits = token.rlike(pattern)
+        encoding, alphabet = F.when(fits, name).otherwise(encoding), F.when(fits, ALPHABETS[name]).otherwise(alphabet)
+        plain = F.when(fits, F.lower(token) if name == "hex" else token).otherwise(plain)
     values = _let(alphabet, lambda a: F.transform(F.split(plain, ""), lambda c: F.instr(a, c) - 1))
     return F.struct(encoding.alias("encoding"), F.length(alphabet).cast("double").alias("m"), values.alias("v"))
 
@@ -98,22 +109,26 @@ def battery(token: Column) -> Column:
             expected = n * width / m
             seen = F.size(F.filter(v, _falls_in(m, k)))
             chi = chi + (seen - expected) * (seen - expected) / expected
+        # 26 letters of one case: each letter is a class of its own, as words repeat their letters in any language
+        squares = F.aggregate(F.sequence(F.lit(0), F.lit(25)), F.lit(0.0), lambda t, k: t + F.pow(F.size(F.filter(v, lambda x: x == k)).cast("double"), F.lit(2.0)))
+        chi = F.when(m == 26, squares * 26 / n - n).otherwise(chi)
         pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         turns = F.size(F.filter(pairs, lambda x: (x["a"] > mid) != (x["b"] > mid))) + 1.0
         cross = F.aggregate(pairs, F.lit(0.0), lambda t, x: t + (x["a"] - mid) * (x["b"] - mid))
         high = F.size(F.filter(v, lambda x: x > mid)).cast("double")
-        return F.struct(s["encoding"].alias("encoding"), n.alias("n"), m.alias("m"), chi.alias("chi2"), turns.alias("turns"), cross.alias("cross"), high.alias("high"))
+        return F.struct(s["encoding"].alias("encoding"), n.alias("n"), m.alias("m"), chi.alias("chi2"), turns.alias("turns"), cross.alias("cross"), high.alias("high"), F.when(m == 26, 25.0).otherwise(7.0).alias("freedom"))
 
     def scores(t: Column) -> Column:
         mean = 1 + 2 * t["high"] * (t["n"] - t["high"]) / t["n"]
         var = (mean - 1) * (mean - 2) / (t["n"] - 1)
         runs_z = F.when(var > 1e-9, (t["turns"] - mean) / F.sqrt(var)).otherwise(6.0)
         serial_z = t["cross"] / ((t["m"] * t["m"] - 1) / 12.0 * F.sqrt(t["n"] - 1))
-        return F.struct(t["encoding"].alias("encoding"), t["n"].cast("int").alias("n"), t["chi2"].alias("chi2"), runs_z.alias("runs_z"), serial_z.alias("serial_z"))
+        return F.struct(t["encoding"].alias("encoding"), t["n"].cast("int").alias("n"), t["chi2"].alias("chi2"), t["freedom"].alias("freedom"), runs_z.alias("runs_z"), serial_z.alias("serial_z"))
 
     def combined(z: Column) -> Column:
         # Wilson-Hilferty turns a chi-squared value into a normal deviate; the last line is a logistic normal tail
-        chi_z = (F.pow(z["chi2"] / 7, F.lit(1 / 3)) - (1 - 2 / 63)) / (2 / 63) ** 0.5
+        spread = 2 / (9 * z["freedom"])
+        chi_z = (F.pow(z["chi2"] / z["freedom"], F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
         square = F.greatest(chi_z, F.lit(0.0)) * chi_z + z["runs_z"] * z["runs_z"] + z["serial_z"] * z["serial_z"]
         deviate = (F.pow(F.greatest(square, F.lit(1e-9)) / 3, F.lit(1 / 3)) - (1 - 2 / 27)) / (2 / 27) ** 0.5
         p = _let(deviate, lambda d: 1 / (1 + F.exp(F.least(1.5976 * d + 0.070566 * d * d * d, F.lit(600.0)))))
@@ -151,7 +166,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     assign, access, hexes = base_spans(text)
     plain = lambda spans: F.transform(spans, lambda s: s.dropFields("match"))
-    runs = match_spans(text, r"(?<![A-Za-z0-9+/_=-])" + CANDIDATE + r"(?![A-Za-z0-9+/_-])", "random", 3)
+    runs = match_spans(text, r"(?<![A-Za-z0-9+/_-])" + CANDIDATE + r"(?![A-Za-z0-9+/_-])", "random", 3)
     found = docs.select(F.col(id_col).alias("doc_id"), F.array_sort(F.concat(plain(assign), plain(access), plain(hexes))).alias("base"), runs.alias("runs"))
     free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     tested = F.transform(free, lambda r: F.struct(r["start"].alias("start"), r["o"].alias("o"), r["kind"].alias("kind"), r["end"].alias("end"), battery(r["match"]).alias("test")))
@@ -159,7 +174,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     each = found.select(F.explode("random.test").alias("t"))
     encoding, length_class, bin_ = _class(F.col("t"))
     limits = bin_limits(each.groupBy(encoding.alias("encoding"), length_class.alias("length_class"), bin_.alias("bin")).count(), fdr)
-    # at most 4 encodings x 13 length classes
+    # at most 9 encodings x 13 length classes
     lowest = {(r["encoding"], r["length_class"]): r["lowest"] for r in limits.collect()}
 
     def passes(s: Column) -> Column:

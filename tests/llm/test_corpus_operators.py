@@ -223,6 +223,20 @@ def test_secrets_in_sparse_classes(spark):
     assert [r["spans"] for r in secret_digest(docs).orderBy("doc_id").collect()] == [f"random:4:{4 + len(t)}" for t in tokens_]
 
 
+def test_secrets_after_equals_signs_and_in_small_alphabets(spark):
+    rng = np.random.default_rng(5)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    made = lambda symbols, n: "".join(rng.choice(list(symbols), n))
+    tokens_ = [(a, made(alphabet, 40)) for a, alphabet in (("lower36", lower + digits), ("upper36", upper + digits), ("lower", lower), ("upper", upper), ("letters", lower + upper)) for _ in range(200)]
+    tested = spark.createDataFrame(tokens_, "a string, t string").select("a", battery(F.col("t")).alias("b"))
+    for r in tested.groupBy("a").agg(F.avg((F.col("b.p") >= 0.02).cast("int")).alias("kept")).collect():
+        assert r["kept"] > 0.9, r
+    lines = [("AWS_SECRET_ACCESS_KEY=", made(lower + upper + digits + "+/", 40)), ("client_id=", made(lower + upper + digits, 24)), ("session ", made(lower + digits, 40)), ("x==", made(upper + digits, 32))]
+    docs = spark.createDataFrame([(i, f"{before}{t} end") for i, (before, t) in enumerate(lines)], "doc_id bigint, text string")
+    got = [r["spans"] for r in secret_digest(docs).orderBy("doc_id").collect()]
+    assert got == [f"random:{len(before)}:{len(before) + len(t)}" for before, t in lines]
+
+
 def test_secret_limits(spark):
     def lowest(*bins):
         got = bin_limits(spark.createDataFrame([("x", 0, b, n) for b, n in bins], "encoding string, length_class int, bin int, count bigint")).collect()
