@@ -8,7 +8,8 @@ become separators, and stretches between separators that are shorter than the sh
 which changes no occurrence.
 
 Documents never move: the phrases are sent to the tasks, in portions of at most ``most_phrases`` phrases. Each portion is
-one pass, and the hits of several passes are merged by document.
+one pass. For several passes the texts are written once with a key of their row, and the hits are merged by that key, word
+by word, so that results are those of a single pass whatever the ids are.
 
 Defined cases: null or word-less texts have no words and no hits; items without words have no phrase; repeated items each
 count; repeated documents are separate rows; empty tables give empty results. Extra columns are kept by
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import cut
+from asofkit.llm.common import cut, work_table
 from asofkit.llm.fm_index import FMIndex
 from asofkit.llm.text_kernel import ALNUM, chars_before, scan_words, slices
 
@@ -75,7 +76,7 @@ def build_phrases(items: list[str], lengths: np.ndarray, hashes: np.ndarray) ->
 
 
 def search_shard(texts: pa.Array, phrases: Phrases) -> tuple[np.ndarray, list]:
-    """Per text: number of words, and (hit words, sorted items, merged spans in code points)."""
+    """Per text: number of words, and (hit words, sorted items, merged spans: start and end in code points, then in words)."""
     words = scan_words(texts, ALNUM)
     counts = words.counts()
     none = [(0, [], [])] * words.rows
@@ -116,7 +117,8 @@ def search_shard(texts: pa.Array, phrases: Phrases) -> tuple[np.ndarray, list]:
     span_first = np.flatnonzero(begins)
     span_last = np.flatnonzero(hit & ~np.concatenate((hit[1:] & (words.row[1:] == words.row[:-1]), [False])))
     base = char[words.offsets[words.row[span_first]]]
-    spans = np.stack((char[words.start[span_first]] - base, char[words.end[span_last]] - base), axis=1)
+    first_word = np.searchsorted(words.row, words.row[span_first])
+    spans = np.stack((char[words.start[span_first]] - base, char[words.end[span_last]] - base, span_first - first_word, span_last + 1 - first_word), axis=1)
     span_edge = np.searchsorted(words.row[span_first], np.arange(words.rows + 1))
     pair = np.unique(np.stack((words.row[first], phrase), axis=1), axis=0)
     pair_edge = np.searchsorted(pair[:, 0], np.arange(words.rows + 1))
@@ -125,7 +127,7 @@ def search_shard(texts: pa.Array, phrases: Phrases) -> tuple[np.ndarray, list]:
         items = set()
         for p in pair[pair_edge[r] : pair_edge[r + 1], 1]:
             items.update(phrases.items[phrases.item_edge[p] : phrases.item_edge[p + 1]])
-        out[r] = (int(n_hit[r]), sorted(items), spans[span_edge[r] : span_edge[r + 1]].tolist())
+        out[r] = (int(n_hit[r]), sorted(items, key=lambda i: (i is None, i)), spans[span_edge[r] : span_edge[r + 1]].tolist())
     return counts, out
 
 
@@ -149,48 +151,60 @@ def benchmark_phrases(benchmark: DataFrame, *, item_col: str = "item_id", text_c
         yield build_phrases(got.column("item").to_pylist(), np.asarray(got.column("length"), dtype=np.int64), hashes)
 
 
-_FOUND = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
+_SPAN = "struct<start:bigint,end:bigint,first:bigint,last:bigint>"
+_FOUND = f"n_words bigint, n_hit bigint, items array<string>, spans array<{_SPAN}>"
 
 
-def _one_pass(docs: DataFrame, phrases: Phrases, id_col: str, text_col: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)
+def _one_pass(texts: DataFrame, phrases: Phrases) -> DataFrame:
+    """``texts`` is (id, text, any further columns); all but the text come back with what was found."""
+    sent = texts.sparkSession.sparkContext.broadcast(phrases)
+    kept = texts.drop("text")
+    span = pa.struct([(n, pa.int64()) for n in ("start", "end", "first", "last")])
 
     def search(batches):
         for whole in batches:
             for batch in slices(whole, "text", SHARD_BYTES):
                 counts, found = search_shard(batch.column("text"), sent.value)
-                spans = [[{"start": a, "end": b} for a, b in f[2]] for f in found]
+                spans = [[{"start": a, "end": b, "first": c, "last": d} for a, b, c, d in f[2]] for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(counts, pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.string())),
-                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                    ["id", "n_words", "n_hit", "items", "spans"],
+                    [*(batch.column(c) for c in names), pa.array(counts, pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.string())), pa.array(spans, pa.list_(span))],
+                    [*names, "n_words", "n_hit", "items", "spans"],
                 )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(search, f"id {kind}, {_FOUND}")
-    return out.withColumnRenamed("id", "doc_id")
+    names = kept.columns
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return texts.mapInArrow(search, f"{kinds}, {_FOUND}")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_phrases: int = MOST_PHRASES, **columns) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, items, spans`` (spans in code points, end exclusive, merged).
+    """One row per row of ``docs``: ``doc_id, n_words, n_hit, items, spans`` (spans in code points, end exclusive, merged).
 
-    With several portions of phrases, rows with the same id are merged as one document, n_hit is the number of words in
-    the merged spans, and ids must tell documents apart.
+    Ids may be null or repeat, with one portion of phrases and with several.
     """
-    passes = [_one_pass(docs, p, id_col, text_col) for p in benchmark_phrases(benchmark, window=window, most_phrases=most_phrases, **columns)]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    portions = benchmark_phrases(benchmark, window=window, most_phrases=most_phrases, **columns)
+    portion, following = next(portions), next(portions, None)
+    plain = lambda spans: F.transform(spans, lambda s: s.dropFields("first", "last"))
+    if following is None:
+        return _one_pass(texts, portion).withColumnRenamed("id", "doc_id").withColumn("spans", plain("spans"))
+    # written, as row keys must stay the same in every pass
+    texts = work_table(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+    every = _one_pass(texts, portion)
+    while following is not None:
+        every = every.unionByName(_one_pass(texts, following).filter("n_hit > 0"))
+        following = next(portions, None)
+    merged = every.groupBy("row").agg(
+        F.first("id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+    )
+    last = lambda acc: F.element_at(acc, -1)
+    longer = lambda acc, s: F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"), last(acc)["first"].alias("first"), F.greatest(last(acc)["last"], s["last"]).alias("last"))
     joined = F.aggregate(
-        "spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
+        "spans", F.expr(f"cast(array() as array<{_SPAN}>)"),
+        lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["last"] >= s["first"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer(acc, s)))).otherwise(F.concat(acc, F.array(s))),
     )
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    counted = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + F.regexp_count(F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))
-    return merged.withColumn("spans", joined).join(texts, "doc_id").withColumn("n_hit", counted).select("doc_id", "n_words", "n_hit", "items", "spans")
+    counted = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"])
+    return merged.withColumn("spans", joined).select("doc_id", "n_words", counted.alias("n_hit"), "items", plain("spans").alias("spans"))
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

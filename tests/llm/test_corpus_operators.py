@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from asofkit.llm.decontamination import contamination_digest, drop_contaminated
+from asofkit.llm.decontamination import contamination_digest, drop_contaminated, find_contamination
 from asofkit.llm.fingerprints import compare_with_next, edited_text
 from asofkit.llm.fm_index import FMIndex
 from asofkit.llm.jaccard import keep_representatives, link_documents
@@ -161,6 +161,17 @@ def test_decontamination(spark, docs, none, rows):
     assert contamination_digest(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_in_portions_with_null_and_repeated_ids(spark):
+    a, b = words(30, 9), words(25, 4)
+    bench = spark.createDataFrame([(1, a), (2, b), (None, words(15, 6))], "item_id bigint, text string")
+    texts = [(None, f"x {a} y"), (None, None), (None, b), (7, f"é {b}"), (7, f"{a} {b}"), (7, "nothing here"), (7, f"é {b}"), (8, words(15, 6) + " " + a), (9, "")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = lambda n: sorted(map(repr, find_contamination(docs, bench, most_phrases=n).select("doc_id", "n_words", "n_hit", "items", "spans").collect()))
+    whole = found(500_000)
+    assert len(whole) == len(texts) and sum("n_hit=0" in r for r in whole) == 3
+    assert found(12) == found(5) == whole
+
+
 def test_lm_scoring_base_counts(docs, none, rows):
     got = {r["doc_id"]: r for r in score_texts(docs, F.col("doc_id") % 5 == 1, most_head=20, tokens_per_part=500).collect()}
     wide = {r["doc_id"]: r for r in score_texts(docs, F.col("doc_id") % 5 == 1).collect()}
