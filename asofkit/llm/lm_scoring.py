@@ -14,6 +14,8 @@ How it runs. Texts are scanned in slices of some megabytes. Unigram counts are a
 thousands of others, to the part that owns what is still unknown about it: pairs of two head words by pair, tokens with a
 rare word by that word, tokens with a rare context by context. Parts count exactly what they own; tokens whose context and word are both
 rare go on from the context's part to the word's. The head list only saves traffic: no count depends on it.
+Pairs so frequent that they would fill a good share of a part are counted in the tasks first and added up; their counts are sent to
+all tasks, and their tokens are dealt out by place in the texts, not by pair.
 
 Defined cases: null and empty texts have the end token only; without training tokens every token has count 0 and scores
 follow from the formulas (N = V = 0); repeated rows and repeated or null ids are separate documents; an empty table gives an empty
@@ -162,15 +164,30 @@ def _pack(parts: np.ndarray, n_parts: int, kind: int, slice_id: int, x: np.ndarr
     )
 
 
-PAIR, WORD, CONTEXT = 0, 1, 2
+PAIR, WORD, CONTEXT, FREQUENT = 0, 1, 2, 5
+CHUNK = 18  # tokens of frequent pairs are dealt out by 2**18
 HELD = np.uint16(1 << 15)
 
 
-def _scan(texts: DataFrame, model, n_parts: int, contexts: bool, kind: str) -> DataFrame:
-    """Packed tokens. ``contexts``: those with a rare context; else all others, and a row (kind 3) about each slice's documents."""
+class PairCounts:
+    """Training and total counts of pairs, added up over slices."""
+
+    def __init__(self):
+        self.pairs, self.counts = np.zeros(0, np.uint32), np.zeros((0, 2), np.int64)
+
+    def add(self, pairs: np.ndarray, counts: np.ndarray) -> None:
+        self.pairs, where = np.unique(np.concatenate((self.pairs, pairs)), return_inverse=True)
+        both = np.concatenate((self.counts, counts))
+        self.counts = np.stack([np.bincount(where, weights=both[:, k], minlength=len(self.pairs)).astype(np.int64) for k in (0, 1)], axis=1)
+
+
+def _scan(texts: DataFrame, model, n_parts: int, contexts: bool, frequent) -> DataFrame:
+    """Packed tokens. ``contexts``: those with a rare context, and counts of the pairs of words that occur ``frequent`` times or more;
+    else all others, with ``frequent`` the pairs whose counts are known (broadcast), and a row (kind 3) about each slice's documents."""
 
     def scan(batches):
         m, task, number = model.value, TaskContext.get().partitionId(), 0
+        seen = PairCounts()
         for whole in batches:
             for batch in bounded_slices(whole):
                 slice_id, number = (task << 24) + number, number + 1
@@ -184,13 +201,27 @@ def _scan(texts: DataFrame, model, n_parts: int, contexts: bool, kind: str) -> D
                 d = row.astype(np.uint16) | np.where(held[row], HELD, np.uint16(0))
                 hv, hw = m.find(v), m.find(w)
                 if contexts:
+                    often = m.counts >= frequent
+                    on = np.flatnonzero((hv >= 0) & (hw >= 0) & often[hv] & often[hw])
+                    if len(on):
+                        pair, where = np.unique((hv[on].astype(np.uint32) << np.uint32(16)) | hw[on].astype(np.uint32), return_inverse=True)
+                        seen.add(pair, np.stack((np.bincount(where, weights=~held[row[on]]), np.bincount(where)), axis=1).astype(np.int64))
+                        if len(seen.pairs) > 1_000_000:
+                            yield seen_pairs(seen)
+                            seen = PairCounts()
                     on = np.flatnonzero(hv < 0)
                     # a head word goes as its number, marked by the top bits of its own field being zero
                     yield _pack((mix64(v[on]) % np.uint64(n_parts)).astype(np.int64), n_parts, CONTEXT, slice_id, v[on], np.where(hw[on] >= 0, hw[on].astype(np.uint64), w[on]), d[on], 0)
                     continue
                 on = np.flatnonzero((hv >= 0) & (hw >= 0))
                 pair = (hv[on].astype(np.uint32) << np.uint32(16)) | hw[on].astype(np.uint32)
-                yield _pack((mix64(pair.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64), n_parts, PAIR, slice_id, pair, None, d[on], 0)
+                known = frequent.value[0]
+                hot = np.isin(pair, known) if len(known) else np.zeros(len(pair), dtype=bool)
+                cold, on = on[~hot], on[hot]
+                yield _pack((mix64(pair[~hot].astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64), n_parts, PAIR, slice_id, pair[~hot], None, d[cold], 0)
+                if len(on):
+                    chunk = np.uint64(slice_id << 8) + (np.arange(len(on)) >> CHUNK).astype(np.uint64)
+                    yield _pack((mix64(chunk) % np.uint64(n_parts)).astype(np.int64), n_parts, FREQUENT, slice_id, pair[hot], None, d[on], 0)
                 on = np.flatnonzero((hv >= 0) & (hw < 0))
                 yield _pack((mix64(w[on]) % np.uint64(n_parts)).astype(np.int64), n_parts, WORD, slice_id, w[on], hv[on].astype(np.uint16), d[on], n_parts)
                 on = np.flatnonzero(hw >= 0)
@@ -202,6 +233,11 @@ def _scan(texts: DataFrame, model, n_parts: int, contexts: bool, kind: str) -> D
                 with pa.ipc.new_stream(sink, info.schema) as out:
                     out.write_batch(info)
                 yield pa.RecordBatch.from_arrays([pa.array([2 * n_parts + slice_id % n_parts], pa.int32()), pa.array([3], pa.int8()), pa.array([slice_id], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], ["part", "kind", "slice", "x", "y", "d"])
+        if len(seen.pairs):
+            yield seen_pairs(seen)
+
+    def seen_pairs(seen: PairCounts) -> pa.RecordBatch:
+        return _pack((mix64(seen.pairs.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64), n_parts, FREQUENT, 0, seen.pairs, None, seen.counts, 0)
 
     return texts.mapInArrow(scan, _PACK)
 
@@ -229,8 +265,8 @@ def _slices_of(table: pa.Table, kind: int) -> list[int]:
     return table.filter(pc.equal(table.column("kind"), kind)).column("slice").to_pylist()
 
 
-#: Kinds of result rows: tokens ready to score, histogram, documents of a slice, tokens that go on to their word's part.
-READY, HISTOGRAM, ABOUT, ON = 0, 1, 2, 3
+#: Kinds of result rows: tokens ready to score, histogram, documents of a slice, tokens that go on to their word's part, frequent pairs.
+READY, HISTOGRAM, ABOUT, ON, COUNTED = 0, 1, 2, 3, 4
 
 
 def _results(model: Model, part: int, slice_ids: np.ndarray, d, c_vw, c_v, c_w, tail_words: bool) -> list[dict]:
@@ -249,8 +285,8 @@ def _results(model: Model, part: int, slice_ids: np.ndarray, d, c_vw, c_v, c_w,
     return rows
 
 
-def _context_part(model):
-    """Counts of rare contexts: tokens with head words are ready, the others go on with the context's count."""
+def _context_part(model, frequent: int):
+    """Counts of rare contexts: tokens with head words are ready, the others go on with the context's count. And pairs that are frequent."""
 
     def count(table: pa.Table) -> pa.Table:
         m, part = model.value, table.column("part")[0].as_py()
@@ -269,6 +305,11 @@ def _context_part(model):
         for s, e in zip(edge, edge[1:]):
             o = t[s:e]
             rows.append(_out_row(ON, part, int(ids[s]), d=d[o].tobytes(), r=y[o].tobytes(), lp=np.minimum(c_v[o], 2**31 - 1).astype(np.int32).tobytes(), base=c_vw[o].astype(np.int32).tobytes()))
+        seen = PairCounts()
+        seen.add(_joined(table, FREQUENT, "x", np.uint32)[0], _joined(table, FREQUENT, "d", np.int64)[0].reshape(-1, 2))
+        o = seen.counts[:, 1] >= frequent
+        if o.any():
+            rows.append(_out_row(COUNTED, part, 0, d=seen.pairs[o].tobytes(), b=seen.counts[o, 0].tobytes()))
         return _table(rows)
 
     return count
@@ -285,8 +326,8 @@ def _deal_on(n_parts: int):
     return deal
 
 
-def _last_part(model):
-    """Pairs of head words, or all tokens of rare words."""
+def _last_part(model, frequent):
+    """Pairs of head words, those with known counts apart, or all tokens of rare words."""
 
     def count(table: pa.Table) -> pa.Table:
         m, part = model.value, table.column("part")[0].as_py()
@@ -299,6 +340,12 @@ def _last_part(model):
             ids = np.repeat(np.asarray(_slices_of(table, PAIR), dtype=np.int64), lengths)
             c_vw = group_train_counts(pair, (d & HELD) == 0)
             rows += _results(m, part, ids, d, c_vw, m.counts[(pair >> np.uint32(16)).astype(np.int64)], m.counts[(pair & np.uint32(0xFFFF)).astype(np.int64)], False)
+        pair, lengths = _joined(table, FREQUENT, "x", np.uint32)
+        if len(pair):
+            d = _joined(table, FREQUENT, "d", np.uint16)[0]
+            ids = np.repeat(np.asarray(_slices_of(table, FREQUENT), dtype=np.int64), lengths)
+            pairs, counts = frequent.value
+            rows += _results(m, part, ids, d, counts[np.searchsorted(pairs, pair)], m.counts[(pair >> np.uint32(16)).astype(np.int64)], m.counts[(pair & np.uint32(0xFFFF)).astype(np.int64)], False)
         w, lengths = _joined(table, WORD, "x", np.uint64)
         w2, lengths2 = _joined(table, 4, "x", np.uint64)
         if len(w) or len(w2):
@@ -369,11 +416,16 @@ def score_texts(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_c
     known = Model(n, v, m, np.concatenate((words, [START])), np.asarray([*(r["c"] for r in head), starts], dtype=np.int64))
     model = spark.sparkContext.broadcast(known)
     n_parts = max(24, -(-n // tokens_per_part))
-    by_context = _scan(texts, model, n_parts, True, kind).groupBy("part").applyInArrow(_context_part(model), _OUT)
+    often = max(2, tokens_per_part // 2)
+    by_context = _scan(texts, model, n_parts, True, often).groupBy("part").applyInArrow(_context_part(model, often), _OUT)
     first = work_table(by_context, "contexts", "kind")
+    counted = first.filter(F.col("kind") == COUNTED).select("d", "b").collect()  # at most one pair for every ``often`` tokens
+    pairs, pair_counts = np.frombuffer(b"".join(r["d"] for r in counted), np.uint32), np.frombuffer(b"".join(r["b"] for r in counted), np.int64)
+    order = np.argsort(pairs)
+    frequent = spark.sparkContext.broadcast((pairs[order], pair_counts[order]))
     on = first.filter(F.col("kind") == ON).select("slice", "d", "r", "lp", "base").mapInArrow(_deal_on(n_parts), _PACK)
-    packed = _scan(texts, model, n_parts, False, kind).unionByName(on)
-    second = work_table(packed.groupBy("part").applyInArrow(_last_part(model), _OUT), "tokens", "kind")
+    packed = _scan(texts, model, n_parts, False, frequent).unionByName(on)
+    second = work_table(packed.groupBy("part").applyInArrow(_last_part(model, frequent), _OUT), "tokens", "kind")
     results = first.unionByName(second)
 
     def spread(batches):

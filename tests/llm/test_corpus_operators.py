@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from asofkit.llm import lm_scoring
 from asofkit.llm.decontamination import contamination_digest, drop_contaminated, find_contamination
 from asofkit.llm.fingerprints import compare_with_next, edited_text
 from asofkit.llm.fm_index import FMIndex
@@ -189,6 +190,19 @@ def test_lm_scoring_base_counts(docs, none, rows):
     assert score_texts(none, F.lit(False)).count() == 0
 
 
+def test_lm_scoring_deals_out_a_frequent_pair(spark, monkeypatch):
+    texts = [("ha " * 400 if i % 3 else "") + words(100, i) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(30)
+    tables, write = {}, lm_scoring.work_table
+    monkeypatch.setattr(lm_scoring, "work_table", lambda df, name, by: tables.setdefault(name, write(df, name, by)))
+    got = {r["doc_id"]: r["score"] for r in score_texts(docs, F.col("doc_id") % 5 == 1, tokens_per_part=1000).collect()}
+    parts = tables["tokens"].filter("kind = 0").groupBy("part").agg((F.sum(F.length("d")) / 2).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert parts[0] < parts[1] / 4  # the pair "ha ha" makes up two thirds
+    tables.clear()
+    wide = {r["doc_id"]: r["score"] for r in score_texts(docs, F.col("doc_id") % 5 == 1).collect()}
+    assert got == pytest.approx(wide, rel=1e-6)
+
+
 def test_fingerprints(docs, none, rows):
     got = {r["doc_id"]: r for r in compare_with_next(docs).collect()}
     order = sorted(rows, reverse=True, key=lambda r: r[0])
