@@ -376,7 +376,7 @@ def str5_str6_regime_switching(spark, d):
 @query()
 def ml1_ml2_regime_models(spark, d):
     bars = daily_bars(spark, d).withColumn("ret", F.ln(F.col("close") / F.lag("close").over(win.series()))).filter("ret is not null").select("symbol", "session", "ret")
-    return indicators.fit_grid(bars, key="symbol", order="session", x="ret", states=(2, 3), restarts=2)
+    return indicators.fit_grid(bars, key="symbol", order="session", x="ret", states=(2, 3, 4, 5), restarts=8)
 
 
 @query()

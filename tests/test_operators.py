@@ -11,6 +11,7 @@ from asofkit.operators import calendar as cal
 from asofkit.operators import rules, vintages
 from asofkit.operators import windows as win
 from asofkit.operators.asof import asof
+from asofkit.plans.research import ml1_ml2_regime_models
 from asofkit.sources.tables import daily_bars
 
 
@@ -82,3 +83,13 @@ def test_quarters_from_year_to_date_do_not_bridge_gaps(spark):
     rows = [("x", s, d(2024, 3, 31), 10.0), ("x", s, d(2024, 6, 30), 22.0), ("x", s, d(2024, 12, 31), 56.0)]
     got = {r["end"].month: (r["method"], r["value"]) for r in vintages.discrete_quarters(spark.createDataFrame(rows, "symbol string, start date, end date, value double")).collect()}
     assert got == {3: ("direct", 10.0), 6: ("ytd_diff", 12.0), 12: (None, None)}
+
+
+def test_regime_grid_has_two_to_five_states_and_eight_restarts(spark, monkeypatch):
+    from asofkit.operators import indicators
+
+    asked, fit = [], indicators.fit_grid
+    monkeypatch.setattr(indicators, "fit_grid", lambda df, **options: asked.append(options) or fit(df, **options))
+    models = ml1_ml2_regime_models(spark, "/root/testdata/sf0.001")
+    assert asked[0]["restarts"] == 8
+    assert {r["k"] for r in models.select("k").distinct().collect()} == {2, 3, 4, 5}
