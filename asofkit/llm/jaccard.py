@@ -7,12 +7,16 @@ sets up to u shingles, linked sets differ in at most d = floor(2u(1-t)/(1+t)) sh
 hash into m > d slices, m - d slices at least are equal in both. A tile is (band, slice, digest of the slice's shingles):
 any linked pair shares a tile that is not empty, and hardly any other pair does.
 
-*Links.* In every tile the members are compared with the smallest member only (a star), first by bitmaps: two rows of
-hashed bits, four or more for each shingle, bound the overlap from above, because every bit set in one but not in the other stands for at least
-one shingle that the other lacks. Pairs that may still reach the threshold get the exact intersection of their sorted
-arrays. Verified pairs are joined to components. Tiles whose members still belong to several components are not done:
-there, but for the smallest member, which met all others, each member outside the tile's largest component is compared
-with all members of other components, in blocks and in the same two steps. No link between components is lost, and pairs inside a component are never made.
+*Links.* Each class first leaves out the most frequent tiles that it can spare (``shared_tiles``). In every tile the members
+are compared with the smallest member only (a star), first by bitmaps: two rows of hashed bits, four or more for each
+shingle, bound the overlap from above, because every bit set in one but not in the other stands for at least one shingle
+that the other lacks. Pairs that may still reach the threshold get the exact intersection of their sorted arrays.
+Verified pairs are joined to components. Tiles whose members still belong to several components are not done: there, but
+for the smallest member, which met all others, each member is compared with all members of other components, in blocks
+and in the same two steps. No link between components is lost, and pairs inside a component are never made.
+
+*Hashes.* Shingles and classes are known by 64-bit hashes. That two given ones share a hash by chance has a probability of
+2**-64; among n classes a wrong pair is to be expected n * n / 2**65 times, which is 3e-6 for ten million different texts.
 
 Defined cases: null texts and texts without words have the empty set and are linked with nothing; texts of fewer words
 than a shingle have one shingle, the whole sequence; equal sets are linked; repeated rows are members of one class; null
@@ -22,7 +26,6 @@ ids are ignored when the smallest id is taken; empty tables give empty results;
 
 from __future__ import annotations
 
-import functools
 import math
 from fractions import Fraction
 
@@ -35,7 +38,7 @@ from asofkit.llm.common import cut, work_table
 from asofkit.llm.text_kernel import mix64, scan_words, slices, sort_within_rows
 
 LEAST_BITS, MOST_BITS = 512, 1 << 17
-TILES_PER_PART = 2_500_000
+TILES_PER_PART = 1_500_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,52 +78,66 @@ def band_edges(threshold: Fraction, most: int) -> np.ndarray:
 
 
 def slices_of_band(threshold: Fraction, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of slices, most differences d) of each band.
+    """(number of slices, most differences d) of each band; no slices (0) where every shingle is a slice of its own.
 
-    With d + 1 slices one is equal. A few more are dealt, so that more are equal than a set is likely to have empty
-    slices: then an equal slice that is not empty exists, and empty ones need no tile.
+    With d + 1 slices one is equal. More are dealt, so that more are equal than a set is likely to have empty slices (four
+    deviations above the mean): then an equal slice that is not empty exists, and empty ones need no tile. Where the sets
+    are too small for that, a slice is one shingle.
     """
     n_slices, most = [], []
     for k, upper in enumerate(edges[1:]):
         d = int(2 * (int(upper) - 1) * (1 - threshold) / (1 + threshold))
         smallest, m = int(edges[max(k - 1, 0)]), d + 1
-        for _ in range(8):
+        while 1.2 * m <= smallest:
             empty = m * math.exp(-smallest / m)
-            m = d + 1 + math.ceil(empty + 4 * math.sqrt(empty))
-        n_slices.append(m if m <= 1.5 * (d + 1) else d + 1)
+            more = d + 1 + math.ceil(empty + 4 * math.sqrt(empty))
+            if more <= m:
+                break
+            m = more
+        n_slices.append(m if 1.2 * m <= smallest else 0)
         most.append(d)
     return np.asarray(n_slices, dtype=np.int64), np.asarray(most, dtype=np.int64)
 
 
-def tiles_of(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(row, tile) for the own and the next band of every set that has shingles.
+def tiles_of(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tile, mark) for the own and the next band of every set that has shingles.
 
     Of m slices of a linked pair at least m - d are equal. A set with fewer than m - d empty slices shares a slice that is
-    not empty with each partner, and sends only those; other sets send all, and so meet each other in any case.
+    not empty with each partner, and sends only those; other sets (hardly any) send all, and so meet each other in any case.
+
+    With e empty slices, a set shares m - d - e tiles at least with each partner in that band, and where every shingle is a
+    slice, the shingles that it must have in common; so it can spare one tile less than that. ``mark`` holds this number
+    (127 at most, as a smaller one is true as well), plus 128 in the next band.
     """
     if not len(values):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
     edges = band_edges(threshold, int(sizes.max()) * 2)
     n_slices, most = slices_of_band(threshold, edges)
     band = np.searchsorted(edges, np.maximum(sizes, 1), side="right") - 1
-    out_row, out_tile = [], []
+    out_row, out_tile, out_mark = [], [], []
     dealt = mix64(values ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)
+    overlap = -(-threshold.numerator * sizes // threshold.denominator)  # shingles shared with any partner
     for step in (0, 1):
         k = band + step
         m = np.where(sizes > 0, n_slices[k], 0)
+        sliced = m[rows] > 0
+        r, v = rows[sliced], values[sliced]
         edge = np.concatenate(([0], np.cumsum(m)))
-        slot = edge[rows] + (dealt % m[rows].astype(np.uint64)).astype(np.int64)
+        slot = edge[r] + (dealt[sliced] % m[r].astype(np.uint64)).astype(np.int64)
         digest = np.zeros(edge[-1], dtype=np.uint64)
-        np.add.at(digest, slot, mix64(values))
+        np.add.at(digest, slot, mix64(v))
         empty = np.bincount(slot, minlength=edge[-1]) == 0
         row = np.repeat(np.arange(len(sizes)), m)
         place = np.arange(edge[-1]) - edge[row]
-        tag = mix64((k[row].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + np.uint64(1))
-        all_sent = np.bincount(row[empty], minlength=len(sizes)) >= m - most[k]
-        send = ~empty | all_sent[row]
-        out_row.append(row[send])
-        out_tile.append(mix64(digest ^ tag)[send])
-    return np.concatenate(out_row), np.concatenate(out_tile)
+        tag = lambda at, place: mix64((k[at].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + np.uint64(1))  # noqa: B023, E731
+        shares = np.where(m > 0, m - most[k] - np.bincount(row[empty], minlength=len(sizes)), overlap)
+        send = ~empty | (shares <= 0)[row]
+        mark = (np.clip(shares - 1, 0, 127) + 128 * step).astype(np.uint8)
+        alone = rows[~sliced]
+        out_row += [row[send], alone]
+        out_tile += [mix64(digest ^ tag(row, place))[send], mix64(mix64(values[~sliced]) ^ tag(alone, np.full(len(alone), -2)))]
+        out_mark += [mark[row[send]], mark[alone]]
+    return np.concatenate(out_row), np.concatenate(out_tile), np.concatenate(out_mark)
 
 
 def may_link(size_a: np.ndarray, a: np.ndarray, size_b: np.ndarray, b: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -158,6 +175,30 @@ def fold(bits: np.ndarray, n_bytes: int) -> np.ndarray:
     return np.ascontiguousarray(np.bitwise_or.reduce(bits.reshape(len(bits), -1, n_bytes), axis=1))
 
 
+def bitmaps_may_link(p: list[bytes], i: np.ndarray, q: list[bytes], j: np.ndarray, threshold: Fraction, step_bytes: int = 1 << 24) -> np.ndarray:
+    """For pairs (p[i], q[j]) of bitmaps of any widths: can the pair reach the threshold? Worked off in bounded portions."""
+    ok = np.zeros(len(i), dtype=bool)
+    spot_p, spot_q = np.zeros(len(p), np.int64), np.zeros(len(q), np.int64)
+    widths_p, widths_q = by_width(p), by_width(q)
+    kind_p, kind_q = np.zeros(len(p), np.int64), np.zeros(len(q), np.int64)
+    for spot, kind, widths in ((spot_p, kind_p, widths_p), (spot_q, kind_q, widths_q)):
+        for k, (at, _, _) in enumerate(widths):
+            spot[at], kind[at] = np.arange(len(at)), k
+    for kp, (_, size_p, bits_p) in enumerate(widths_p):
+        for kq, (_, size_q, bits_q) in enumerate(widths_q):
+            pair = np.flatnonzero((kind_p[i] == kp) & (kind_q[j] == kq))
+            if not len(pair):
+                continue
+            n = min(bits_p.shape[1], bits_q.shape[1])
+            x, y = fold(bits_p, n), fold(bits_q, n)
+            step = max(1, step_bytes // n)
+            for k in range(0, len(pair), step):
+                part = pair[k : k + step]
+                at_p, at_q = spot_p[i[part]], spot_q[j[part]]
+                ok[part] = may_link(size_p[at_p], x[at_p], size_q[at_q], y[at_q], threshold)
+    return ok
+
+
 def class_digests(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     digest = np.zeros(len(sizes), dtype=np.uint64)
     np.add.at(digest, rows, mix64(values ^ np.uint64(0xA0761D6478BD642F)))
@@ -187,40 +228,48 @@ def shared_tiles(docs: DataFrame, shingle: int, threshold: Fraction, n_parts: in
     """``tile, cls, least`` for the members of all tiles with several classes; ``least`` is the tile's smallest class.
 
     Tiles travel once, packed by part: a row holds the tiles and classes of a whole slice of texts for one part.
+
+    Each class leaves out the most frequent tiles that it can spare. Tiles have one order everywhere, by frequency and
+    number. If linked sets share r tiles, the first of these in that order is followed by r - 1 more of each set, so it is
+    not among the r - 1 last of either: the pair still meets. A passage that many documents share makes frequent tiles.
     """
 
     def deal(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 rows, values = shingle_sets(batch.column("text"), shingle)
                 sizes = np.bincount(rows, minlength=batch.num_rows).astype(np.int64)
                 cls = class_digests(rows, values, sizes)
                 one = np.zeros(batch.num_rows, dtype=bool)  # copies within the slice send their tiles once
                 one[np.unique(cls, return_index=True)[1]] = True
                 keep = one[rows]
-                row, tile = tiles_of(rows[keep], values[keep], np.where(one, sizes, 0), threshold)
+                row, tile, mark = tiles_of(rows[keep], values[keep], np.where(one, sizes, 0), threshold)
                 part = (mix64(tile) % np.uint64(n_parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 edge = np.searchsorted(part[order], np.arange(n_parts + 1))
-                tile, member = tile[order], cls[row[order]]
+                tile, member, mark = tile[order], cls[row[order]], mark[order]
                 used = np.flatnonzero(np.diff(edge))
                 cut_ = lambda a: pa.array([a[edge[p] : edge[p + 1]].tobytes() for p in used], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), cut_(tile), cut_(member)], ["part", "tiles", "classes"])
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), cut_(tile), cut_(member), cut_(mark)], ["part", "tiles", "classes", "marks"])
 
     def meet(table: pa.Table) -> pa.Table:
-        tile = np.frombuffer(b"".join(table.column("tiles").to_pylist()), dtype=np.int64)
-        cls = np.frombuffer(b"".join(table.column("classes").to_pylist()), dtype=np.int64)
-        order = np.argsort(tile)
-        tile, cls = tile[order], cls[order]
+        tile, cls, mark = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("tiles", np.int64), ("classes", np.int64), ("marks", np.uint8)))
+        order = np.lexsort((cls, tile))
+        tile, cls, mark = tile[order], cls[order], mark[order]
+        new = np.concatenate(([True], (tile[1:] != tile[:-1]) | (cls[1:] != cls[:-1])))  # copies in other slices send the same
+        tile, cls, mark = tile[new], cls[new], mark[new]
         begin = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
-        length = np.diff(np.concatenate((begin, [len(tile)])))
-        low, high = np.minimum.reduceat(cls, begin), np.maximum.reduceat(cls, begin)
-        several = np.repeat(low != high, length)
-        least = np.repeat(low, length)
-        return pa.table({"tile": tile[several], "cls": cls[several], "least": least[several]})
+        members = np.repeat(np.diff(np.concatenate((begin, [len(tile)]))), np.diff(np.concatenate((begin, [len(tile)]))))
+        several = members > 1
+        return pa.table({"tile": tile[several], "cls": cls[several], "mark": mark[several].astype(np.int16), "members": members[several]})
 
-    packs = docs.select(F.col(text_col).alias("text")).mapInArrow(deal, "part int, tiles binary, classes binary")
-    return packs.groupBy("part").applyInArrow(meet, "tile bigint, cls bigint, least bigint").distinct()
+    packs = docs.select(F.col(text_col).alias("text")).mapInArrow(deal, "part int, tiles binary, classes binary, marks binary")
+    met = packs.groupBy("part").applyInArrow(meet, "tile bigint, cls bigint, mark smallint, members bigint")
+    # a class has no more tiles than its text has words
+    place = F.row_number().over(Window.partitionBy("cls", "mark").orderBy(F.col("members").desc(), F.col("tile").desc()))
+    kept = cut(met.withColumn("place", place).filter(F.col("place") > F.col("mark").bitwiseAND(F.lit(127).cast("smallint"))).select("tile", "cls"))
+    several = kept.groupBy("tile").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).filter("least <> most").select("tile", "least")
+    return kept.join(several, "tile")
 
 
 def _bloom(wanted: DataFrame) -> np.ndarray:
@@ -269,12 +318,8 @@ def _bitmap_filter(pairs: DataFrame, classes: DataFrame, threshold: Fraction) ->
 
     def check(batches):
         for batch in batches:
-            ok = np.zeros(batch.num_rows, dtype=bool)
-            maps_a, maps_b = (batch.column(c).to_pylist() for c in ("map_a", "map_b"))
-            for at, size_a, bits_a in by_width(maps_a):
-                for k, size_b, bits_b in by_width([maps_b[i] for i in at]):
-                    n = min(bits_a.shape[1], bits_b.shape[1])
-                    ok[at[k]] = may_link(size_a[k], fold(bits_a[k], n), size_b, fold(bits_b, n), threshold)
+            every = np.arange(batch.num_rows)
+            ok = bitmaps_may_link(batch.column("map_a").to_pylist(), every, batch.column("map_b").to_pylist(), every, threshold)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     return both.select("a", "b", "map_a", "map_b").mapInArrow(check, "a bigint, b bigint")
@@ -326,54 +371,61 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("cls"), F.col("v").alias("component")).distinct())
 
 
-def _late_candidates(shared: DataFrame, labels: DataFrame, classes: DataFrame, threshold: Fraction, block: int = 512) -> DataFrame:
+def _tile_pairs(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
+    """Which members of one block share a tile with which of another, from their lists of tiles."""
+    tiles, member = (np.concatenate((np.concatenate(p), np.concatenate(q))), np.concatenate((np.repeat(np.arange(len(p)), [len(t) for t in p]), len(p) + np.repeat(np.arange(len(q)), [len(t) for t in q]))))
+    order = np.argsort(tiles, kind="stable")  # members of p stay before those of q
+    tiles, member = tiles[order], member[order]
+    begin = np.flatnonzero(np.concatenate(([True], tiles[1:] != tiles[:-1])))
+    end = np.concatenate((begin[1:], [len(tiles)]))
+    met = np.zeros((len(p), len(q)), dtype=bool)
+    for a, b in zip(begin, end):
+        m = member[a:b]
+        k = np.searchsorted(m, len(p))
+        if 0 < k < len(m):
+            met[np.ix_(m[:k], m[k:] - len(p))] = True
+    return met
+
+
+def _late_candidates(shared: DataFrame, labels: DataFrame, classes: DataFrame, threshold: Fraction, block_bytes: int = 1 << 19) -> DataFrame:
     """Pairs (a, b) of different components in one tile that the bitmaps let pass.
 
-    ``shared`` leaves out the smallest class of each tile, whose pairs are done; so tiles of two classes do not come back.
-    Only tiles with several components count. Their members go into blocks of bounded size by set size, and blocks meet
-    blocks of the same tile; the comparison is a bitmap operation inside a task, and no pair is a row before it passes.
-    A pair that shares several tiles comes from the smallest of them only: each member carries the smaller open tiles that
-    it is in, no more than its own set gave, and a pair with one of them in common is left to that tile.
+    The smallest class of each tile is left out, as its pairs are done; so tiles of two classes do not come back. Only
+    tiles with several components count. Tiles with the same smallest class have mostly the same members, so they are
+    worked off together: a member carries its bitmap once and the numbers of its tiles. The members are dealt by hash into
+    blocks of bounded bytes, those of the largest component apart from the others, and blocks meet blocks. Pairs of one
+    tile are marked and compared by bitmaps inside a task; no pair is a row before it passes. Many members are many blocks
+    and many tasks.
     """
-    named = shared.join(labels, "cls", "left").select("tile", "cls", F.coalesce("component", "cls").alias("label"))
+    named = shared.filter("cls <> least").join(labels, "cls", "left").select("tile", "least", "cls", F.coalesce("component", "cls").alias("label"))
     several = named.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tile")
-    open_ = cut(named.join(several, "tile", "left_semi"))
-    largest = open_.groupBy("tile", "label").count().groupBy("tile").agg(F.max(F.struct("count", "label")).alias("m")).select("tile", F.col("m.label").alias("largest"))
-    lists = open_.groupBy("cls").agg(F.collect_list("tile").alias("tiles"))
-    named = open_.join(largest, "tile").join(classes, "cls").join(lists, "cls").withColumn("earlier", F.expr("filter(tiles, x -> x < tile)")).drop("tiles")
-    rows = named.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("tile").orderBy("n_shingles", "cls")) - 1) / block))
-    member = F.struct("cls", "label", (F.col("label") != F.col("largest")).alias("outside"), "bitmap", "earlier")
-    blocks = rows.groupBy("tile", "block").agg(F.collect_list(member).alias("m"), F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.max((F.col("label") != F.col("largest"))).alias("any"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    reach = F.col("x.hi") * threshold.denominator >= F.col("y.lo") * threshold.numerator
-    met = x.join(y, (F.col("x.tile") == F.col("y.tile")) & (F.col("x.block") <= F.col("y.block")) & reach & (F.col("x.any") | F.col("y.any"))).select(F.col("x.m").alias("p"), F.col("y.m").alias("q"), (F.col("x.block") == F.col("y.block")).alias("same"))
+    # a class has no more tiles than its text has words
+    members = cut(named.join(several, "tile", "left_semi").groupBy("least", "cls", "label").agg(F.collect_list("tile").alias("tiles")))
+    largest = members.groupBy("least", "label").count().groupBy("least").agg(F.max(F.struct("count", "label")).alias("m")).select("least", F.col("m.label").alias("largest"))
+    rows = members.join(largest, "least").join(classes.select("cls", "bitmap"), "cls").withColumn("inside", F.col("label") == F.col("largest"))
+    size = F.length("bitmap") + 8 * F.size("tiles") + 32
+    blocks_of = lambda c: F.ceil(F.coalesce(F.sum(F.when(c, size)), F.lit(0)) / block_bytes)
+    counts = rows.groupBy("least").agg(blocks_of(~F.col("inside")).alias("n_out"), blocks_of(F.col("inside")).alias("n_in"), (F.sum(size) <= block_bytes).alias("small"))
+    counts = cut(counts.select("least", F.when(F.col("small"), 1).otherwise(F.col("n_out")).alias("n_out"), F.when(F.col("small"), 0).otherwise(F.col("n_in")).alias("n_in")))
+    dealt = lambda n: F.pmod(F.xxhash64("cls"), n)
+    block = F.when(F.col("inside") & (F.col("n_in") > 0), F.col("n_out") + dealt(F.greatest("n_in", F.lit(1)))).otherwise(dealt("n_out"))
+    blocks = rows.join(counts, "least").groupBy("least", block.alias("block")).agg(F.collect_list(F.struct("cls", "label", "bitmap", "tiles")).alias("m"))
+    each = counts.select("least", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1)).alias("i"), (F.col("n_out") + F.col("n_in") - 1).alias("top")).select("least", "i", F.explode(F.sequence("i", "top")).alias("j"))
+    side = lambda at, m: blocks.select("least", F.col("block").alias(at), F.col("m").alias(m))
+    met = each.join(side("i", "p"), ["least", "i"]).join(side("j", "q"), ["least", "j"]).select("p", "q", (F.col("i") == F.col("j")).alias("same"))
 
     def meet(batches):
+        column = lambda m, f: np.asarray(m.field(f).to_numpy(zero_copy_only=False))
         for batch in batches:
             for p, q, same in zip(batch.column("p"), batch.column("q"), batch.column("same").to_pylist()):
                 p, q = p.values, q.values
-                get = lambda m, f: np.asarray(m.field(f).to_numpy(zero_copy_only=False))
-                pc, qc, pl, ql, po, qo = get(p, "cls"), get(q, "cls"), get(p, "label"), get(q, "label"), get(p, "outside"), get(q, "outside")
-                pw, qw = (by_width(m.field("bitmap").to_pylist()) for m in (p, q))
-                first = functools.cache(lambda which, k: frozenset((p, q)[which].field("earlier")[k].as_py()))  # noqa: B023
-                a, b = [], []
-                for pi, ps, pb in pw:
-                    for qi, qs, qb in qw:
-                        n = min(pb.shape[1], qb.shape[1])
-                        x, y = fold(pb, n), fold(qb, n)
-                        for k, i in enumerate(pi):
-                            on = (pl[i] != ql[qi]) & (po[i] | qo[qi])
-                            on = np.flatnonzero(on & (qi > i) if same else on)
-                            if len(on):
-                                on = on[may_link(ps[k], x[k : k + 1], qs[on], y[on], threshold)]
-                                on = on[[first(0, int(i)).isdisjoint(first(1, int(j))) for j in qi[on]]] if len(on) else on
-                                a.append(np.full(len(on), pc[i]))
-                                b.append(qc[qi[on]])
-                if a:
-                    a, b = np.concatenate(a), np.concatenate(b)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return met.mapInArrow(meet, "a bigint, b bigint")
+                met = _tile_pairs(list(column(p, "tiles")), list(column(q, "tiles"))) & (column(p, "label")[:, None] != column(q, "label")[None, :])
+                i, j = np.nonzero(np.triu(met, 1) if same else met)
+                ok = bitmaps_may_link(p.field("bitmap").to_pylist(), i, q.field("bitmap").to_pylist(), j, threshold)
+                a, b = column(p, "cls")[i[ok]], column(q, "cls")[j[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return met.mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def link_classes(docs: DataFrame, shingle: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -393,7 +445,7 @@ def link_classes(docs: DataFrame, shingle: int, threshold: float, id_col: str, t
     first = shared.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
     links = verified(_bitmap_filter(first, maps, threshold))
     labels = components(links)
-    late = verified(_late_candidates(shared.filter("cls <> least").select("tile", "cls"), labels, maps, threshold))
+    late = verified(_late_candidates(shared, labels, maps, threshold))
     if late.limit(1).count():
         labels = components(links.unionByName(late))
     return rows.select("doc_id", "text_key", "cls", "n_shingles"), labels

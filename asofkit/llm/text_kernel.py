@@ -1,7 +1,7 @@
 """Vectorised word scanning over Arrow string columns, used inside Arrow tasks.
 
 Texts are handled as one flat byte buffer: A-Z is lower-cased by a table, word edges come from a byte mask,
-and every word gets a 64-bit polynomial hash. Bytes of 0x80 and above always belong to words, so the byte view
+and every word gets a 64-bit hash. Bytes of 0x80 and above always belong to words, so the byte view
 and the character view of the separators agree in UTF-8. A null text has no bytes and therefore no words.
 """
 
@@ -35,18 +35,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_powers = np.ones(1, dtype=np.uint64)
+_LANE_KEY, _LANE_STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
-def _power_table(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 4096), _BASE, dtype=np.uint64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-    return _powers
+def hash_spans(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes (lengths of 1 and more).
+
+    A span is read in lanes of eight bytes, the last filled up with zeros; each lane is mixed with its number, and the mixed lanes
+    are summed. Lanes of different value or place mix to unrelated numbers, so there is no family of texts that collide;
+    two given spans share a hash by chance only, once in 2**64.
+    """
+    lanes = (length + 7) >> 3
+    edge = np.cumsum(lanes) - lanes
+    place = np.arange(int(lanes.sum())) - np.repeat(edge, lanes)
+    at = np.repeat(start, lanes) + 8 * place
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    every = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes that begin at each byte
+    over = np.clip(at + 8 - np.repeat(start + length, lanes), 0, 7).astype(np.uint64)
+    value = every[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (over << np.uint64(3)))
+    mixed = mix64((value ^ _LANE_KEY) + mix64(place.astype(np.uint64) * _LANE_STEP))
+    return mix64(np.add.reduceat(mixed, edge) + length.astype(np.uint64))
 
 
 @dataclass
@@ -106,11 +114,7 @@ def scan_words(texts: pa.Array, is_word: np.ndarray = SPACED) -> Words:
     row = np.searchsorted(offsets, start, side="right") - 1
     if not len(start):
         return Words(len(offsets) - 1, row, start, end, np.zeros(0, np.uint64), data, offsets)
-    edge = np.concatenate(([0], np.cumsum(length)))[:-1]
-    place = np.arange(int(length.sum())) - np.repeat(edge, length)
-    parts = _BYTE_VALUE[data[inside]] * _power_table(int(length.max()))[place]
-    value = np.add.reduceat(parts, edge)
-    return Words(len(offsets) - 1, row, start, end, mix64(value + length.astype(np.uint64)), data, offsets)
+    return Words(len(offsets) - 1, row, start, end, hash_spans(data, start, length), data, offsets)
 
 
 def chars_before(data: np.ndarray) -> np.ndarray:
