@@ -5,14 +5,15 @@ its sentences is, so its score is ``1 - prod(1 - sentence score)``. The weights
 gradient ascent on the likelihood of that noisy-or, and afterwards each sentence has a score of its own, which locates
 the offending sentences.
 
-Features of a sentence are its distinct lower-cased words and the first four and five letters of longer words. The
-classifier is fitted on a bounded sample: ``most_labels`` labelled documents, drawn by a hash of their id and the same at
-every run (default 8,000; the parameter bounds what reaches the driver, and with ``most_features`` the size of the model
-that is sent to the tasks). Scoring covers every document, whole.
+Features of a sentence are its distinct lower-cased words and, for each of them, its first four and five letters if it is
+longer; they are known by 32-bit hashes (of the words outside the sample, one in a million at most shares a hash with a weight). The classifier is fitted on a bounded sample: ``most_labels`` labelled documents,
+drawn by a hash of their id and the same at every run (default 8,000; the parameter bounds what reaches the driver). Every
+feature of the sample takes part. The L1 prior is applied as a proximal step, so weights that the labels do not support are
+exactly zero. Scoring covers every document, whole.
 
 Defined cases: null and empty texts have no sentence and score the model's base rate for a text without sentences
 (0.0); labels that are null are not learned from; several labels of one document count as the largest; without any
-usable label all scores are 0. Ties cannot arise. Extra columns are kept by ``drop_toxic`` and ignored by ``score_toxicity``.
+usable label all scores are 0; of repeated ids the smallest text is learned from. Ties cannot arise. Extra columns are kept by ``drop_toxic`` and ignored by ``score_toxicity``.
 """
 
 from __future__ import annotations
@@ -21,93 +22,124 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asofkit.llm.common import cut
 
 MOST_LABELS = 8_000
-MOST_FEATURES = 60_000
 THRESHOLD = 0.3
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
+_MEMO = 400_000  # words whose weight a task remembers; more are worked out again
 
 
-def sentence_features(sentence: str) -> set[str]:
-    words = set(_WORD.findall(sentence))
-    return words | {f"{w[:k]}*" for w in words if len(w) > 4 for k in (4, 5) if len(w) > k}
+def word_features(word: str) -> list[int]:
+    """Hashes of the word and of its beginnings."""
+    return [xxhash.xxh32_intdigest(word), *(xxhash.xxh32_intdigest(word[:k], seed=k) for k in (4, 5) if len(word) > k)]
 
 
 class NoisyOr:
-    """Weights of words and word beginnings, and a bias, for the logistic score of a sentence."""
+    """Weights of word and beginning hashes, and a bias, for the logistic score of a sentence."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
+    def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.words = {k: v for k, v in weights.items() if not k.endswith("*")}
-        self.prefixes = {k[:-1]: v for k, v in weights.items() if k.endswith("*")}
-        self.plain = float(np.log1p(np.exp(bias)))  # -log(1 - score) of a sentence without known features
+        self.memo: dict[str, float] = {}
+
+    def __getstate__(self):
+        return {"weights": self.weights, "bias": self.bias, "memo": {}}
+
+    def word_weight(self, word: str) -> float:
+        value = self.memo.get(word)
+        if value is None:
+            if len(self.memo) >= _MEMO:
+                self.memo.clear()
+            value = self.memo[word] = sum(self.weights.get(f, 0.0) for f in word_features(word))
+        return value
+
+    def sentence_sums(self, text: str) -> list[float]:
+        """Bias and weights of every sentence of a lower-cased text."""
+        weigh, bias = self.word_weight, self.bias
+        return [sum(map(weigh, set(_WORD.findall(s))), bias) for s in _SENTENCE.findall(text)]
 
     def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, score) of every sentence, in code points."""
         out = []
         for m in _SENTENCE.finditer(text):
-            z = self.bias + sum(self.weights.get(f, 0.0) for f in sentence_features(m[0].lower()))
+            z = sum(map(self.word_weight, set(_WORD.findall(m[0].lower()))), self.bias)
             out.append((m.start(), m.end(), float(1 / (1 + np.exp(-z)))))
         return out
 
     def document_score(self, text: str | None) -> float:
-        """The noisy-or of all sentences; sentences without known features share one term."""
-        total, words, prefixes = 0.0, self.words, self.prefixes
-        for sentence in _SENTENCE.findall((text or "").lower()):
-            z = 0.0
-            seen = set(_WORD.findall(sentence))
-            for w in seen & words.keys():
-                z += words[w]
-            heads = {w[:4] for w in seen if len(w) > 4}
-            heads.update({w[:5] for w in seen if len(w) > 5})
-            for h in heads & prefixes.keys():
-                z += prefixes[h]
-            total += float(np.logaddexp(0.0, self.bias + z)) if z else self.plain
-        return float(-np.expm1(-total))
-
-
-def encode(text: str | None, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of the known features of all sentences in a row, how many each sentence has)."""
-    flat, lengths = [], []
-    for sentence in _SENTENCE.findall((text or "").lower()):
-        known = [number[f] for f in sentence_features(sentence) if f in number]
-        flat.extend(known)
-        lengths.append(len(known))
-    return np.asarray(flat, np.int32), np.asarray(lengths, np.int32)
+        """The noisy-or of all sentences."""
+        sums = self.sentence_sums((text or "").lower())
+        return float(-np.expm1(-np.logaddexp(0.0, sums).sum())) if sums else 0.0
 
 
-def fit_noisy_or(names: list[str], encoded: list[tuple[np.ndarray, np.ndarray]], labels: list[int], *, steps: int = 120, prior: float = 0.03) -> NoisyOr:
-    """Full-batch Adam on the noisy-or likelihood, in sparse numpy arrays; small weights are cut to zero at the end."""
+def encode(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the features of all sentences in a row, how many each sentence has)."""
+    flat, lengths = [], []
+    for sentence in _SENTENCE.findall((text or "").lower()):
+        before = len(flat)
+        for word in sorted(set(_WORD.findall(sentence))):
+            flat.extend(word_features(word))
+        lengths.append(len(flat) - before)
+    return np.asarray(flat, np.uint32), np.asarray(lengths, np.int32)
+
+
+def _sums(edge: np.ndarray, source: np.ndarray, at: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Sums of ``source[at]`` between the edges, in portions that bound the temporary arrays."""
+    out = np.zeros(len(edge) - 1)
+    cuts = np.unique(np.append(np.searchsorted(edge, np.arange(0, len(at), step)), len(out)))
+    for a, b in zip(cuts, cuts[1:]):
+        if edge[b] > edge[a]:
+            full = np.flatnonzero(edge[a + 1 : b + 1] > edge[a:b]) + a  # reduceat gives no 0 for an empty stretch
+            out[full] = np.add.reduceat(source[at[edge[a] : edge[b]]], edge[full] - edge[a])
+    return out
+
+
+def fit_noisy_or(encoded: list[tuple[np.ndarray, np.ndarray]], labels: list[int], *, steps: int = 120, prior: float = 0.03) -> NoisyOr:
+    """Full-batch Adam on the noisy-or likelihood with a proximal L1 step, in sparse numpy arrays. Empties ``encoded``."""
     y = np.asarray(labels, dtype=np.float64)
     if not len(y) or y.sum() == 0:
         return NoisyOr({}, -60.0)
-    feature = np.concatenate([f for f, _ in encoded])
+    hashes = np.concatenate([f for f, _ in encoded])
+    names = np.unique(hashes)
+    feature = np.empty(len(hashes), np.int32)
+    for k in range(0, len(hashes), 1 << 20):
+        feature[k : k + (1 << 20)] = np.searchsorted(names, hashes[k : k + (1 << 20)])
+    del hashes
     lengths = np.concatenate([n for _, n in encoded])
-    sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    by_sentence = np.concatenate(([0], np.cumsum(lengths)))
+    order = np.argsort(feature, kind="stable")
+    sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]
+    by_feature = np.searchsorted(feature[order], np.arange(len(names) + 1))
+    del order
     document = np.repeat(np.arange(len(encoded), dtype=np.int32), [len(n) for _, n in encoded])
+    encoded.clear()  # the driver's memory is bounded
     l1 = l2 = max(2e-5, prior / len(y))  # a prior counts for less the more documents there are
-    n_docs, n_sentences, n = len(y), max(len(document), 1), len(names)
+    n_docs, n_sentences, n = len(y), len(document), len(names)
+    if not n_sentences:
+        return NoisyOr({}, -60.0)
     w = np.zeros(n + 1)
     w[n] = np.log(max(y.mean(), 1e-4) / max(1.0, n_sentences / n_docs) / 4)
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
-        z = w[n] + np.bincount(sentence, weights=w[feature], minlength=n_sentences)
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        silent = np.bincount(document, weights=np.logaddexp(0, np.clip(z, -40, 40)), minlength=n_docs)
+        z = np.clip(w[n] + _sums(by_sentence, w, feature), -40, 40)
+        silent = np.bincount(document, weights=np.logaddexp(0, z), minlength=n_docs)
         pd = np.clip(-np.expm1(-silent), 1e-9, 1)
         pull = np.where(y > 0, np.minimum((1 - pd) / pd, 50.0), -1.0)
-        g = pull[document] * p if len(document) else np.zeros(n_sentences)
-        grad = np.concatenate((np.bincount(feature, weights=g[sentence], minlength=n), [g.sum()])) / n_docs
-        grad[:n] -= l2 * w[:n] + l1 * np.sign(w[:n])
+        g = pull[document] / (1 + np.exp(-z))
+        grad = np.append(_sums(by_feature, g, sentence), g.sum()) / n_docs
+        grad[:n] -= l2 * w[:n]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        w += 0.12 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) * min(1.0, 2 * (1 - step / (steps + 1)))
-    return NoisyOr({f: float(x) for f, x in zip(names, w) if abs(x) > 0.05}, float(w[n]))
+        rate = 0.12 * min(1.0, 2 * (1 - step / (steps + 1))) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        w += rate * m / (1 - 0.9**step)
+        w[:n] = np.sign(w[:n]) * np.maximum(np.abs(w[:n]) - rate[:n] * l1, 0)
+    used = np.flatnonzero(w[:n])
+    return NoisyOr(dict(zip(names[used].tolist(), w[used].tolist())), float(w[n]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from, most_labels: int, *, id_col: str, text_col: str, label_col: str, label_id: str) -> DataFrame:
@@ -115,40 +147,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from, most_labels:
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(label_id).isNotNull() & learn_from(F.col(label_id))).groupBy(F.col(label_id).alias("__id")).agg(F.max(label_col).alias("__y"))
     chosen = usable.withColumn("__h", F.xxhash64(F.lit(7), "__id")).orderBy("__h", "__id").limit(most_labels).drop("__h")
     # broadcast: most_labels rows of two numbers
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").dropDuplicates(["__id"]).select("__id", "text", F.col("__y").cast("int").alias("y"))
+    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
+    return found.groupBy("__id").agg(F.min("text").alias("text"), F.max(F.col("__y").cast("int")).alias("y"))
 
 
 def train_toxicity(
-    docs: DataFrame, labels: DataFrame, *, learn_from=lambda c: F.lit(True), most_labels: int = MOST_LABELS, most_features: int = MOST_FEATURES, least_docs: int = 5,
+    docs: DataFrame, labels: DataFrame, *, learn_from=lambda c: F.lit(True), most_labels: int = MOST_LABELS,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id",
 ) -> NoisyOr:
-    """Fit on the bounded sample. Features are chosen and texts encoded on Spark; the driver gets numbers only."""
-    sample = cut(labelled_sample(docs, labels, learn_from, most_labels, id_col=id_col, text_col=text_col, label_col=label_col, label_id=label_id))
-    n, positive = sample.agg(F.count(F.lit(1)), F.sum("y")).first()
-    if not n or not positive:
-        return NoisyOr({}, -60.0)
-
-    def features(batches):
-        for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                seen = sorted(set().union(*[sentence_features(s) for s in _SENTENCE.findall((text or "").lower())], set()))
-                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([y] * len(seen), pa.int32())], ["f", "y"])
-
-    # the features whose share of toxic documents is furthest from the rate, as a normal deviate
-    rate = positive / n
-    counted = sample.select("text", "y").mapInArrow(features, "f string, y int").groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).filter(F.col("n") >= least_docs)
-    deviate = F.abs((F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)) + 1))
-    names = [r["f"] for r in counted.orderBy(deviate.desc(), "f").limit(most_features).select("f").collect()]
-    number = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+    """Fit on the bounded sample. Texts are encoded on Spark; the driver gets numbers only."""
+    sample = labelled_sample(docs, labels, learn_from, most_labels, id_col=id_col, text_col=text_col, label_col=label_col, label_id=label_id)
 
     def encoded(batches):
         for batch in batches:
-            rows = [encode(t, number.value) for t in batch.column("text").to_pylist()]
+            rows = [encode(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("y"), *[pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (0, 1)]], ["id", "y", "f", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sample.mapInArrow(encoded, f"id {kind}, y int, f binary, n binary").orderBy("id").collect()
-    return fit_noisy_or(names, [(np.frombuffer(r["f"], np.int32), np.frombuffer(r["n"], np.int32)) for r in got], [r["y"] for r in got])
+    got = cut(sample.select("__id", "text", "y").mapInArrow(encoded, f"id {kind}, y int, f binary, n binary")).toArrow().sort_by("id")
+    texts = [(np.frombuffer(f.as_buffer(), np.uint32), np.frombuffer(n.as_buffer(), np.int32)) for f, n in zip(got.column("f"), got.column("n"))]
+    y = got.column("y").to_pylist()
+    del got
+    return fit_noisy_or(texts, y)
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr, *, id_col: str = "doc_id", text_col: str = "text", locate: float | None = 0.3) -> DataFrame:
