@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The coefficients of Abramowitz-Stegun 7.1.26 for the error function.
@@ -14,25 +14,48 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
-def norm_cdf(x) -> Column:
-    """Normal distribution function, right to 7e-8, from built-in arithmetic."""
-    x = _c(x)
-    z = F.abs(x) / 2**0.5
-    t = 1 / (1 + ERF_P * z)
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _erf_tail(z: Column, t: Column) -> Column:
+    """1 - erf(z) for z >= 0, with t = 1 / (1 + ERF_P * z)."""
     poly = F.lit(0.0)
     for a in reversed(ERF_A):
         poly = (poly + a) * t
-    erf = 1 - poly * F.exp(-z * z)
-    return F.when(x >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)
+    return poly * F.exp(-z * z)
+
+
+def norm_cdf(x) -> Column:
+    """Normal distribution function, right to 7e-8, from built-in arithmetic."""
+    x = _c(x)
+    upper = _let(F.abs(x) / 2**0.5, lambda z: _let(1 / (1 + ERF_P * z), lambda t: _erf_tail(z, t))) / 2
+    return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 
 def bs_price(cp, spot, strike, total_vol) -> Column:
     """Black-Scholes price without rates; ``total_vol`` is sigma * sqrt(T). Without volatility it is the intrinsic value; puts by parity."""
     spot, strike, v = _c(spot), _c(strike), _c(total_vol)
     d1 = F.try_divide(F.ln(F.try_divide(spot, strike)), v) + v / 2
-    call = spot * norm_cdf(d1) - strike * norm_cdf(d1 - v)
+    call = _let(F.struct(d1.alias("d1"), v.alias("v")), lambda b: spot * norm_cdf(b["d1"]) - strike * norm_cdf(b["d1"] - b["v"]))
     call = F.when(v > 0, call).otherwise(F.greatest(spot - strike, F.lit(0.0)))
-    return F.when(_c(cp) == "C", call).otherwise(call - spot + strike)
+    return call - F.when(_c(cp) == "C", 0.0).otherwise(spot - strike)
+
+
+def with_option_price(df: DataFrame, name: str, cp, spot, strike, total_vol) -> DataFrame:
+    """Adds the price of ``bs_price`` as a column, in steps, so that every intermediate value is worked out once in generated code."""
+    own = {f"__{name}_{k}": _c(x) for k, x in (("cp", cp), ("s", spot), ("k", strike), ("v", total_vol))}
+    c = lambda k: F.col(f"__{name}_{k}")
+    step = lambda df, **columns: df.withColumns({f"__{name}_{k}": v for k, v in columns.items()})
+    out = step(df.withColumns(own), d1=F.try_divide(F.ln(F.try_divide(c("s"), c("k"))), c("v")) + c("v") / 2)
+    out = step(out, d2=c("d1") - c("v"), z1=F.abs(c("d1")) / 2**0.5, z2=F.abs(c("d1") - c("v")) / 2**0.5)
+    out = step(out, t1=1 / (1 + ERF_P * c("z1")), t2=1 / (1 + ERF_P * c("z2")))
+    out = step(out, u1=_erf_tail(c("z1"), c("t1")) / 2, u2=_erf_tail(c("z2"), c("t2")) / 2)
+    n = lambda d, u: F.when(c(d) >= 0, 1 - c(u)).otherwise(c(u))
+    call = F.when(c("v") > 0, c("s") * n("d1", "u1") - c("k") * n("d2", "u2")).otherwise(F.greatest(c("s") - c("k"), F.lit(0.0)))
+    out = out.withColumn(name, call - F.when(c("cp") == "C", 0.0).otherwise(c("s") - c("k")))
+    return out.drop(*[x for x in out.columns if x.startswith(f"__{name}_")])
 
 
 def settle(cp, strike, settlement) -> Column:

@@ -15,7 +15,7 @@ def without_best(x: str) -> Column:
 
 
 def stage_gates(
-    outcomes: DataFrame, keys: list[str], order: str, base: str, elevated: str, position: str, *, min_periods: int, min_share: float, block: int = 4, resamples: int = 200, seed: str = "stage", alpha: float = 0.05
+    outcomes: DataFrame, keys: list[str], order: str, base: str, elevated: str, position: str, *, min_periods: int, min_share: float, block: int = 4, resamples: int = 2000, seed: str = "stage", alpha: float = 0.05
 ) -> DataFrame:
     """One row per key: the gate values and PASSED, FAILED or UNTESTABLE.
 

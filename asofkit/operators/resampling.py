@@ -29,15 +29,25 @@ def block_ids(df: DataFrame, keys: list[str], order: str, size: int, name: str =
     return df.withColumn(name, F.floor((F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1) / size))
 
 
-def nearest_rank_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+def nearest_rank_summary(df: DataFrame, columns: list[str], ranges: int = 64) -> DataFrame:
     """``feature, low, p10, p50, p90, high``, by the value at rank rint(f * (n - 1))."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*").filter("x is not null")
     # values are counted first, so the ranked rows are the distinct values
     counts = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy("feature")
-    r = counts.withColumn("upto", F.sum("c").over(w.orderBy("x"))).withColumn("n", F.sum("c").over(w))
-    at = lambda f: F.min(F.when(F.col("upto") > F.rint(f * (F.col("n") - 1)), F.col("x")))
-    return r.groupBy("feature").agg(F.min("x").alias("low"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("x").alias("high"))
+    # ranges between approximate quantiles: a few per feature, which are counted, then only the ranges with a wanted rank are sorted
+    cuts = counts.groupBy("feature").agg(F.percentile_approx("x", F.array(*[F.lit(k / ranges) for k in range(1, ranges)])).alias("cuts"))
+    placed = counts.join(F.broadcast(cuts), "feature").withColumn("range", F.size(F.filter("cuts", lambda q: q < F.col("x")))).drop("cuts")
+    total, before = W.partitionBy("feature"), W.partitionBy("feature").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = placed.groupBy("feature", "range").agg(F.sum("c").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    sizes = sizes.withColumns({"n": F.sum("m").over(total), "before": F.coalesce(F.sum("m").over(before), F.lit(0)), "low": F.min("lo").over(total), "high": F.max("hi").over(total)})
+    rank = lambda f: F.rint(f * (F.col("n") - 1))
+    holds = F.array_compact(F.array(*[F.when((rank(f) >= F.col("before")) & (rank(f) < F.col("before") + F.col("m")), F.struct(F.lit(name).alias("name"), (rank(f) - F.col("before")).alias("rank"))) for name, f in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))]))
+    wanted = sizes.withColumn("holds", holds).filter(F.size("holds") > 0)
+    w = W.partitionBy("feature", "range")
+    r = placed.join(F.broadcast(wanted.select("feature", "range", "holds", "low", "high")), ["feature", "range"]).withColumn("upto", F.sum("c").over(w.orderBy("x")))
+    found = r.select("feature", "x", "upto", "low", "high", F.explode("holds").alias("h"))
+    at = lambda name: F.min(F.when((F.col("h.name") == name) & (F.col("upto") > F.col("h.rank")), F.col("x"))).alias(name)
+    return found.groupBy("feature").agg(F.first("low").alias("low"), at("p10"), at("p50"), at("p90"), F.first("high").alias("high"))
 
 
 def calibration(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:

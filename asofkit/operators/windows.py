@@ -118,10 +118,11 @@ def reverse_sum(x: str, w: WindowSpec) -> Column:
     return F.coalesce(F.sum(x).over(w.rowsBetween(1, W.unboundedFollowing)), F.lit(0.0))
 
 
-def drawdown(log_return: str, w: WindowSpec) -> tuple[Column, Column]:
-    """(equity, drawdown from its running maximum): pass an expression column; equity starts at 1."""
-    equity = F.exp(F.sum(log_return).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return equity, equity
+def drawdown(df: DataFrame, log_return: Column, w: WindowSpec) -> DataFrame:
+    """Adds ``equity`` (starting at 1) and ``drawdown`` from its running maximum."""
+    frame = w.rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumn("equity", F.exp(F.sum(log_return).over(frame)))
+    return df.withColumn("drawdown", F.col("equity") / F.max("equity").over(frame) - 1)
 
 
 def chronological_split(df: DataFrame, day: str, cuts: dict[str, float]) -> DataFrame:

@@ -249,7 +249,7 @@ def win32_matured_capture(spark, d):
 st AS (SELECT symbol, count(*) AS periods, avg(base) AS m, avg(elevated) AS el, (sum(base) - max(base)) / (count(*) - 1) AS wb, avg(CASE WHEN i <= greatest(1, k // 2) THEN base END) AS h1, avg(CASE WHEN i > greatest(1, k // 2) THEN base END) AS h2, avg(CAST(pos = 1 AS INTEGER)) AS ls FROM n GROUP BY 1),
 b AS (SELECT symbol, (i - 1) // 4 AS block, sum(base) AS s, count(*) AS c FROM n GROUP BY 1, 2),
 q AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY block) - 1 AS idx, count(*) OVER (PARTITION BY symbol) AS kk FROM b),
-dr AS (SELECT symbol, r, CAST(('0x' || substr(md5('stage|' || r || '|' || idx), 1, 8)) AS BIGINT) % kk AS idx FROM q, range(200) t(r)),
+dr AS (SELECT symbol, r, CAST(('0x' || substr(md5('stage|' || r || '|' || idx), 1, 8)) AS BIGINT) % kk AS idx FROM q, range(2000) t(r)),
 lb AS (SELECT symbol, quantile_cont(m, 0.05) AS lb FROM (SELECT dr.symbol, r, sum(s) / sum(c) AS m FROM dr JOIN q ON dr.symbol = q.symbol AND dr.idx = q.idx GROUP BY 1, 2) GROUP BY 1)
 SELECT st.symbol, periods, round(m, 8) AS mean, round(el, 8) AS elevated_mean, round(wb, 8) AS without_best, round(h1, 8) AS first_half, round(h2, 8) AS second_half, round(ls, 6) AS long_share, round(lb, 8) AS lower_bound,
 CASE WHEN periods < 100 OR least(ls, 1 - ls) < 0.1 THEN 'UNTESTABLE' WHEN m > 0 AND el > 0 AND wb > 0 AND h1 > 0 AND h2 > 0 AND lb > 0 THEN 'PASSED' ELSE 'FAILED' END AS verdict FROM st JOIN lb ON st.symbol = lb.symbol""")

@@ -87,12 +87,13 @@ def bar8_untraded_dropped(spark, d):
 
 @query(with_sql("daily") + """SELECT symbol, count(*) AS sessions, count(DISTINCT session) AS distinct_sessions, (SELECT count(DISTINCT session) FROM daily) - count(DISTINCT session) AS missing FROM daily GROUP BY 1""")
 def bar9_universe_completeness(spark, d):
-    b = daily_bars(spark, d).cache()
-    every = b.select("session").distinct().count()
-    return b.groupBy("symbol").agg(F.count(F.lit(1)).alias("sessions"), F.count_distinct("session").alias("distinct_sessions"), (F.lit(every) - F.count_distinct("session")).alias("missing"))
+    b = daily_bars(spark, d)
+    every = b.agg(F.count_distinct("session").alias("every"))  # one row
+    g = b.groupBy("symbol").agg(F.count(F.lit(1)).alias("sessions"), F.count_distinct("session").alias("distinct_sessions"))
+    return g.join(every).select("symbol", "sessions", "distinct_sessions", (F.col("every") - F.col("distinct_sessions")).alias("missing"))
 
 
-@query(with_sql("hourly") + """SELECT g.symbol, g.session, g.minute, CASE WHEN g.minute - b.bar_minute <= 120 THEN b.close END AS price FROM
+@query(with_sql("hourly") + """SELECT g.symbol, g.session, g.minute, CASE WHEN g.minute - b.bar_minute <= 15 THEN b.close END AS price FROM
 (SELECT s.symbol, s.session, CAST(m.minute AS INTEGER) AS minute FROM (SELECT DISTINCT symbol, session FROM hourly) s, (SELECT unnest(range(0, 1440, 120)) AS minute) m) g
 ASOF LEFT JOIN (SELECT symbol, session, minute + 60 AS bar_minute, close FROM hourly) b ON g.symbol = b.symbol AND g.session = b.session AND g.minute >= b.bar_minute""")
 def bar10_grid_prices(spark, d):
@@ -101,7 +102,7 @@ def bar10_grid_prices(spark, d):
     both = bars.unionByName(grid.select("symbol", "session", F.col("minute").alias("at"), F.lit(None).cast("double").alias("close"), "minute"))
     w = W.partitionBy("symbol", "session").orderBy("at", F.col("minute").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     seen = both.withColumn("bar", F.last(F.when(F.col("close").isNotNull(), F.struct("at", "close")), ignorenulls=True).over(w)).filter("minute is not null")
-    return seen.select("symbol", "session", "minute", F.when(F.col("minute") - F.col("bar.at") <= 120, F.col("bar.close")).alias("price"))
+    return seen.select("symbol", "session", "minute", F.when(F.col("minute") - F.col("bar.at") <= 15, F.col("bar.close")).alias("price"))
 
 
 @query("""SELECT o_orderkey, o_orderpriority[1:1] || strftime(o_orderdate, '%y%m%d') || 'C' || lpad(CAST(CAST(round_even(o_totalprice / 5000, 0) * 5000 AS BIGINT) AS VARCHAR), 8, '0') AS symbol FROM orders""")
@@ -148,11 +149,11 @@ def cal8_midpoint_quarter(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", y.alias("y"), q.alias("q"))
 
 
-@query(with_sql("daily") + f"""SELECT symbol, session, round(close / lag(close, 1) OVER w - 1, 6) AS ret_1, round(close / lag(close, 5) OVER w - 1, 6) AS ret_5, round(close / lag(close, 20) OVER w - 1, 6) AS ret_20, round(close / lag(close, 60) OVER w - 1, 6) AS ret_60,
+@query(with_sql("daily") + f"""SELECT symbol, session, round(close / lag(close, 1) OVER w - 1, 6) AS ret_1, round(close / lag(close, 5) OVER w - 1, 6) AS ret_5, round(close / lag(close, 10) OVER w - 1, 6) AS ret_10, round(close / lag(close, 20) OVER w - 1, 6) AS ret_20, round(close / lag(close, 60) OVER w - 1, 6) AS ret_60,
 round(close / open - 1, 6) AS open_close, round(open / lag(close, 1) OVER w - 1, 6) AS gap FROM daily WINDOW w AS ({WS})""")
 def win1_returns(spark, d):
     w = win.series()
-    rets = {k: r6(v) for k, v in win.k_returns("close", (1, 5, 20, 60), w).items()}
+    rets = {k: r6(v) for k, v in win.k_returns("close", (1, 5, 10, 20, 60), w).items()}
     return daily_bars(spark, d).withColumns(rets | {"open_close": r6(F.col("close") / F.col("open") - 1), "gap": r6(F.col("open") / F.lag("close").over(w) - 1)}).drop("open", "high", "low", "close", "volume")
 
 
@@ -175,10 +176,10 @@ def win2_realized_vol(spark, d):
     return b.select("symbol", "session", *[r6(win.realized_vol("ret", n, w)).alias(f"vol_{n}") for n in (5, 20, 60)])
 
 
-@query(with_sql("daily") + f"SELECT symbol, session, {_full('avg(close) OVER @', 'close', 5)} AS ma_5, {_full('avg(close) OVER @', 'close', 20)} AS ma_20, {_full('close / avg(close) OVER @ - 1', 'close', 60)} AS dist_60 FROM daily")
+@query(with_sql("daily") + f"SELECT symbol, session, {_full('avg(close) OVER @', 'close', 5)} AS ma_5, {_full('avg(close) OVER @', 'close', 20)} AS ma_20, {_full('avg(close) OVER @', 'close', 60)} AS ma_60, {_full('close / avg(close) OVER @ - 1', 'close', 60)} AS dist_60, CASE WHEN count(close) OVER ({WS} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20 THEN round(avg(close) OVER ({WS} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / avg(close) OVER ({WS} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) - 1, 6) END AS spread_5_20 FROM daily")
 def win3_moving_averages(spark, d):
     w = win.series()
-    return daily_bars(spark, d).select("symbol", "session", r6(win.moving_average("close", 5, w)).alias("ma_5"), r6(win.moving_average("close", 20, w)).alias("ma_20"), r6(F.col("close") / win.moving_average("close", 60, w) - 1).alias("dist_60"))
+    return daily_bars(spark, d).select("symbol", "session", r6(win.moving_average("close", 5, w)).alias("ma_5"), r6(win.moving_average("close", 20, w)).alias("ma_20"), r6(win.moving_average("close", 60, w)).alias("ma_60"), r6(F.col("close") / win.moving_average("close", 60, w) - 1).alias("dist_60"), r6(win.moving_average("close", 5, w) / win.moving_average("close", 20, w) - 1).alias("spread_5_20"))
 
 
 @query(with_sql("daily") + f"""SELECT symbol, session, {_full('close / max(close) OVER @ - 1', 'close', 20)} AS from_high, {_full('close / min(close) OVER @ - 1', 'close', 20)} AS from_low,
@@ -195,11 +196,11 @@ def win5_extreme_recency(spark, d):
     return daily_bars(spark, d).select("symbol", "session", r6(win.extreme_recency("high", 20, w, True)).alias("high_recency"), r6(win.extreme_recency("low", 20, w, False)).alias("low_recency"))
 
 
-@query(with_sql("daily") + f", {RET} SELECT symbol, session, {_full('regr_slope(close, rn) OVER @ / avg(close) OVER @', 'close', 20)} AS slope_20, {_full('regr_r2(close, rn) OVER @', 'close', 20)} AS r2_20 FROM r")
+@query(with_sql("daily") + f", {RET} SELECT symbol, session, {_full('regr_slope(close, rn) OVER @ / avg(close) OVER @', 'close', 20)} AS slope_20, {_full('regr_r2(close, rn) OVER @', 'close', 20)} AS r2_20, {_full('regr_slope(close, rn) OVER @ / avg(close) OVER @', 'close', 60)} AS slope_60, {_full('regr_r2(close, rn) OVER @', 'close', 60)} AS r2_60 FROM r")
 def win6_trend_fit(spark, d):
     b, w = _ret(spark, d)
-    slope, r2 = win.trend("close", "rn", 20, w)
-    return b.select("symbol", "session", r6(slope).alias("slope_20"), r6(r2).alias("r2_20"))
+    fits = {n: win.trend("close", "rn", n, w) for n in (20, 60)}
+    return b.select("symbol", "session", *[r6(c).alias(f"{name}_{n}") for n, fit in fits.items() for name, c in zip(("slope", "r2"), fit)])
 
 
 @query(with_sql("daily") + f"""SELECT symbol, session, round(avg(volume) OVER ({WS} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / avg(volume) OVER ({WS} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS volume_ratio, {_full('stddev_samp(volume) OVER @ / avg(volume) OVER @', 'volume', 20)} AS volume_cv FROM daily""")
@@ -239,10 +240,30 @@ def win11_signed_streak(spark, d):
     return win.signed_streak(b, "ret", w, ("symbol",)).select("symbol", "session", "streak")
 
 
-@query(with_sql("daily") + f""", {RET} SELECT symbol, session, CASE WHEN ret IS NOT NULL THEN round(CASE WHEN count(*) OVER p < 2 THEN 0.5 ELSE (row_number() OVER (PARTITION BY session, ret IS NULL ORDER BY ret, symbol) - 1.0) / (count(*) OVER p - 1) END, 6) END AS rank_ret FROM r WINDOW p AS (PARTITION BY session, ret IS NULL)""")
+#: The features that are ranked across the universe, in SQL; their order is that of ``_ranked_features``.
+_RANKED = {
+    "ret_1": "ret", "ret_5": "close / lag(close, 5) OVER w - 1", "ret_20": "close / lag(close, 20) OVER w - 1", "ret_60": "close / lag(close, 60) OVER w - 1",
+    "vol_20": _full("stddev_samp(ret) OVER @", "ret", 20), "dist_20": _full("close / avg(close) OVER @ - 1", "close", 20),
+    "volume_ratio": f"round(avg(volume) OVER ({WS} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / avg(volume) OVER ({WS} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6)",
+    "from_high": _full("close / max(close) OVER @ - 1", "close", 20),
+}
+_RANK_SQL = ", ".join(
+    f"CASE WHEN {c} IS NOT NULL THEN round(CASE WHEN count(*) OVER (PARTITION BY session, {c} IS NULL) < 2 THEN 0.5 ELSE (row_number() OVER (PARTITION BY session, {c} IS NULL ORDER BY {c}, symbol) - 1.0) / (count(*) OVER (PARTITION BY session, {c} IS NULL) - 1) END, 6) END AS rank_{c}"
+    for c in _RANKED
+)
+
+
+@query(with_sql("daily") + f", {RET}, x AS (SELECT symbol, session, {', '.join(f'round({e}, 6) AS {c}' for c, e in _RANKED.items())} FROM r WINDOW w AS ({WS})) SELECT symbol, session, {_RANK_SQL} FROM x")
 def win12_cross_rank(spark, d):
-    b, _ = _ret(spark, d)
-    return b.select("symbol", "session", r6(win.cross_rank("ret")).alias("rank_ret"))
+    """Features are rounded before they are ranked, so that ties are ties in every engine."""
+    b, w = _ret(spark, d)
+    f = w.rowsBetween(-19, 0)
+    features = {f"ret_{k}": F.col("close") / F.lag("close", k).over(w) - 1 for k in (1, 5, 20, 60)} | {
+        "vol_20": win.realized_vol("ret", 20, w), "dist_20": F.col("close") / win.moving_average("close", 20, w) - 1,
+        "volume_ratio": F.avg("volume").over(w.rowsBetween(-4, 0)) / F.avg("volume").over(f), "from_high": win.full(F.col("close") / F.max("close").over(f) - 1, "close", f, 20),
+    }
+    b = b.select("symbol", "session", *[r6(c).alias(name) for name, c in features.items()])
+    return b.select("symbol", "session", *[r6(win.cross_rank(c)).alias(f"rank_{c}") for c in _RANKED])
 
 
 @query(with_sql("daily") + f"SELECT symbol, session, round(lead(close) OVER w / lead(open) OVER w - 1, 6) AS next_open_to_close, round(lead(close) OVER w / close - 1, 6) AS next_close_to_close FROM daily WINDOW w AS ({WS})")
@@ -284,19 +305,22 @@ def _remaining(spark, d):
     return b.withColumn("rv", win.reverse_sum("sq", w))
 
 
-_BEFORE = "(PARTITION BY symbol, minute ORDER BY session ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
+_BEFORE = "(PARTITION BY symbol, minute ORDER BY session ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
 
 
-@query(with_sql("hourly") + _TRAIL + f"SELECT symbol, session, minute, CASE WHEN count(rv) OVER {_BEFORE} = 5 THEN round(avg(rv) OVER {_BEFORE}, 6) END AS trailing FROM y")
+@query(with_sql("hourly") + _TRAIL + f"SELECT symbol, session, minute, CASE WHEN count(rv) OVER {_BEFORE} = 20 THEN round(avg(rv) OVER {_BEFORE}, 6) END AS trailing FROM y")
 def win17_trailing_profile(spark, d):
-    f = W.partitionBy("symbol", "minute").orderBy("session").rowsBetween(-5, -1)
-    return _remaining(spark, d).select("symbol", "session", "minute", r6(win.full(F.avg("rv").over(f), "rv", f, 5)).alias("trailing"))
+    f = W.partitionBy("symbol", "minute").orderBy("session").rowsBetween(-20, -1)
+    return _remaining(spark, d).select("symbol", "session", "minute", r6(win.full(F.avg("rv").over(f), "rv", f, 20)).alias("trailing"))
 
 
-@query(with_sql("hourly") + _TRAIL + f""", z AS (SELECT *, list(rv) OVER {_BEFORE} AS v FROM y) SELECT symbol, session, minute, CASE WHEN len(v) = 5 THEN round((v[5] + 0.85 * v[4] + 0.85 * 0.85 * v[3] + 0.85 * 0.85 * 0.85 * v[2] + 0.85 * 0.85 * 0.85 * 0.85 * v[1]) / (1 + 0.85 + 0.85 * 0.85 + 0.85 * 0.85 * 0.85 + 0.85 * 0.85 * 0.85 * 0.85), 6) END AS trailing FROM z""")
+_DECAY = " + ".join(f"{0.85 ** k!r} * v[{20 - k}]" for k in range(20))
+
+
+@query(with_sql("hourly") + _TRAIL + f""", z AS (SELECT *, list(rv) OVER {_BEFORE} AS v FROM y) SELECT symbol, session, minute, CASE WHEN len(v) = 20 THEN round(({_DECAY}) / {sum(0.85 ** k for k in range(20))!r}, 6) END AS trailing FROM z""")
 def win18_trailing_profile_ewma(spark, d):
     w = W.partitionBy("symbol", "minute").orderBy("session")
-    return _remaining(spark, d).select("symbol", "session", "minute", r6(win.ewma_of_last("rv", 5, 0.85, w)).alias("trailing"))
+    return _remaining(spark, d).select("symbol", "session", "minute", r6(win.ewma_of_last("rv", 20, 0.85, w)).alias("trailing"))
 
 
 @query(with_sql("daily") + f"SELECT symbol, session, {_full('coalesce((close - (avg(close) OVER @ - 2 * stddev_pop(close) OVER @)) / nullif(4 * stddev_pop(close) OVER @, 0), 0.5)', 'close', 20)} AS pct_b, {_full('4 * stddev_pop(close) OVER @ / avg(close) OVER @', 'close', 20)} AS bandwidth FROM daily")
@@ -318,18 +342,17 @@ def win23_intraday_features(spark, d):
     return s.select("symbol", "session", r6("or_high").alias("or_high"), r6("or_low").alias("or_low"), r6("vwap").alias("vwap"), r6(F.col("close") / F.col("open") - 1).alias("so_far"), r6(F.try_divide(F.col("fv"), F.avg("fv").over(before))).alias("volume_ratio"))
 
 
-@query(with_sql("daily") + f", {RET} SELECT symbol, session, CASE WHEN count(ret) OVER b = 100 AND stddev_pop(ret) OVER b > 0 THEN round((ret - avg(ret) OVER b) / stddev_pop(ret) OVER b, 6) END AS z FROM r WINDOW b AS ({WS} ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)")
+@query(with_sql("daily") + f", {RET} SELECT symbol, session, CASE WHEN count(ret) OVER b = 500 AND stddev_pop(ret) OVER b > 0 THEN round((ret - avg(ret) OVER b) / stddev_pop(ret) OVER b, 6) END AS z FROM r WINDOW b AS ({WS} ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING)")
 def win25_past_zscore(spark, d):
     b, w = _ret(spark, d)
-    return b.select("symbol", "session", r6(win.past_zscore("ret", 100, w)).alias("z"))
+    return b.select("symbol", "session", r6(win.past_zscore("ret", 500, w)).alias("z"))
 
 
 @query(with_sql("daily") + f", {RET}, e AS (SELECT symbol, session, sum(ln(1 + ret / 10)) OVER ({WS}) AS s FROM r) SELECT symbol, session, round(exp(s), 6) AS equity, round(exp(s) / exp(max(s) OVER ({WS})) - 1, 6) AS drawdown FROM e")
 def win34_drawdown(spark, d):
     b, w = _ret(spark, d)
-    u = w.rowsBetween(W.unboundedPreceding, 0)
-    e = b.withColumn("s", F.sum(F.ln(1 + F.col("ret") / 10)).over(u))
-    return e.select("symbol", "session", r6(F.exp("s")).alias("equity"), r6(F.exp("s") / F.exp(F.max("s").over(u)) - 1).alias("drawdown"))
+    e = win.drawdown(b, F.ln(1 + F.col("ret") / 10), w)
+    return e.select("symbol", "session", r6("equity").alias("equity"), r6("drawdown").alias("drawdown"))
 
 
 @query(with_sql("daily") + """, n AS (SELECT session, row_number() OVER (ORDER BY session) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT session FROM daily))
@@ -351,9 +374,10 @@ _V = "(l_discount + 0.05)"
 
 @query(f"""SELECT l_orderkey, l_linenumber, round({fn.sql_norm_cdf('(l_discount * 40 - 2)')}, 6) AS cdf, round({fn.sql_bs_call('100.0', '(80 + l_quantity)', _V)}, 6) AS call, round({fn.sql_bs_call('100.0', '(80 + l_quantity)', _V)} - 100.0 + (80 + l_quantity), 6) AS put FROM lineitem""")
 def fn1_fn2_option_prices(spark, d):
-    li = table(spark, d, "lineitem")
-    k, v = F.col("l_quantity") + 80, F.col("l_discount") + 0.05
-    return li.select("l_orderkey", "l_linenumber", r6(fn.norm_cdf(F.col("l_discount") * 40 - 2)).alias("cdf"), r6(fn.bs_price(F.lit("C"), F.lit(100.0), k, v)).alias("call"), r6(fn.bs_price(F.lit("P"), F.lit(100.0), k, v)).alias("put"))
+    li = table(spark, d, "lineitem").withColumns({"k": F.col("l_quantity") + 80, "v": F.col("l_discount") + 0.05})
+    li = fn.with_option_price(li, "call", F.lit("C"), F.lit(100.0), F.col("k"), F.col("v"))
+    li = li.withColumn("put", F.col("call") - 100.0 + F.col("k"))  # parity
+    return li.select("l_orderkey", "l_linenumber", r6(fn.norm_cdf(F.col("l_discount") * 40 - 2)).alias("cdf"), r6("call").alias("call"), r6("put").alias("put"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, greatest(l_extendedprice / 100 - 300, 0) - greatest(l_extendedprice / 100 - 305, 0) AS call_spread, round_even(l_extendedprice / 500, 0) * 5 AS strike FROM lineitem""")
@@ -412,7 +436,9 @@ def fn27_array_join(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list("o_orderpriority"))), ";").alias("priorities"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT event_id, CAST(epoch_ms(ts) AS BIGINT) AS ms, date_trunc('second', ts) AS back FROM events""")
+@query("""SELECT event_id, epoch_us(ts) // 1000 AS ms, date_trunc('second', ts) AS back, date_trunc('second', ts) AS back_ns, CASE WHEN event_id % 7 > 0 THEN round(value * (event_id % 7) / (event_id % 7), 6) END AS vwap FROM events""")
 def fn22_epoch_timestamps(spark, d):
-    e = table(spark, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    return e.select("event_id", "ms", F.date_trunc("second", fn.epoch_timestamp("ms")).cast("timestamp_ntz").alias("back"))
+    """Milliseconds and nanoseconds of the same moments, and the mean price of a bar from turnover and volume (none without volume)."""
+    e = table(spark, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "value", (F.col("event_id") % 7).alias("volume"))
+    second = lambda x: F.date_trunc("second", fn.epoch_timestamp(x)).cast("timestamp_ntz")
+    return e.select("event_id", "ms", second("ms").alias("back"), second(F.col("ms") * 1_000_000).alias("back_ns"), r6(F.try_divide(F.col("value") * F.col("volume"), F.col("volume"))).alias("vwap"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from asofkit.functions import scalars as fn
-from asofkit.operators import indicators, resampling, rules, vintages
+from asofkit.operators import indicators, integrity, resampling, rules, vintages
 from asofkit.operators import windows as win
 from asofkit.operators.asof import asof, latest_per_key, live_at, nearest_prior, visible_rows
 from asofkit.operators.calendar import iso_week
@@ -61,11 +61,14 @@ _DECISION_DAYS = "dd AS (SELECT DISTINCT symbol, filed AS d FROM facts)"
 
 
 @query(with_sql("facts") + f""", {_DECISION_DAYS} SELECT symbol, d, "end", value, accession FROM (SELECT dd.symbol, dd.d, f."end", f.value, f.accession, row_number() OVER (PARTITION BY dd.symbol, dd.d, f."end" ORDER BY f.filed DESC, CAST(f.form LIKE '%/A' AS INTEGER) DESC, f.accession DESC) AS r
-FROM dd JOIN facts f ON f.symbol = dd.symbol AND f.filed <= dd.d AND f."end" >= dd.d - 400) WHERE r = 1""")
+FROM dd JOIN facts f ON f.symbol = dd.symbol AND f.filed <= dd.d AND f."end" BETWEEN dd.d - 400 AND dd.d) WHERE r = 1""")
 def join4_point_in_time_values(spark, d):
     facts = src.ytd_facts(spark, d)
     days = facts.select("symbol", F.col("filed").alias("d")).distinct()
-    met = days.join(facts, "symbol").filter((F.col("filed") <= F.col("d")) & (F.col("end") >= F.date_sub("d", 400)))
+    # periods lie in the bucket of the day or in the one before, so a day meets no older facts
+    bucket = lambda c: F.floor(F.unix_date(c) / 401)
+    days = days.withColumn("b", F.explode(F.array(bucket("d"), bucket("d") - 1)))
+    met = days.join(facts.withColumn("b", bucket("end")), ["symbol", "b"]).filter((F.col("filed") <= F.col("d")) & F.datediff("d", "end").between(0, 400))
     order = [F.desc("filed"), F.col("form").endswith("/A").desc(), F.desc("accession")]
     return latest_per_key(met, ["symbol", "d", "end"], order).select("symbol", "d", "end", "value", "accession")
 
@@ -74,12 +77,12 @@ _PRINTS = """p AS (SELECT user_id, ts, max(event_id) AS event_id, max_by(value,
 l AS (SELECT event_id AS purchase_id, user_id, ts FROM events WHERE event_type = 'purchase')"""
 
 
-@query(f"""WITH {_PRINTS} SELECT l.purchase_id, CASE WHEN epoch(l.ts) - epoch(p.ts) <= 86400 THEN p.event_id END AS print_id, CASE WHEN epoch(l.ts) - epoch(p.ts) <= 86400 THEN p.value END AS price FROM l ASOF LEFT JOIN p ON l.user_id = p.user_id AND l.ts >= p.ts""")
+@query(f"""WITH {_PRINTS} SELECT l.purchase_id, CASE WHEN epoch(l.ts) - epoch(p.ts) <= 900 THEN p.event_id END AS print_id, CASE WHEN epoch(l.ts) - epoch(p.ts) <= 900 THEN p.value END AS price FROM l ASOF LEFT JOIN p ON l.user_id = p.user_id AND l.ts >= p.ts""")
 def join5_freshest_print(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     left = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", F.col("ts").alias("at"))
     right = e.filter("event_type <> 'purchase'").select("user_id", "ts", "event_id", "value")
-    out = asof(left, right, keys=["user_id"], left_ts="at", right_ts="ts", values=["event_id", "value"], tie=["event_id"], tolerance_seconds=86400)
+    out = asof(left, right, keys=["user_id"], left_ts="at", right_ts="ts", values=["event_id", "value"], tie=["event_id"], tolerance_seconds=900)
     return out.select("purchase_id", F.col("event_id").alias("print_id"), F.col("value").alias("price"))
 
 
@@ -106,8 +109,9 @@ def join12_prior_period(spark, d):
 @query(with_sql("daily") + """SELECT symbol, session FROM (SELECT DISTINCT s.symbol, x.session FROM (SELECT DISTINCT symbol FROM daily) s, (SELECT DISTINCT session FROM daily) x) EXCEPT SELECT symbol, session FROM daily""")
 def join16_missing_sessions(spark, d):
     b = daily_bars(spark, d).select("symbol", "session")
-    grid = b.select("session").distinct().join(b.select("symbol").distinct().groupBy().agg(F.collect_set("symbol").alias("s")), how="cross").select(F.explode("s").alias("symbol"), "session")
-    return grid.join(b, ["symbol", "session"], "left_anti")
+    every = b.agg(F.collect_set("session").alias("every"))  # one row: the days of the calendar
+    seen = b.groupBy("symbol").agg(F.collect_set("session").alias("seen"))
+    return seen.join(every).select("symbol", F.explode(F.array_except("every", "seen")).alias("session"))
 
 
 @query(with_sql("trades") + """SELECT date, count(*) AS n, sum(CASE WHEN selected THEN 1 ELSE 0 END)::BIGINT AS signal, round(avg(CASE WHEN selected THEN settlement - debit END), 6) AS signal_pnl, round(avg(settlement - debit), 6) AS control_pnl FROM trades WHERE priced GROUP BY 1""")
@@ -215,12 +219,12 @@ def agg17_feature_ranges(spark, d):
 
 
 @query(with_sql("tape") + """, live AS (SELECT * FROM tape WHERE superseded_at IS NULL), c AS (SELECT date_trunc('month', index_date) AS m, count(DISTINCT index_date) AS days FROM tape GROUP BY 1)
-SELECT index_code, CAST(date_trunc('month', index_date) AS DATE) AS month, CASE WHEN count(*) >= 0.7 * max(c.days) AND count(DISTINCT methodology) = 1 THEN round(avg(value), 4) END AS value FROM live JOIN c ON date_trunc('month', index_date) = c.m GROUP BY 1, 2""")
+SELECT index_code, CAST(date_trunc('month', index_date) AS DATE) AS month, CASE WHEN count(*) >= 0.9 * max(c.days) AND count(DISTINCT methodology) = 1 THEN round(avg(value), 4) END AS value FROM live JOIN c ON date_trunc('month', index_date) = c.m GROUP BY 1, 2""")
 def agg21_tape_month_value(spark, d):
     t = src.tape(spark, d).withColumn("month", F.trunc("index_date", "month"))
     days = t.groupBy("month").agg(F.count_distinct("index_date").alias("days"))
     live = t.filter("superseded_at is null").groupBy("index_code", "month").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("methodology").alias("k"), F.avg("value").alias("v"))
-    return live.join(days, "month").select("index_code", "month", F.when((F.col("n") >= 0.7 * F.col("days")) & (F.col("k") == 1), F.round("v", 4)).alias("value"))
+    return live.join(days, "month").select("index_code", "month", F.when((F.col("n") >= 0.9 * F.col("days")) & (F.col("k") == 1), F.round("v", 4)).alias("value"))
 
 
 @query(with_sql("facts") + """SELECT symbol, count(DISTINCT "end") AS periods, min("end") AS first, max("end") AS last, count(*) AS vintages, array_to_string(list_sort(list_distinct(list(form))), ';') AS forms FROM facts GROUP BY 1""")
@@ -249,11 +253,11 @@ _WEEKS = """t AS (SELECT symbol, session, close / lag(close) OVER (PARTITION BY
 i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY wk) - 1 AS idx, count(*) OVER (PARTITION BY symbol) AS k FROM c)"""
 
 
-@query(with_sql("daily") + f""", {_WEEKS}, dr AS (SELECT k.symbol, k.k, r, slot, CAST('0x' || left(md5('7|' || r || '|' || slot), 8) AS BIGINT) % k.k AS idx FROM (SELECT DISTINCT symbol, k FROM i) k, (SELECT unnest(range(100)) AS r) r, (SELECT unnest(range(1000)) AS slot) s WHERE slot < k.k),
+@query(with_sql("daily") + f""", {_WEEKS}, dr AS (SELECT k.symbol, k.k, r, slot, CAST('0x' || left(md5('7|' || r || '|' || slot), 8) AS BIGINT) % k.k AS idx FROM (SELECT DISTINCT symbol, k FROM i) k, (SELECT unnest(range(2000)) AS r) r, (SELECT unnest(range(1000)) AS slot) s WHERE slot < k.k),
 m AS (SELECT dr.symbol, r, sum(i.s) / sum(i.n) AS mean FROM dr JOIN i ON i.symbol = dr.symbol AND i.idx = dr.idx GROUP BY 1, 2) SELECT symbol, round(quantile_cont(mean, 0.05), 6) AS lower_bound FROM m GROUP BY 1""")
 def res1_weekly_cluster_bootstrap(spark, d):
     t = daily_bars(spark, d).withColumn("x", F.col("close") / F.lag("close").over(win.series()) - 1).filter("x is not null")
-    out = resampling.cluster_bootstrap(t.withColumn("wk", iso_week("session")), ["symbol"], "wk", "x", resamples=100, seed="7", alpha=0.05)
+    out = resampling.cluster_bootstrap(t.withColumn("wk", iso_week("session")), ["symbol"], "wk", "x", resamples=2000, seed="7", alpha=0.05)
     return out.select("symbol", r6("lower_bound").alias("lower_bound"))
 
 
@@ -263,7 +267,7 @@ def res1_weekly_cluster_bootstrap(spark, d):
 _EV1 = with_sql("hourly") + f"""
 , s AS (SELECT symbol, session, max(CASE WHEN minute = 600 THEN open END) AS entry, max(CASE WHEN o = 1 THEN open END) AS open, max(CASE WHEN z = 1 THEN close END) AS close FROM (SELECT *, row_number() OVER (PARTITION BY symbol, session ORDER BY minute) AS o, row_number() OVER (PARTITION BY symbol, session ORDER BY minute DESC) AS z FROM hourly) GROUP BY 1, 2),
 v AS (SELECT *, ln(close / lag(close) OVER w) AS lr FROM s WINDOW w AS (PARTITION BY symbol ORDER BY session)),
-u AS (SELECT *, CASE WHEN count(lr) OVER f = 5 THEN stddev_samp(lr) OVER f END AS vol FROM v WINDOW f AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+u AS (SELECT *, CASE WHEN count(lr) OVER f = 20 THEN stddev_samp(lr) OVER f END AS vol FROM v WINDOW f AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 q AS (SELECT *, lag(vol) OVER (PARTITION BY symbol ORDER BY session) AS dv FROM u),
 x AS (SELECT symbol, session, entry, close, coalesce(entry / open - 1 < 0, false) AS selected, round_even(entry / 5, 0) * 5 AS k1, round_even(entry / 5, 0) * 5 + 5 AS k2, dv * 1.1 * sqrt((1440 - 600) / 840.0) AS sv FROM q WHERE dv > 0 AND entry IS NOT NULL AND round_even(entry / 5, 0) > 0),
 p AS (SELECT *, {fn.sql_bs_call('entry', 'k1', 'sv')} - {fn.sql_bs_call('entry', 'k2', 'sv')} AS debit, greatest(close - k1, 0) - greatest(close - k2, 0) AS settled FROM x)
@@ -276,11 +280,13 @@ def ev1_options_backtest(spark, d):
     bars = intraday_bars(spark, d)
     s = bars.groupBy("symbol", "session").agg(F.max(F.when(F.col("minute") == 600, F.col("open"))).alias("entry"), F.min_by("open", "minute").alias("open"), F.max_by("close", "minute").alias("close"))
     w = win.series()
-    s = s.withColumn("lr", F.ln(F.col("close") / F.lag("close").over(w))).withColumn("vol", win.realized_vol("lr", 5, w)).withColumn("dv", F.lag("vol").over(w))
+    s = s.withColumn("lr", F.ln(F.col("close") / F.lag("close").over(w))).withColumn("vol", win.realized_vol("lr", 20, w)).withColumn("dv", F.lag("vol").over(w))
     rule = rules.compile_rule({"lt": [{"observed": "ret_entry"}, 0.0]}, {"ret_entry": F.col("entry") / F.col("open") - 1})
     k1 = fn.snap(F.col("entry"))
     x = s.filter((F.col("dv") > 0) & F.col("entry").isNotNull() & (k1 > 0)).withColumns({"selected": rule, "k1": k1, "k2": k1 + 5, "sv": fn.session_vol("dv", F.lit(600), 1440, 840)})
-    debit = fn.bs_price(F.lit("C"), "entry", "k1", "sv") - fn.bs_price(F.lit("C"), "entry", "k2", "sv")
+    for name, k in (("long", "k1"), ("short", "k2")):
+        x = fn.with_option_price(x, name, F.lit("C"), "entry", k, "sv")
+    debit = F.col("long") - F.col("short")
     settled = fn.settle(F.lit("C"), "k1", "close") - fn.settle(F.lit("C"), "k2", "close")
     p = x.withColumns({"debit": debit, "settled": settled, "y": F.year("session")}).filter("debit > -5 and debit < 5")
     g = p.groupingSets([["selected"], ["selected", "y"]], "selected", "y")
@@ -352,11 +358,12 @@ def int2_hash_chain(spark, d):
     return c.select("conv_id", "turn", F.sha2(F.concat(F.coalesce("prev", F.lit("")), F.lit("|"), F.col("turn").cast("string"), F.lit("|"), F.col("text")), 256).alias("digest"))
 
 
-@query("""SELECT o_orderstatus, sha256(string_agg(h, '' ORDER BY h)) AS digest, count(*) AS n FROM (SELECT o_orderstatus, sha256(o_orderkey || '|' || o_custkey) AS h FROM orders) GROUP BY 1""")
+@query("""SELECT o_orderstatus, sha256(string_agg(d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM (SELECT o_orderstatus, h[1:3] AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM
+(SELECT o_orderstatus, sha256(o_orderkey || chr(31) || o_custkey || chr(31) || CAST(round(o_totalprice * 100) AS BIGINT) || chr(31) || strftime(o_orderdate, '%Y-%m-%d') || chr(31) || o_orderpriority) AS h FROM orders) GROUP BY 1, 2) GROUP BY 1""")
 def int1_table_digest(spark, d):
-    """Row digests in sorted order; per partition value first, as the manifest of a partitioned table is made."""
-    o = table(spark, d, "orders").select("o_orderstatus", F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")), 256).alias("h"))
-    return o.groupBy("o_orderstatus").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    """Row digests, digests of their sorted runs by hash prefix, and one digest of those per partition value."""
+    o = table(spark, d, "orders").select("o_orderstatus", *[F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_custkey", "o_orderpriority")], F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.round(F.col("o_totalprice") * 100).cast("long").cast("string").alias("cents"))
+    return integrity.table_digest(o, ["o_orderstatus"], ["o_orderkey", "o_custkey", "cents", "day", "o_orderpriority"])
 
 
 # --- paths that depend on their own past -----------------------------------------------------------------------------

@@ -17,19 +17,34 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(x):
+    """Integers, dates, strings and Booleans as they are; other numbers as floats."""
     if hasattr(x, "isoformat"):
         return x.isoformat().replace("T00:00:00", "").replace(" 00:00:00", "")
-    if isinstance(x, bool) or x is None or isinstance(x, str):
+    if isinstance(x, (bool, int, str)) or x is None:
         return x
-    if isinstance(x, (int, float)) or hasattr(x, "__float__"):
-        x = float(x)
-        return None if math.isnan(x) else round(x, 5) + 0.0
+    if isinstance(x, (list, tuple)):
+        return str([plain(e) for e in x])
+    if hasattr(x, "__float__"):
+        return None if math.isnan(float(x)) else float(x) + 0.0
     return str(x)
 
 
+def place(x):
+    """A sort key that is the same for an integer and an equal float, and for floats that differ in the last digits."""
+    if x is None or isinstance(x, (bool, str)):
+        return (0, str(x))
+    return (1, f"{float(f'{x:.5g}'):+.4e}") if isinstance(x, float) or abs(x) < 1 << 53 else (1, str(x))
+
+
 def rows_of(names: list[str], rows) -> list[tuple]:
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
+    return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=lambda r: [(2, "") if isinstance(x, float) else place(x) for x in r] + [place(x) for x in r])
+
+
+def differ(x, y) -> bool:
+    if isinstance(x, float) or isinstance(y, float):
+        return not (isinstance(x, (int, float)) and isinstance(y, (int, float)) and abs(x - y) <= 2e-5 * max(1, abs(x)))
+    return x != y
 
 
 def compare(spark, con, query, sql: str, sf_dir: str) -> str | None:
@@ -42,6 +57,6 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> str | None:
     if len(got) != len(want):
         return f"{len(got)} rows, the oracle has {len(want)}"
     for a, b in zip(got, want):
-        if any(x != y and not (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-5 * max(1, abs(x))) for x, y in zip(a, b)):
+        if any(differ(x, y) for x, y in zip(a, b)):
             return f"{a} is not {b}"
     return None
