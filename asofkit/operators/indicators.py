@@ -1,4 +1,4 @@
-"""Recursions that no bounded window expresses: exponential averages, RSI, ADX-like smoothing, state filters, EM fits.
+"""Recursions that no bounded window expresses: exponential averages, RSI, Wilder's ADX.
 
 Each runs as a grouped map over one key's ordered series; keys run in parallel.
 """
@@ -8,7 +8,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def ema(x: np.ndarray, span: int) -> np.ndarray:
@@ -39,8 +38,35 @@ def rsi(close: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _wilder(x: np.ndarray, n: int) -> np.ndarray:
+    """Wilder's average, seeded by the mean of the first n values that are known; NaN before."""
+    out, known = np.full(len(x), np.nan), np.flatnonzero(~np.isnan(x))
+    if len(known) < n:
+        return out
+    at, value = known[n - 1], float(x[known[:n]].mean())
+    out[at] = value
+    for i in range(at + 1, len(x)):
+        value += (x[i] - value) / n
+        out[i] = value
+    return out
+
+
+def adx(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int) -> np.ndarray:
+    """Wilder's average directional index; a series that does not move has 0."""
+    if len(close) < 2:
+        return np.full(len(close), np.nan)
+    up, down = np.diff(high), -np.diff(low)
+    moves = [np.where((a > b) & (a > 0), a, 0.0) for a, b in ((up, down), (down, up))]
+    true_range = np.maximum.reduce([high[1:] - low[1:], np.abs(high[1:] - close[:-1]), np.abs(low[1:] - close[:-1])])
+    plus, minus, size = (_wilder(np.concatenate(([np.nan], x)), n) for x in (*moves, true_range))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a, b = plus / size, minus / size
+        dx = np.where(np.isnan(size), np.nan, np.where((size > 0) & (a + b > 0), 100 * np.abs(a - b) / (a + b), 0.0))
+    return _wilder(dx, n)
+
+
 def indicators(bars: DataFrame, *, keys: list[str], order: str, close: str = "close") -> DataFrame:
-    """EMA 12 and 26, MACD histogram over price, RSI 2 and 14; NULL until defined."""
+    """EMA 12 and 26, MACD histogram over price, RSI 2 and 14, ADX 14; NULL until defined."""
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -50,90 +76,8 @@ def indicators(bars: DataFrame, *, keys: list[str], order: str, close: str = "cl
         signal = np.full(len(x), np.nan)
         if len(x) >= 26:
             signal[25:] = ema(macd[25:], 9)
-        return pdf[[*keys, order]].assign(ema_12=fast, ema_26=slow, macd_hist=(macd - signal) / x, rsi_2=rsi(x, 2), rsi_14=rsi(x, 14))
+        return pdf[[*keys, order]].assign(ema_12=fast, ema_26=slow, macd_hist=(macd - signal) / x, rsi_2=rsi(x, 2), rsi_14=rsi(x, 14), adx_14=adx(pdf["high"].to_numpy(dtype=float), pdf["low"].to_numpy(dtype=float), x, 14))
 
     types = dict(bars.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in [*keys, order]] + [f"{c} double" for c in ("ema_12", "ema_26", "macd_hist", "rsi_2", "rsi_14")])
-    return bars.select(*keys, order, close).groupBy(*keys).applyInPandas(each, schema)
-
-
-def _em(x: np.ndarray, k: int, seed: int, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Gaussian hidden Markov chain by forward-backward EM: (start, transitions, means, variances, log-likelihood)."""
-    rng = np.random.default_rng(seed)
-    means = np.quantile(x, (np.arange(k) + 0.5) / k) + rng.normal(0, x.std() / 10 + 1e-12, k)
-    var, start, trans = np.full(k, x.var() + 1e-12), np.full(k, 1 / k), np.full((k, k), 0.1 / max(k - 1, 1))
-    np.fill_diagonal(trans, 0.9)
-    likelihood = -np.inf
-    for _ in range(steps):
-        log_b = -0.5 * (np.log(2 * np.pi * var) + (x[:, None] - means) ** 2 / var)
-        top = log_b.max(axis=1, keepdims=True)
-        b = np.exp(log_b - top)
-        alpha, scale = np.empty_like(b), np.empty(len(x))
-        a = start * b[0]
-        for t in range(len(x)):
-            if t:
-                a = (alpha[t - 1] @ trans) * b[t]
-            scale[t] = a.sum() + 1e-300
-            alpha[t] = a / scale[t]
-        beta = np.ones_like(b)
-        for t in range(len(x) - 2, -1, -1):
-            beta[t] = trans @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
-        gamma = alpha * beta
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        xi = trans * (alpha[:-1].T @ (b[1:] * beta[1:] / scale[1:, None]))
-        likelihood = float((np.log(scale) + top[:, 0]).sum())
-        start, trans = gamma[0], xi / xi.sum(axis=1, keepdims=True)
-        weight = gamma.sum(axis=0) + 1e-12
-        means = (gamma * x[:, None]).sum(axis=0) / weight
-        var = (gamma * (x[:, None] - means) ** 2).sum(axis=0) / weight + x.var() * 1e-3 + 1e-12
-    order = np.argsort(means)
-    return start[order], trans[order][:, order], means[order], var[order], likelihood
-
-
-def fit_grid(df: DataFrame, *, key: str, order: str, x: str, states: tuple[int, ...], restarts: int) -> DataFrame:
-    """Every (series, states, restart) is a task of its own; the best restart per (series, states) is kept, with its BIC."""
-    grid = df.withColumn("g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("seed")) for k in states for r in range(restarts)]))).select(key, order, x, "g.k", "g.seed")
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, seed = int(pdf["k"].iloc[0]), int(pdf["seed"].iloc[0])
-        v = pdf.sort_values(order)[x].to_numpy(dtype=float)
-        start, trans, means, var, ll = _em(v, k, seed)
-        return pd.DataFrame([{key: pdf[key].iloc[0], "k": k, "seed": seed, "n": len(v), "log_likelihood": ll, "start": start.tolist(), "transitions": trans.ravel().tolist(), "means": means.tolist(), "variances": var.tolist()}])
-
-    kind = dict(df.dtypes)[key]
-    fits = grid.groupBy(key, "k", "seed").applyInPandas(each, f"{key} {kind}, k int, seed int, n bigint, log_likelihood double, start array<double>, transitions array<double>, means array<double>, variances array<double>")
-    best = fits.groupBy(key, "k").agg(F.max_by(F.struct(*[c for c in fits.columns if c not in (key, "k")]), F.struct("log_likelihood", "seed")).alias("m")).select(key, "k", "m.*")
-    free = F.col("k") - 1 + F.col("k") * (F.col("k") - 1) + 2 * F.col("k")
-    return best.withColumn("bic", -2 * F.col("log_likelihood") + free * F.ln(F.col("n").cast("double")))
-
-
-def filter_and_switch(df: DataFrame, *, keys: list[str], order: str, x: str, threshold: float = 0.70, hold: int = 3) -> DataFrame:
-    """Forward (never smoothed) two-state filter, and hysteresis: the state changes after ``hold`` rows above the threshold.
-
-    The model of a row is a calm and a wild normal around the past: variances from the rows before it only.
-    """
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        v = pdf[x].to_numpy(dtype=float)
-        p_wild, state, run = 0.5, 0, 0
-        total, n = 0.0, 0
-        probs, states = [], []
-        for value in v:
-            if n >= 20:
-                base = total / n + 1e-12
-                prior = 0.9 * p_wild + 0.1 * (1 - p_wild)
-                like = [np.exp(-0.5 * value * value / s) / np.sqrt(s) for s in (base * 0.5, base * 2)]
-                p_wild = prior * like[1] / (prior * like[1] + (1 - prior) * like[0] + 1e-300)
-                other = p_wild if state == 0 else 1 - p_wild
-                run = run + 1 if other >= threshold else 0
-                if run >= hold:
-                    state, run = 1 - state, 0
-            probs.append(p_wild if n >= 20 else None)
-            states.append(state)
-            total, n = total + value * value, n + 1
-        return pdf[[*keys, order]].assign(p_wild=pd.Series(probs, index=pdf.index, dtype="float64"), state=states)
-
-    types = dict(df.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*keys, order]) + ", p_wild double, state bigint"
-    return df.groupBy(*keys).applyInPandas(each, schema)
+    schema = ", ".join([f"{c} {types[c]}" for c in [*keys, order]] + [f"{c} double" for c in ("ema_12", "ema_26", "macd_hist", "rsi_2", "rsi_14", "adx_14")])
+    return bars.select(*keys, order, close, "high", "low").groupBy(*keys).applyInPandas(each, schema)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from asofkit.plans import evaluation, market, research
+from asofkit.plans import admission, evaluation, files, market, regimes, research
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (market, research, evaluation):
+for _module in (market, research, evaluation, admission, files, regimes):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

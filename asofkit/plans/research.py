@@ -281,7 +281,7 @@ def ev1_options_backtest(spark, d):
     s = bars.groupBy("symbol", "session").agg(F.max(F.when(F.col("minute") == 600, F.col("open"))).alias("entry"), F.min_by("open", "minute").alias("open"), F.max_by("close", "minute").alias("close"))
     w = win.series()
     s = s.withColumn("lr", F.ln(F.col("close") / F.lag("close").over(w))).withColumn("vol", win.realized_vol("lr", 20, w)).withColumn("dv", F.lag("vol").over(w))
-    rule = rules.compile_rule({"lt": [{"observed": "ret_entry"}, 0.0]}, {"ret_entry": F.col("entry") / F.col("open") - 1})
+    rule = rules.compile_rule({"op": "lt", "observation": {"obs": "return_from_open", "minute": 600}, "value": 0.0}, lambda o: F.col("entry") / F.col("open") - 1)
     k1 = fn.snap(F.col("entry"))
     x = s.filter((F.col("dv") > 0) & F.col("entry").isNotNull() & (k1 > 0)).withColumns({"selected": rule, "k1": k1, "k2": k1 + 5, "sv": fn.session_vol("dv", F.lit(600), 1440, 840)})
     for name, k in (("long", "k1"), ("short", "k2")):
@@ -294,19 +294,6 @@ def ev1_options_backtest(spark, d):
     return g.agg(F.count(F.lit(1)).alias("n"), r6(F.avg(won)).alias("win_rate"), r6(F.avg(F.col("debit") / 5)).alias("implied"), r6(100 * F.avg((F.col("settled") - F.col("debit") - 0.15) / 5)).alias("mean_dw"))
 
 
-@query(with_sql("daily") + f""", {_NET}, s AS (SELECT *, lag(net) OVER (PARTITION BY symbol ORDER BY session) AS prev FROM t), f AS (SELECT symbol, session, sign(-prev) * net - 0.0005 AS pnl FROM s WHERE net IS NOT NULL AND prev IS NOT NULL AND prev <> 0), p AS (SELECT session, avg(pnl) AS m FROM f GROUP BY 1),
-h AS (SELECT *, row_number() OVER (ORDER BY session) AS k, count(*) OVER () AS n FROM p)
-SELECT count(*) AS days, (SELECT count(*) FROM f) AS trades, round(avg(m) / stddev_samp(m) * sqrt(252), 6) AS sharpe, round((sum(m) - max(m)) / (count(*) - 1), 6) AS without_best, avg(m) FILTER (k <= n // 2) > 0 AND avg(m) FILTER (k > n // 2) > 0 AS both_halves FROM h""")
-def ev6_universe_portfolio(spark, d):
-    w = win.series()
-    t = daily_bars(spark, d).withColumn("net", F.col("close") / F.lag("close").over(w) - 1).withColumn("prev", F.lag("net").over(w))
-    f = t.filter("net is not null and prev is not null and prev <> 0").withColumn("pnl", F.signum(-F.col("prev")) * F.col("net") - 0.0005)
-    p = f.groupBy("session").agg(F.avg("pnl").alias("m"), F.count(F.lit(1)).alias("c"))
-    h = p.withColumn("k", F.row_number().over(W.orderBy("session"))).withColumn("half", F.floor(F.count(F.lit(1)).over(W.partitionBy()) / 2))  # one row per session
-    half = lambda c: F.avg(F.when(c, F.col("m"))) > 0
-    return h.agg(F.count(F.lit(1)).alias("days"), F.sum("c").alias("trades"), r6(F.avg("m") / F.stddev_samp("m") * 252**0.5).alias("sharpe"), r6((F.sum("m") - F.max("m")) / (F.count(F.lit(1)) - 1)).alias("without_best"), (half(F.col("k") <= F.col("half")) & half(F.col("k") > F.col("half"))).alias("both_halves"))
-
-
 # --- fundamentals --------------------------------------------------------------------------------------------------
 
 
@@ -352,12 +339,6 @@ def set2_intersect(spark, d):
     return table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).intersect(table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day")))
 
 
-@query("""SELECT conv_id, turn, sha256(coalesce(prev, '') || '|' || turn || '|' || text) AS digest FROM (SELECT *, lag(sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)""")
-def int2_hash_chain(spark, d):
-    c = table(spark, d, "conversations").withColumn("prev", F.lag(F.sha2("text", 256)).over(W.partitionBy("conv_id").orderBy("turn")))
-    return c.select("conv_id", "turn", F.sha2(F.concat(F.coalesce("prev", F.lit("")), F.lit("|"), F.col("turn").cast("string"), F.lit("|"), F.col("text")), 256).alias("digest"))
-
-
 @query("""SELECT o_orderstatus, sha256(string_agg(d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM (SELECT o_orderstatus, h[1:3] AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM
 (SELECT o_orderstatus, sha256(o_orderkey || chr(31) || o_custkey || chr(31) || CAST(round(o_totalprice * 100) AS BIGINT) || chr(31) || strftime(o_orderdate, '%Y-%m-%d') || chr(31) || o_orderpriority) AS h FROM orders) GROUP BY 1, 2) GROUP BY 1""")
 def int1_table_digest(spark, d):
@@ -372,22 +353,3 @@ def int1_table_digest(spark, d):
 @query()
 def win19_win20_indicators(spark, d):
     return indicators.indicators(daily_bars(spark, d), keys=["symbol"], order="session")
-
-
-@query()
-def str5_str6_regime_switching(spark, d):
-    bars = daily_bars(spark, d).withColumn("ret", F.ln(F.col("close") / F.lag("close").over(win.series()))).filter("ret is not null").select("symbol", "session", "ret")
-    return indicators.filter_and_switch(bars, keys=["symbol"], order="session", x="ret")
-
-
-@query()
-def ml1_ml2_regime_models(spark, d):
-    bars = daily_bars(spark, d).withColumn("ret", F.ln(F.col("close") / F.lag("close").over(win.series()))).filter("ret is not null").select("symbol", "session", "ret")
-    return indicators.fit_grid(bars, key="symbol", order="session", x="ret", states=(2, 3, 4, 5), restarts=8)
-
-
-@query()
-def prj9_prj10_prj11_proposals(spark, d):
-    p = table(spark, d, "part")
-    leaf = F.concat(F.lit('{"schema_version":1,"entry_minute":'), (F.lit(600) + F.col("p_size") % 6 * 5).cast("string"), F.lit(',"signal":{"and":[{"lt":[{"observed":"ret"},'), F.round(F.col("p_retailprice") / 1000, 2).cast("string"), F.lit(']},{"gt":[{"observed":"'), F.element_at(F.array(F.lit("vol"), F.lit("gap")), (F.col("p_size") % 2 + 1).cast("int")), F.lit('"},0.5]}]}}'))
-    return rules.judge_proposals(p.select(F.col("p_partkey").alias("attempt"), leaf.alias("document")))

@@ -1,8 +1,10 @@
 """Literal cases, causality and admission rules of the research operators."""
 
 import datetime as dt
+import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from asofkit.operators import calendar as cal
 from asofkit.operators import rules, vintages
 from asofkit.operators import windows as win
 from asofkit.operators.asof import asof
-from asofkit.plans.research import ml1_ml2_regime_models
+from asofkit.plans.regimes import ml1_ml2_regime_models
 from asofkit.sources.tables import daily_bars
 
 
@@ -30,20 +32,54 @@ def test_normal_distribution_is_close(spark):
     assert max(abs(r["p"] - 0.5 * (1 + math.erf(r["x"] / 2**0.5))) for r in got) < 1e-7
 
 
-def test_unknown_observation_is_false_also_below_not(spark):
+LESS = {"op": "lt", "observation": {"obs": "return_from_open", "minute": 600}, "value": 1}
+MORE = {"op": "gte", "observation": {"obs": "return_from_open", "minute": 600}, "value": 1}
+FEATURE = {"op": "gt", "observation": {"obs": "feature", "family": "portfolio_signal", "metric": "m"}, "value": 0}
+TOUCH = {"op": "observed", "observation": {"obs": "first_touch_before_entry", "after_minute": 590, "open_offset": 2}}
+
+
+def _judged(signal, **changes):
+    doc = {"schema_version": 3, "entry_minute": 630, "signal": signal, "structure": {"helper": "call_debit_spread", "width": 5, "otm_offset": 0}} | changes
+    return rules.judge(json.dumps(doc))
+
+
+def _not(x):
+    return {"op": "not", "arg": x}
+
+
+def test_unknown_observation_is_false_and_not_stays_above_it(spark):
     df = spark.createDataFrame([(None,), (1.0,), (-1.0,)], "x double")
-    rule = rules.compile_rule({"not": {"lt": [{"observed": "x"}, 0.0]}}, {"x": F.col("x")})
-    assert [r[0] for r in df.select(rule).collect()] == [True, True, False]
+    run = lambda rule: [r[0] for r in df.select(rules.compile_rule(rule, lambda o: F.col("x"))).collect()]
+    assert run(_not(LESS)) == [True, True, False]
+    assert run(MORE) == [False, True, False]
+    a, b = _judged(_not(LESS)), _judged(MORE)
+    assert a["ok"] and b["ok"] and a["rule_hash"] != b["rule_hash"]
+    assert _judged(_not(_not(LESS)))["rule_hash"] == _judged(LESS)["rule_hash"]
 
 
 def test_rules_of_one_meaning_share_a_hash():
-    make = lambda s: '{"schema_version": 1, "entry_minute": 600, "signal": %s}' % s
-    a = rules.judge(make('{"and": [{"lt": [{"observed": "x"}, 1]}, {"gt": [{"observed": "y"}, 2]}]}'))
-    b = rules.judge(make('{"not": {"or": [{"lte": [{"observed": "y"}, 2]}, {"gte": [{"observed": "x"}, 1]}]}}'))
-    assert a["ok"] and a["rule_hash"] == b["rule_hash"]
-    assert rules.judge(make('{"and": [{"lt": [{"observed": "x"}, 1]}, {"lt": [{"observed": "x"}, 1]}]}'))["reason"] == "repeated condition"
-    assert not rules.judge(make('{"lt": [{"observed": "x"}, true]}'))["ok"]
-    assert not rules.judge("not json")["ok"]
+    a = _judged({"op": "and", "args": [LESS, TOUCH]})
+    assert a["ok"] and a["rule_hash"] == _judged(_not({"op": "or", "args": [_not(TOUCH), _not(LESS)]}))["rule_hash"]
+    assert a["rule_hash"] == _judged({"op": "and", "args": [TOUCH, LESS | {"value": 1.0}]})["rule_hash"]
+    assert (a["minutes"], a["thresholds"], a["bucket"], a["helper"]) == ([590, 600], [2.0, 1.0], 630, "call_debit_spread")
+    assert a["family"] == "and/observed/lt:first_touch_before_entry+return_from_open"
+    assert _judged(FEATURE)["reads"] == ["portfolio_signal.m"]
+
+
+@pytest.mark.parametrize("signal, changes, reason", [
+    ({"op": "and", "args": [LESS, LESS]}, {}, "repeated condition"), (LESS, {"schema_version": 99}, "unsupported version"), (LESS, {"entry_minute": -605}, "entry_minute"),
+    (LESS, {"entry_minute": 632}, "entry_minute"), (_not(FEATURE), {}, "feature under not"), (_not(_not(FEATURE)), {}, "feature under not"), (LESS | {"value": True}, {}, "value"),
+    (LESS | {"value": 1e9}, {}, "value"), (LESS | {"more": 1}, {}, "unexpected"), ({"op": "lt", "observation": TOUCH["observation"], "value": 1}, {}, "first touch"),
+    ({"op": "observed", "observation": LESS["observation"]}, {}, "first touch"), ({"op": "lt", "observation": {"obs": "return_from_open", "minute": 640}, "value": 1}, {}, "minute"),
+    ({"op": "lt", "observation": {"obs": "tea_leaves"}, "value": 1}, {}, "unknown observation"), ({"op": "xor", "args": [LESS, TOUCH]}, {}, "unknown operator"),
+    ({"op": "and", "args": [LESS]}, {}, "two to eight"), (LESS, {"structure": {"helper": "naked_call", "width": 5, "otm_offset": 0}}, "unknown structure"),
+    (LESS, {"structure": {"helper": "call_debit_spread", "width": 0, "otm_offset": 0}}, "width"), (LESS, {"structure": None}, "structure"), (None, {}, "malformed"),
+    (_not(_not(_not(_not(_not(_not(LESS)))))), {}, "too deep"),
+])
+def test_what_is_not_admissible_is_refused(signal, changes, reason):
+    got = _judged(signal, **changes)
+    assert not got["ok"] and reason in got["reason"]
+    assert not rules.judge("not json")["ok"] and not rules.judge(None)["ok"] and not rules.judge("[1]")["ok"]
 
 
 def test_asof_is_strict_tolerant_and_ties_by_key(spark):
@@ -85,11 +121,85 @@ def test_quarters_from_year_to_date_do_not_bridge_gaps(spark):
     assert got == {3: ("direct", 10.0), 6: ("ytd_diff", 12.0), 12: (None, None)}
 
 
-def test_regime_grid_has_two_to_five_states_and_eight_restarts(spark, monkeypatch):
-    from asofkit.operators import indicators
-
-    asked, fit = [], indicators.fit_grid
-    monkeypatch.setattr(indicators, "fit_grid", lambda df, **options: asked.append(options) or fit(df, **options))
-    models = ml1_ml2_regime_models(spark, "/root/testdata/sf0.001")
-    assert asked[0]["restarts"] == 8
-    assert {r["k"] for r in models.select("k").distinct().collect()} == {2, 3, 4, 5}
+def test_regime_grid_has_two_to_five_states_and_eight_restarts(spark):
+    import inspect
+
+    from asofkit.operators import regimes
+
+    options = inspect.signature(regimes.fit_grid).parameters
+    assert options["restarts"].default == 8 and options["states"].default == (2, 3, 4, 5)
+    models = ml1_ml2_regime_models(spark, "/root/testdata/sf0.001").collect()
+    assert {r["k"] for r in models} == {2, 3, 4, 5}
+    assert all(abs(sum(r["start"]) - 1) < 1e-6 and r["means"][0] <= r["means"][2] for r in models)
+    assert len({r["symbol"] for r in models if r["chosen"]}) == sum(r["chosen"] for r in models) == 5
+
+
+def test_chain_fit_finds_planted_states():
+    from asofkit.operators import regimes
+
+    rng = np.random.default_rng(1)
+    state = np.repeat([0, 1, 0, 1], 150)
+    x = np.stack((np.where(state == 0, -1.0, 1.0) + rng.normal(0, 0.2, 600), np.where(state == 0, 2.0, 0.5) + rng.normal(0, 0.1, 600)), axis=1)
+    m = regimes.fit_chains(x, 2, 3)
+    assert np.allclose(m["means"], [[-1, 2], [1, 0.5]], atol=0.1) and m["trans"][0, 0] > 0.97
+    probs, ll = regimes.filter_rows(m, x)
+    assert (probs.argmax(axis=1) == state).mean() > 0.99
+    again, ll2 = regimes.filter_rows(m, x[300:], probs[299])
+    assert np.allclose(again, probs[300:]) and abs(regimes.filter_rows(m, x[:300])[1] + ll2 - ll) < 1e-6
+    assert regimes.match_states(m["means"], m["means"][::-1]) == [1, 0]
+
+
+def test_switching_needs_hold_and_cooldown_and_goes_flat():
+    from asofkit.operators import regimes
+
+    s, names = regimes.new_walk(), ("STRESS", "CHOP", "CALM_UP")
+    step = lambda *p, stale=0: regimes.switch(s, np.array(p), np.array(p), names, 4, stale)
+    assert step(0.1, 0.3, 0.6) == 0.0 and s["active"] is None
+    assert step(0.0, 0.2, 0.8) == 1.0 and s["active"] == "CALM_UP"
+    assert [step(0.1, 0.8, 0.1) for _ in range(4)] == [1.0] * 4 and s["active"] == "CALM_UP"  # held, but in the cooldown
+    assert step(0.1, 0.8, 0.1) == 1.0 and s["active"] == "CHOP"
+    assert step(0.45, 0.5, 0.05) == 0.0  # uncertain
+    assert step(0.3, 0.6, 0.1) == 0.5  # early cut
+    assert step(0.0, 1.0, 0.0, stale=3) == 0.0
+    assert step(0.9, 0.1, 0.0) == 0.5 and s["candidate"] == "STRESS"
+    assert step(0.6, 0.3, 0.1) == 0.5 and s["candidate"] is None  # not above the threshold: the count begins anew
+
+
+def test_book_stops_and_waits_and_limits_hold():
+    from asofkit.operators import regimes
+
+    s = regimes.new_walk() | {"active": "CALM_UP"}
+    assert regimes.book(s, 100, 0.02, 1.0, 1.0) == "enter" and s["stop"] == 96.0
+    assert regimes.book(s, 99, 0.02, 1.0, 0.5) == "resize" and s["position"] == 0.5
+    assert regimes.book(s, 95, 0.02, 1.0, 1.0) == "stop" and s["position"] == 0.0
+    assert regimes.book(s, 97, 0.02, 1.0, 1.0) == "hold" and s["position"] == 0.0  # blocked until the trend was off
+    regimes.book(s, 97, 0.02, -1.0, 1.0)
+    assert regimes.book(s, 97, 0.02, 1.0, 1.0) == "enter"
+    r = regimes.new_walk() | {"active": "CALM_UP"}
+    assert regimes.limit(r, "d1", 1.0, 0, 10_000) == (0.75, "cap") and regimes.limit(r, "d1", 0.5, 0, 1e6) == (0.5, "approval")
+    assert regimes.limit(r, "d1", 0.5, 4, 10_000) == (0.0, "stale")
+    r["equity"] = 0.94
+    assert regimes.limit(r, "d1", 0.5, 0, 10_000)[1] == "flat_day"
+    r["equity"] = 1.0
+    assert regimes.limit(r, "d1", 0.5, 0, 10_000)[1] == "flat_day" and regimes.limit(r, "d2", 0.5, 0, 10_000) == (0.5, "ok")
+    r["equity"] = 0.79
+    assert regimes.limit(r, "d3", 0.5, 0, 10_000)[1] == "kill"
+    r["equity"] = 1.0
+    assert regimes.limit(r, "d4", 0.5, 0, 10_000)[1] == "kill"
+
+
+def test_streamed_walk_equals_the_batch_walk(spark):
+    from asofkit.plans.regimes import str5_str8_streamed_walk, str5_str8_walk
+
+    batch = {(r["symbol"], r["session"]): tuple(r) for r in str5_str8_walk(spark, "/root/testdata/sf0.001").collect()}
+    stream = {(r["symbol"], r["session"]): tuple(r) for r in str5_str8_streamed_walk(spark, "/root/testdata/sf0.001").collect()}
+    assert batch and batch.keys() == stream.keys() and all(batch[k] == stream[k] for k in batch)
+
+
+def test_wilder_adx_of_a_straight_rise_is_100_and_of_no_move_0():
+    from asofkit.operators.indicators import adx
+
+    x = np.arange(1.0, 60)
+    assert np.isnan(adx(x + 0.5, x - 0.5, x, 14)[:27]).all() and adx(x + 0.5, x - 0.5, x, 14)[-1] == 100
+    flat = np.full(40, 5.0)
+    assert adx(flat, flat, flat, 14)[-1] == 0
