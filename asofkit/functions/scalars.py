@@ -199,3 +199,10 @@ def sql_norm_cdf(x: str) -> str:
 def sql_bs_call(spot: str, strike: str, v: str) -> str:
     d1 = f"(ln({spot} / {strike}) / {v} + {v} / 2)"
     return f"(CASE WHEN {v} > 0 THEN {spot} * {sql_norm_cdf(d1)} - {strike} * {sql_norm_cdf(f'({d1} - {v})')} ELSE greatest({spot} - {strike}, 0.0) END)"
+
+
+def answer_multiplier(answer, least_confidence: float = 0.80) -> Column:
+    """Size by a classifier's answers (confidence, chaotic, trending, clean, risk); without an answer, or in doubt, 0."""
+    a = _c(answer)
+    closed = a.isNull() | (a["confidence"] < least_confidence) | (a["chaotic"] >= 0.5) | (a["risk"] >= 2.5) | (a["clean"] < 0.40)
+    return F.when(F.coalesce(closed, F.lit(True)), 0.0).when(a["trending"] >= 0.60, 1.0).otherwise(0.5)
