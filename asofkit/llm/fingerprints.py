@@ -10,8 +10,12 @@ a single digest, removes that digest from its cells, and goes on until nothing i
 one of the texts has. If peeling gets stuck, the pair is tried again with twice the cells. The likeness of two texts is the number
 of shared pieces over the number of all pieces; two texts without pieces are alike (1.0).
 
-The fingerprint is the smallest sketch (16 cells and the number of pieces) in hexadecimal. All texts of a slice are
-sketched, subtracted and peeled together in numpy.
+The fingerprint is the smallest sketch (18 cells and the number of pieces) in hexadecimal, which settles small differences
+by itself (``likeness_of_fingerprints``); ``near_*`` go on with larger sketches of the texts where it gets stuck, and agree
+with it where it does not. All texts of a slice are sketched, subtracted and peeled together in numpy.
+
+To meet the next document, texts are dealt into ranges of ids of bounded bytes by cut points from a sample of the ids; the
+first text of each range is also sent to the range before. Cut points and first ids are a row for each range.
 
 Defined cases: a null text counts as empty; equal texts have equal fingerprints; repeated ids are ordered by text; null
 ids come last in descending order; a single document is its own next one; empty tables give empty results; extra columns
@@ -23,6 +27,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +38,7 @@ from asofkit.llm.text_kernel import mix64, scan_words
 CELLS = 16
 HASHES = 3
 PIECE = 12
+PART_BYTES = 8 << 20
 
 
 def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,52 +171,85 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_part: int = 2_000, most_parts: int = 1_000) -> DataFrame:
-    """``doc_id, text, part, ord`` sorted in each part; every part ends with the first row of the following one (``last``).
-
-    Parts are ranges of ids, from approximate quantiles. Only the ids that begin a part pass through the driver.
-    """
+def likeness_of_fingerprints(a: str, b: str) -> float | None:
+    """The likeness of two texts from their fingerprints alone; None if they differ in too much for the smallest sketch."""
+    cells, sides, sizes = sketch_size(CELLS), [], []
+    for text in (a, b):
+        raw = bytes.fromhex(text)
+        sizes.append(int(np.frombuffer(raw[:8], np.int64)[0]))
+        s, at = Sketches(1, cells), 8
+        s.count = np.frombuffer(raw[at : at + 2 * cells], np.int16).astype(np.int64)
+        s.key = np.frombuffer(raw[at + 2 * cells : at + 10 * cells], np.uint64)
+        s.check = np.frombuffer(raw[at + 10 * cells :], np.uint32).astype(np.uint64)
+        sides.append(s)
+    _, _, side, whole = sides[0].minus(sides[1]).peel()
+    if not whole[0]:
+        return None
+    only_a, only_b = int((side > 0).sum()), int((side < 0).sum())
+    every = sizes[0] + only_b
+    return (sizes[0] - only_a) / every if every else 1.0
+
+
+def _cut_points(ids: DataFrame, part_bytes: int) -> list:
+    """Ids that part the texts into ranges of about ``part_bytes``, ascending, from a sample of 16 ids for each range."""
+    n, total = ids.agg(F.count("doc_id"), F.sum("bytes")).first()
+    parts = -(-(total or 0) // part_bytes)
+    if parts < 2 or not n:
+        return []
+    sample = sorted(r["doc_id"] for r in ids.filter("doc_id is not null").sample(min(1.0, 16 * parts / n), seed=7).select("doc_id").collect())
+    return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``doc_id, text, part, last``: ranges of descending ids; every range also has the first rows of the following one (``last``)."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = cut(docs.select(F.col(id_col).alias("doc_id")))
-    n = ids.count()
-    parts = min(most_parts, max(1, -(-n // rows_per_part)))
-    cuts = sorted(set(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    part = F.lit(0)
-    if cuts:
-        part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))))
-    # the largest id of each part: its rows are also sent to the part before
-    heads = {r["part"]: r["head"] for r in ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("head")).collect()}
-    order = sorted(heads)
-    before = {heads[b]: a for a, b in zip(order, order[1:])}
-    before[heads[order[0]] if order else None] = order[-1] if order else 0
-    rows = source.withColumn("part", part.cast("int")).withColumn("last", F.lit(False))
-    copies = None
-    for head, to in before.items():
-        same = F.col("doc_id").isNull() if head is None else F.col("doc_id") == F.lit(head)
-        copies = F.when(same, F.lit(to)) if copies is None else copies.when(same, F.lit(to))
-    sent = rows.withColumn("part", copies.cast("int")).withColumn("last", F.lit(True)).filter("part is not null")
-    return rows.unionByName(sent)
-
-
-def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 2_000_000) -> DataFrame:
+    ids = cut(source.select("doc_id", F.octet_length("text").cast("long").alias("bytes")))
+    cuts = _cut_points(ids, part_bytes)
+    sent = docs.sparkSession.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def part_of(id_: pd.Series) -> pd.Series:  # only the ids go to Python; NULL comes last
+        points, known = np.asarray(sent.value, dtype=object if id_.dtype == object else None), id_.notna()
+        out = pd.Series(len(points), index=id_.index)
+        if len(points) and known.any():
+            out[known] = len(points) - np.searchsorted(points, id_[known].to_numpy(), side="right")
+        return out.astype("int32")
+
+    placed = ids.select("doc_id", part_of("doc_id").alias("part"))
+    heads = placed.groupBy("part").agg(F.max("doc_id").alias("head"), F.lit(1).alias("one"))
+    order = Window.orderBy("part")  # a row for each range
+    to = F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy("one")))
+    heads = cut(heads.select("part", "head", to.alias("to")))
+    rows = source.withColumn("part", part_of("doc_id"))
+    found = rows.join(F.broadcast(heads.withColumnRenamed("part", "p")), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("last"))
+    copies = F.when(F.col("to").isNotNull(), F.array(own, F.struct(F.col("to").alias("part"), F.lit(True).alias("last")))).otherwise(F.array(own))
+    return found.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", "c.part", "c.last")
+
+
+def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 2_000_000, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
-    rows = with_next(docs, id_col, text_col)
+    rows = with_next(docs, id_col, text_col, part_bytes)
     kind = docs.schema[id_col].dataType.simpleString()
     ordered = rows.repartition(F.col("part")).sortWithinPartitions("part", "last", F.col("doc_id").desc_nulls_last(), "text")
 
+    id_type = None
+
     def work(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
         n = len(ids)
         edited = [edited_text(t, f) for t, f in zip(texts, following)]
         own, changed, after = (pieces(pa.array(x, pa.large_string())) for x in (texts, edited, following))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
+            [pa.array(ids, id_type), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
              pa.array(fingerprints(own, n)), pa.array(fingerprints(changed, n)), pa.array(likeness(own, changed, n)), pa.array(likeness(own, after, n))],
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
     def compare(batches):
+        nonlocal id_type
         ids, texts, following, chars, part, held = [], [], [], 0, None, None
         for batch in batches:
+            id_type = batch.schema.field("doc_id").type
             for doc_id, text, p, last in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "last"))):
                 if p != part:
                     part, held, closed = p, None, False
@@ -229,15 +268,3 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     out = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.select("doc_id", "text", "part", "last").mapInArrow(compare, out)
-
-
-def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, n_pieces`` of every document."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def build(batches):
-        for batch in batches:
-            parts = pieces(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(parts, batch.num_rows), pa.string()), pa.array(np.bincount(parts[0], minlength=batch.num_rows))], ["doc_id", "fingerprint", "n_pieces"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(build, f"doc_id {kind}, fingerprint string, n_pieces bigint")

@@ -53,7 +53,8 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_derivatives(page_responses(read_table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+    made = build_derivatives(page_responses(read_table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+    return made.withColumns({"record_length": F.octet_length("record"), "record_sha256": F.sha2("record", 256)}).drop("record")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
