@@ -7,7 +7,7 @@ the offending sentences.
 
 Features of a sentence are its distinct lower-cased words and, for each of them, its first four and five letters if it is
 longer; they are known by 32-bit hashes (of the words outside the sample, one in a million at most shares a hash with a weight). The classifier is fitted on a bounded sample: ``most_labels`` labelled documents,
-drawn by a hash of their id and the same at every run (default 8,000; the parameter bounds what reaches the driver). Every
+drawn by a hash of their id and the same at every run (default 8,000; the parameter bounds the task that fits). Every
 feature of the sample takes part. The L1 prior is applied as a proximal step, so weights that the labels do not support are
 exactly zero. Scoring covers every document, whole.
 
@@ -118,7 +118,7 @@ def fit_noisy_or(encoded: list[tuple[np.ndarray, np.ndarray]], labels: list[int]
     by_feature = np.searchsorted(feature[order], np.arange(len(names) + 1))
     del order
     document = np.repeat(np.arange(len(encoded), dtype=np.int32), [len(n) for _, n in encoded])
-    encoded.clear()  # the driver's memory is bounded
+    encoded.clear()  # frees what is not needed any more
     l1 = l2 = max(2e-5, prior / len(y))  # a prior counts for less the more documents there are
     n_docs, n_sentences, n = len(y), len(document), len(names)
     if not n_sentences:
@@ -155,7 +155,7 @@ def train_toxicity(
     docs: DataFrame, labels: DataFrame, *, learn_from=lambda c: F.lit(True), most_labels: int = MOST_LABELS,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id",
 ) -> NoisyOr:
-    """Fit on the bounded sample. Texts are encoded on Spark; the driver gets numbers only."""
+    """Fit on the bounded sample. Texts are encoded by Spark, one task fits the model, and the driver gets its weights only."""
     sample = labelled_sample(docs, labels, learn_from, most_labels, id_col=id_col, text_col=text_col, label_col=label_col, label_id=label_id)
 
     def encoded(batches):
@@ -163,12 +163,19 @@ def train_toxicity(
             rows = [encode(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("y"), *[pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (0, 1)]], ["id", "y", "f", "n"])
 
+    def fit(batches):
+        texts, y = [], []
+        for batch in batches:
+            texts += [(np.frombuffer(f.as_py(), np.uint32), np.frombuffer(n.as_py(), np.int32)) for f, n in zip(batch.column("f"), batch.column("n"))]
+            y += batch.column("y").to_pylist()
+        m = fit_noisy_or(texts, y)
+        yield pa.RecordBatch.from_arrays([pa.array([list(m.weights)], pa.list_(pa.int64())), pa.array([list(m.weights.values())], pa.list_(pa.float64())), pa.array([m.bias])], ["names", "weights", "bias"])
+
     kind = docs.schema[id_col].dataType.simpleString()
-    got = cut(sample.select("__id", "text", "y").mapInArrow(encoded, f"id {kind}, y int, f binary, n binary")).toArrow().sort_by("id")
-    texts = [(np.frombuffer(f.as_buffer(), np.uint32), np.frombuffer(n.as_buffer(), np.int32)) for f, n in zip(got.column("f"), got.column("n"))]
-    y = got.column("y").to_pylist()
-    del got
-    return fit_noisy_or(texts, y)
+    rows = cut(sample.select("__id", "text", "y").mapInArrow(encoded, f"id {kind}, y int, f binary, n binary"))
+    # the sample is bounded, so one task holds it
+    found = rows.repartition(1).sortWithinPartitions("id").mapInArrow(fit, "names array<bigint>, weights array<double>, bias double").first()
+    return NoisyOr(dict(zip(found["names"], found["weights"])), found["bias"]) if found else NoisyOr({}, -60.0)
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr, *, id_col: str = "doc_id", text_col: str = "text", locate: float | None = 0.3) -> DataFrame:
