@@ -387,29 +387,52 @@ def _tile_pairs(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
     return met
 
 
-def _late_candidates(shared: DataFrame, labels: DataFrame, classes: DataFrame, threshold: Fraction, block_bytes: int = 1 << 19) -> DataFrame:
-    """Pairs (a, b) of different components in one tile that the bitmaps let pass.
+def joining_links(i: np.ndarray, j: np.ndarray, label_p: np.ndarray, label_q: np.ndarray, p: pa.Array, q: pa.Array, threshold: Fraction) -> list[int]:
+    """Places of pairs (i, j) that reach the threshold, by intersection of sorted arrays, and join two components that no earlier one joined."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = []
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
+        u, v = root(int(label_p[a])), root(int(label_q[b]))
+        if u != v:
+            x, y = (np.frombuffer(s[n].as_py(), dtype=np.uint64) for s, n in ((p, a), (q, b)))
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common * threshold.denominator >= threshold.numerator * (len(x) + len(y) - common):
+                parent[max(u, v)] = min(u, v)
+                out.append(k)
+    return out
+
+
+def _late_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, sets_of, threshold: Fraction, block_bytes: int = 1 << 19) -> DataFrame:
+    """Links (a, b) that join different components in one tile; ``sets_of`` gives the sorted arrays of the classes asked for.
 
     The smallest class of each tile is left out, as its pairs are done; so tiles of two classes do not come back. Only
     tiles with several components count. Tiles with the same smallest class have mostly the same members, so they are
     worked off together: a member carries its bitmap once and the numbers of its tiles. The members are dealt by hash into
     blocks of bounded bytes, those of the largest component apart from the others, and blocks meet blocks. Pairs of one
-    tile are marked and compared by bitmaps inside a task; no pair is a row before it passes. Many members are many blocks
-    and many tasks.
+    tile are marked, compared by bitmaps and then exactly inside a task. Of the links between two components one is given
+    out, as the others change nothing, so the rows that are made are fewer than the members of the blocks. Many members are
+    many blocks and many tasks.
     """
     named = shared.filter("cls <> least").join(labels, "cls", "left").select("tile", "least", "cls", F.coalesce("component", "cls").alias("label"))
     several = named.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("tile")
     # a class has no more tiles than its text has words
     members = cut(named.join(several, "tile", "left_semi").groupBy("least", "cls", "label").agg(F.collect_list("tile").alias("tiles")))
     largest = members.groupBy("least", "label").count().groupBy("least").agg(F.max(F.struct("count", "label")).alias("m")).select("least", F.col("m.label").alias("largest"))
-    rows = members.join(largest, "least").join(classes.select("cls", "bitmap"), "cls").withColumn("inside", F.col("label") == F.col("largest"))
-    size = F.length("bitmap") + 8 * F.size("tiles") + 32
+    sets = work_table(sets_of(cut(members.select("cls").distinct())), "late-arrays")
+    rows = members.join(largest, "least").join(classes.select("cls", "bitmap"), "cls").join(sets, "cls").withColumn("inside", F.col("label") == F.col("largest"))
+    size = F.length("bitmap") + F.length("shingles") + 8 * F.size("tiles") + 32
     blocks_of = lambda c: F.ceil(F.coalesce(F.sum(F.when(c, size)), F.lit(0)) / block_bytes)
     counts = rows.groupBy("least").agg(blocks_of(~F.col("inside")).alias("n_out"), blocks_of(F.col("inside")).alias("n_in"), (F.sum(size) <= block_bytes).alias("small"))
     counts = cut(counts.select("least", F.when(F.col("small"), 1).otherwise(F.col("n_out")).alias("n_out"), F.when(F.col("small"), 0).otherwise(F.col("n_in")).alias("n_in")))
     dealt = lambda n: F.pmod(F.xxhash64("cls"), n)
     block = F.when(F.col("inside") & (F.col("n_in") > 0), F.col("n_out") + dealt(F.greatest("n_in", F.lit(1)))).otherwise(dealt("n_out"))
-    blocks = rows.join(counts, "least").groupBy("least", block.alias("block")).agg(F.collect_list(F.struct("cls", "label", "bitmap", "tiles")).alias("m"))
+    blocks = rows.join(counts, "least").groupBy("least", block.alias("block")).agg(F.collect_list(F.struct("cls", "label", "bitmap", "tiles", "shingles")).alias("m"))
     each = counts.select("least", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1)).alias("i"), (F.col("n_out") + F.col("n_in") - 1).alias("top")).select("least", "i", F.explode(F.sequence("i", "top")).alias("j"))
     side = lambda at, m: blocks.select("least", F.col("block").alias(at), F.col("m").alias(m))
     met = each.join(side("i", "p"), ["least", "i"]).join(side("j", "q"), ["least", "j"]).select("p", "q", (F.col("i") == F.col("j")).alias("same"))
@@ -419,10 +442,12 @@ def _late_candidates(shared: DataFrame, labels: DataFrame, classes: DataFrame, t
         for batch in batches:
             for p, q, same in zip(batch.column("p"), batch.column("q"), batch.column("same").to_pylist()):
                 p, q = p.values, q.values
-                met = _tile_pairs(list(column(p, "tiles")), list(column(q, "tiles"))) & (column(p, "label")[:, None] != column(q, "label")[None, :])
+                label_p, label_q = column(p, "label"), column(q, "label")
+                met = _tile_pairs(list(column(p, "tiles")), list(column(q, "tiles"))) & (label_p[:, None] != label_q[None, :])
                 i, j = np.nonzero(np.triu(met, 1) if same else met)
                 ok = bitmaps_may_link(p.field("bitmap").to_pylist(), i, q.field("bitmap").to_pylist(), j, threshold)
-                a, b = column(p, "cls")[i[ok]], column(q, "cls")[j[ok]]
+                linked = joining_links(i[ok], j[ok], label_p, label_q, p.field("shingles"), q.field("shingles"), threshold)
+                a, b = column(p, "cls")[i[ok][linked]], column(q, "cls")[j[ok][linked]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return met.mapInArrow(meet, "a bigint, b bigint").distinct()
@@ -445,7 +470,7 @@ def link_classes(docs: DataFrame, shingle: int, threshold: float, id_col: str, t
     first = shared.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
     links = verified(_bitmap_filter(first, maps, threshold))
     labels = components(links)
-    late = verified(_late_candidates(shared, labels, maps, threshold))
+    late = cut(_late_links(shared, labels, maps, lambda wanted: set_table(docs, wanted, shingle, text_col), threshold))
     if late.limit(1).count():
         labels = components(links.unionByName(late))
     return rows.select("doc_id", "text_key", "cls", "n_shingles"), labels

@@ -32,7 +32,7 @@ def near_copies(n, changes, seed):
 def test_tiles_of_many_members_in_any_block_size(spark, monkeypatch, block_bytes):
     texts = near_copies(110, 9, 1) + [t[:150] for t in near_copies(40, 5, 2)] + [words(k, k) for k in range(1, 30)] + ["a b c d e f " + words(60, k) for k in range(40)]
     rows = [(i, t, "en", "s", 0, "x", 1) for i, t in enumerate(texts)]
-    monkeypatch.setattr(jaccard, "_late_candidates", functools.partial(jaccard._late_candidates, block_bytes=block_bytes))
+    monkeypatch.setattr(jaccard, "_late_links", functools.partial(jaccard._late_links, block_bytes=block_bytes))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == components(rows, 5, 0.8)
 
