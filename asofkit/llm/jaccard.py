@@ -387,6 +387,16 @@ def _tile_pairs(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
     return met
 
 
+def meeting_pairs(p: list[np.ndarray], q: list[np.ndarray], label_p: np.ndarray, label_q: np.ndarray, cls_p: np.ndarray, cls_q: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of members of two blocks that share a tile and have different labels.
+
+    Where both are the same block, each pair comes once, told by the classes and not by the places: the two copies of a
+    block are collected apart from each other, so their members may stand in different orders.
+    """
+    met = _tile_pairs(p, q) & (label_p[:, None] != label_q[None, :])
+    return np.nonzero(met & (cls_p[:, None] < cls_q[None, :]) if same else met)
+
+
 def joining_links(i: np.ndarray, j: np.ndarray, label_p: np.ndarray, label_q: np.ndarray, p: pa.Array, q: pa.Array, threshold: Fraction) -> list[int]:
     """Places of pairs (i, j) that reach the threshold, by intersection of sorted arrays, and join two components that no earlier one joined."""
     parent: dict[int, int] = {}
@@ -442,12 +452,11 @@ def _late_links(shared: DataFrame, labels: DataFrame, classes: DataFrame, sets_o
         for batch in batches:
             for p, q, same in zip(batch.column("p"), batch.column("q"), batch.column("same").to_pylist()):
                 p, q = p.values, q.values
-                label_p, label_q = column(p, "label"), column(q, "label")
-                met = _tile_pairs(list(column(p, "tiles")), list(column(q, "tiles"))) & (label_p[:, None] != label_q[None, :])
-                i, j = np.nonzero(np.triu(met, 1) if same else met)
+                label_p, label_q, cls_p, cls_q = column(p, "label"), column(q, "label"), column(p, "cls"), column(q, "cls")
+                i, j = meeting_pairs(list(column(p, "tiles")), list(column(q, "tiles")), label_p, label_q, cls_p, cls_q, same)
                 ok = bitmaps_may_link(p.field("bitmap").to_pylist(), i, q.field("bitmap").to_pylist(), j, threshold)
                 linked = joining_links(i[ok], j[ok], label_p, label_q, p.field("shingles"), q.field("shingles"), threshold)
-                a, b = column(p, "cls")[i[ok][linked]], column(q, "cls")[j[ok][linked]]
+                a, b = cls_p[i[ok][linked]], cls_q[j[ok][linked]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return met.mapInArrow(meet, "a bigint, b bigint").distinct()

@@ -37,6 +37,19 @@ def test_tiles_of_many_members_in_any_block_size(spark, monkeypatch, block_bytes
     assert got == components(rows, 5, 0.8)
 
 
+def test_a_block_meets_itself_in_any_order():
+    rng = np.random.default_rng(5)
+    cls = rng.permutation(30).astype(np.int64)
+    tiles = [np.unique(rng.integers(0, 25, 4)) for _ in cls]
+    label = rng.integers(0, 6, len(cls))
+    want = {(min(cls[a], cls[b]), max(cls[a], cls[b])) for a in range(30) for b in range(30) if label[a] != label[b] and set(tiles[a]) & set(tiles[b])}
+    for _ in range(20):
+        order = rng.permutation(30)  # the other copy of the block stands in another order
+        i, j = jaccard.meeting_pairs(tiles, [tiles[k] for k in order], label, label[order], cls, cls[order], True)
+        got = [(cls[a], cls[order][b]) for a, b in zip(i, j)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_linked_sets_share_a_tile_that_neither_can_spare():
     rng, threshold = np.random.default_rng(3), jaccard.Fraction("0.8")
     for n in (1, 2, 4, 7, 12, 25, 60, 150, 400):
