@@ -10,7 +10,7 @@ is held out, so the estimates that explain it are (c - 1) / (n - 1). All trainin
 counts (m) and a histogram of likelihood ratios per bucket (k).
 
 How it runs. Texts are scanned in slices of some megabytes. Unigram counts are added up by Spark. The most frequent words
-(at most ``MOST_HEAD``, a size bound) and their counts are sent to all tasks. Every token then travels once, packed with
+(by their counts in all rows; at most ``MOST_HEAD``, a size bound) and their counts are sent to all tasks. Every token then travels once, packed with
 thousands of others, to the part that owns what is still unknown about it: pairs of two head words by pair, tokens with a
 rare word by that word, tokens with a rare context by context. Parts count exactly what they own; tokens whose context and word are both
 rare go on from the context's part to the word's. The head list only saves traffic: no count depends on it.
@@ -65,43 +65,47 @@ def bounded_slices(batch: pa.RecordBatch):
 
 
 def unigram_counts(texts: DataFrame) -> DataFrame:
-    """``w, c`` over the training rows of ``texts`` (id, text, held)."""
+    """``w, c, whole`` over ``texts`` (id, text, held): how often a word occurs in training rows and in all rows."""
+
+    def batch_of(h, c):
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c[0]), pa.array(c[1])], ["w", "c", "whole"])
 
     def count(batches):
         keys, counts = [], []
 
         def merged():
-            h, c = np.concatenate(keys), np.concatenate(counts)
+            h, c = np.concatenate(keys), np.concatenate(counts, axis=1)
             unique, where = np.unique(h, return_inverse=True)
-            return unique, np.bincount(where, weights=c, minlength=len(unique)).astype(np.int64)
+            return unique, np.stack([np.bincount(where, weights=x, minlength=len(unique)).astype(np.int64) for x in c])
 
         for whole in batches:
-            whole = whole.filter(pc.invert(whole.column("held")))
             for batch in bounded_slices(whole):
-                h, c = np.unique(tokens_of(batch.column("text"))[1], return_counts=True)
+                row, tokens = tokens_of(batch.column("text"))
+                h, where, c = np.unique(tokens, return_inverse=True, return_counts=True)
+                held = np.asarray(batch.column("held"))
                 keys.append(h)
-                counts.append(c)
+                counts.append(np.stack((c - np.bincount(where[held[row]], minlength=len(h)), c)))
                 if sum(map(len, keys)) > 3_000_000:
                     h, c = merged()
                     if len(h) > 1_500_000:  # mostly new words: pass them on
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["w", "c"])
-                        h, c = h[:0], c[:0]
+                        yield batch_of(h, c)
+                        h, c = h[:0], c[:, :0]
                     keys, counts = [h], [c]
         if keys:
             h, c = merged()
             for k in range(0, len(h), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(h[k : k + 200_000].view(np.int64)), pa.array(c[k : k + 200_000])], ["w", "c"])
+                yield batch_of(h[k : k + 200_000], c[:, k : k + 200_000])
 
-    return texts.mapInArrow(count, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(count, "w bigint, c bigint, whole bigint").groupBy("w").agg(F.sum("c").alias("c"), F.sum("whole").alias("whole"))
 
 
 class Model:
-    """Head words and what all parts need to know."""
+    """Head words and what all parts need to know; ``whole`` are the counts of the head words in all rows."""
 
-    def __init__(self, n: int, v: int, m: float, head: np.ndarray, counts: np.ndarray):
+    def __init__(self, n: int, v: int, m: float, head: np.ndarray, counts: np.ndarray, whole: np.ndarray):
         self.n, self.v, self.m = n, v, m
         order = np.argsort(head)
-        self.head, self.counts = head[order], counts[order]
+        self.head, self.counts, self.whole = head[order], counts[order], whole[order]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Number of a head word, -1 for others."""
@@ -201,7 +205,7 @@ def _scan(texts: DataFrame, model, n_parts: int, contexts: bool, frequent) -> Da
                 d = row.astype(np.uint16) | np.where(held[row], HELD, np.uint16(0))
                 hv, hw = m.find(v), m.find(w)
                 if contexts:
-                    often = m.counts >= frequent
+                    often = m.whole >= frequent
                     on = np.flatnonzero((hv >= 0) & (hw >= 0) & often[hv] & often[hw])
                     if len(on):
                         pair, where = np.unique((hv[on].astype(np.uint32) << np.uint32(16)) | hw[on].astype(np.uint32), return_inverse=True)
@@ -398,11 +402,15 @@ def score_texts(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     counts = cut(unigram_counts(texts))
-    n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    coarse = F.when(F.col("c") < 4096, F.col("c")).otherwise(4096 + F.floor(F.log2("c") * 64))
-    shape = counts.groupBy(coarse.alias("g")).agg(F.avg("c").alias("c"), F.count(F.lit(1)).alias("words")).collect()  # at most 4096 + 64 * 64 rows
-    m = learn_unigram_weight([(r["c"], r["words"]) for r in shape], n, v)
-    # the head: all words from a count on, with the count so high that they are few enough
+    n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first())
+
+    def coarse(name: str) -> Column:
+        return F.when(F.col(name) < 4096, F.col(name)).otherwise(4096 + F.floor(F.log2(name) * 64))
+
+    learned = counts.filter("c > 0").groupBy(coarse("c").alias("g")).agg(F.avg("c").alias("c"), F.count(F.lit(1)).alias("words")).collect()  # at most 4096 + 64 * 64 rows
+    m = learn_unigram_weight([(r["c"], r["words"]) for r in learned], n, v)
+    # the head: all words from a count in all rows on, with the count so high that they are few enough
+    shape = counts.groupBy(coarse("whole").alias("g")).agg(F.count(F.lit(1)).alias("words")).collect()  # as few rows
     least, words = None, 0
     for r in sorted(shape, key=lambda r: -r["g"]):
         words += r["words"]
@@ -410,12 +418,13 @@ def score_texts(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_c
             break
         least = r["g"]
     end = F.col("w") == int(END.view(np.int64))
-    head = counts.filter(end if least is None else end | (coarse >= least)).collect()
-    starts = next((r["c"] for r in head if r["w"] == int(END.view(np.int64))), 0)  # as many starts as ends
+    head = counts.filter(end if least is None else end | (coarse("whole") >= least)).collect()
+    starts = next(((r["c"], r["whole"]) for r in head if r["w"] == int(END.view(np.int64))), (0, 0))  # as many starts as ends
     words = np.asarray([r["w"] for r in head], dtype=np.int64).view(np.uint64)
-    known = Model(n, v, m, np.concatenate((words, [START])), np.asarray([*(r["c"] for r in head), starts], dtype=np.int64))
+    both = np.asarray([*((r["c"], r["whole"]) for r in head), starts], dtype=np.int64)
+    known = Model(n, v, m, np.concatenate((words, [START])), both[:, 0], both[:, 1])
     model = spark.sparkContext.broadcast(known)
-    n_parts = max(24, -(-n // tokens_per_part))
+    n_parts = max(24, -(-int(counts.agg(F.sum("whole")).first()[0] or 0) // tokens_per_part))
     often = max(2, tokens_per_part // 2)
     by_context = _scan(texts, model, n_parts, True, often).groupBy("part").applyInArrow(_context_part(model, often), _OUT)
     first = work_table(by_context, "contexts", "kind")
