@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from asofkit.plans import admission, desk, evaluation, files, market, regimes, research
+from asofkit.plans import admission, campaigns, desk, evaluation, files, market, regimes, research
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (market, research, evaluation, admission, files, regimes, desk):
+for _module in (market, research, evaluation, admission, files, regimes, desk, campaigns):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
