@@ -40,3 +40,58 @@ def year_growth(periods: DataFrame, keys: tuple[str, ...] = ("symbol",), toleran
     best = met.groupBy(*keys, "start", "end").agg(F.max_by("__v", "__e").alias("base"))
     out = periods.join(best, [*keys, "start", "end"], "left")
     return out.withColumn("yoy", F.when(F.col("base") > 0, F.col("value") / F.col("base") - 1))
+
+
+def quarter_states(facts: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """What each quarter was worth, and from when to when: ``keys, end, known_from, known_until, method, value``.
+
+    A quarter is a fact of a quarter's length, or else the year-to-date fact less that of the quarter before with the same start; of each period the
+    latest filing counts (of one day the greatest accession). Among direct facts of one end the latest start wins, among differences the earliest.
+    ``known_until`` is the day of the next filing that matters, NULL for the last state.
+    """
+    gap = lambda a, b: F.datediff(F.col(a), F.col(b)).between(*QUARTER)
+    filed = facts.groupBy(*keys, "start", "end", "filed").agg(F.max_by("value", "accession").alias("value"))
+    versions = filed.withColumn("until", F.lead("filed").over(W.partitionBy(*keys, "start", "end").orderBy("filed")))
+    place = F.datediff("start", F.to_date(F.lit("1970-01-01")))
+    direct = versions.filter(gap("end", "start")).select(*keys, "end", F.col("filed").alias("since"), "until", F.struct(F.lit(2).alias("a"), place.alias("b"), F.col("end").alias("c")).alias("rank"), F.lit("direct").alias("method"), "value")
+    prior = versions.select(*keys, "start", F.col("end").alias("__e"), F.col("filed").alias("__f"), F.col("until").alias("__u"), F.col("value").alias("__v"))
+    met = versions.filter(F.datediff("end", "start") > QUARTER[1]).join(prior, [*keys, "start"]).filter(gap("end", "__e"))  # the few quarters of one year
+    met = met.withColumn("since", F.greatest("filed", "__f")).withColumn("until", F.least("until", "__u")).filter("until is null or since < until")
+    by_difference = met.select(*keys, "end", "since", "until", F.struct(F.lit(1).alias("a"), (-place).alias("b"), F.col("__e").alias("c")).alias("rank"), F.lit("ytd_diff").alias("method"), (F.col("value") - F.col("__v")).alias("value"))
+    known = direct.unionByName(by_difference)
+    days = known.select(*keys, "end", F.col("since").alias("known_from")).distinct()
+    on = days.join(known, [*keys, "end"]).filter("since <= known_from and (until is null or until > known_from)")
+    best = on.groupBy(*keys, "end", "known_from").agg(F.max_by(F.struct("method", "value"), "rank").alias("s"))
+    until = F.lead("known_from").over(W.partitionBy(*keys, "end").orderBy("known_from"))
+    return best.select(*keys, "end", "known_from", until.alias("known_until"), "s.method", "s.value")
+
+
+def next_quarter_acceleration(decisions: DataFrame, facts: DataFrame, keys: tuple[str, ...] = ("symbol",), match_days: int = 10) -> DataFrame:
+    """For each ``keys, decision``: log growth over the year of the next quarter filed from the decision on, less that of the last one known before it.
+
+    ``last_end`` is the latest quarter with growth among those filed before the decision; quarters after it that were known by then, but have no base, are passed.
+    No outcome (NULL) where a quarter is missing in between, the next one never becomes computable, or its base was not known at the decision.
+    The array of a decision holds the quarters of one company.
+    """
+    states = quarter_states(facts, keys)
+    live = decisions.join(states, [*keys]).filter("known_from < decision and (known_until is null or known_until >= decision)")
+    known = live.groupBy(*keys, "decision").agg(F.collect_list(F.struct("end", "value")).alias("q"))
+
+    def base(end):
+        off = lambda x: F.abs(F.datediff(end, x["end"]) - 365)
+        near = F.filter("q", lambda x: off(x) <= match_days)
+        return F.array_min(F.transform(near, lambda x: F.struct(off(x).alias("off"), x["end"].alias("end"), x["value"].alias("value"))))["value"]
+
+    grown = F.filter(F.transform("q", lambda x: F.struct(x["end"].alias("end"), x["value"].alias("value"), base(x["end"]).alias("base"))), lambda x: (x["base"] > 0) & (x["value"] > 0))
+    last = known.withColumn("l", F.array_max(grown)).filter("l is not null").select(*keys, "decision", "q", F.col("l.end").alias("last_end"), F.log(F.col("l.value") / F.col("l.base")).alias("last_growth"))
+    step = F.datediff("end", F.lag("end").over(W.partitionBy(*keys).orderBy("end")))
+    first = states.groupBy(*keys, "end").agg(F.min("known_from").alias("first_known"), F.min_by("value", "known_from").alias("first_value"))
+    ends = facts.select(*keys, "end").distinct().withColumn("linked", step.between(*QUARTER)).join(first, [*keys, "end"], "left")
+    later = last.join(ends, [*keys]).filter("end > last_end and (not linked or first_known is null or first_known >= decision)")
+    stop = later.groupBy(*keys, "decision").agg(F.min_by(F.struct("end", "linked", "first_known", "first_value"), "end").alias("n"))
+    out = decisions.join(last, [*keys, "decision"], "left").join(stop, [*keys, "decision"], "left").withColumn("base", base(F.col("n.end")))
+    matured = F.col("n.linked") & F.col("n.first_known").isNotNull() & (F.col("base") > 0) & (F.col("n.first_value") > 0)
+    return out.select(
+        *keys, "decision", "last_end", F.when(matured, F.col("n.end")).alias("next_end"), F.when(matured, F.col("n.first_known")).alias("known_on"),
+        F.when(matured, F.log(F.col("n.first_value") / F.col("base")) - F.col("last_growth")).alias("acceleration"),
+    )

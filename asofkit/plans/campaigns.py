@@ -1,13 +1,14 @@
-"""Queries on the index tape: readings of the signal by session and the first session of a new methodology that can have one.
+"""Queries on the index tape and on filed quarters: readings of the signal by session, quarters as they were known, growth of the next one.
 
-The fixings are the live revisions of the tape, averaged over the urgent and the other priorities, so that there are two dense indexes.
+The fixings of the tape are the live revisions of the tape, averaged over the urgent and the other priorities, so that there are two dense indexes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from asofkit.operators import tape
+from asofkit.operators import tape, vintages
 from asofkit.sources import tables as src
 from asofkit.sources.tables import with_sql
 
@@ -58,3 +59,52 @@ def win26_tape_readings(spark, d):
 @query(_RUNS + """SELECT index_code, day AS earliest FROM (SELECT index_code, max_by(s, no) + 63 AS no FROM runs GROUP BY 1) LEFT JOIN cal USING (no)""")
 def win26_earliest_live(spark, d):
     return tape.earliest_live(_fixings(spark, d), _calendar(spark, d))
+
+
+#: Facts without every seventh one, so that quarters are missing; half of the second quarters are also filed directly, with another value.
+_FACTS = with_sql("facts") + """, kept AS (SELECT * FROM facts WHERE (day(filed) + year("end")) % 7 <> 0 UNION ALL
+  SELECT symbol, make_date(CAST(year("end") AS INTEGER), 4, 1), "end", value * 0.4, form, filed + 9, accession || 'd' FROM facts WHERE month("end") = 6 AND day(filed) % 2 = 0)"""
+
+
+def _facts(spark, d):
+    f = src.ytd_facts(spark, d)
+    direct = f.filter("month(end) = 6 and day(filed) % 2 = 0").withColumns({
+        "start": F.make_date(F.year("end"), F.lit(4), F.lit(1)), "value": F.col("value") * 0.4, "filed": F.date_add("filed", 9), "accession": F.concat("accession", F.lit("d")),
+    })
+    return f.filter("(day(filed) + year(end)) % 7 <> 0").unionByName(direct)
+
+
+#: Quarters by (symbol, moment), from the facts filed up to it, told anew for each moment of ``ask``.
+_QUARTERS = """lat AS (SELECT symbol, moment, "start", "end", arg_max(value, CAST(filed AS VARCHAR) || accession) AS value FROM kept JOIN ask USING (symbol) WHERE filed <= moment GROUP BY 1, 2, 3, 4),
+direct AS (SELECT symbol, moment, "end", arg_max(value, "start") AS value FROM lat WHERE "end" - "start" BETWEEN 80 AND 100 GROUP BY 1, 2, 3),
+diffs AS (SELECT a.symbol, a.moment, a."end", arg_max(a.value - p.value, -10000000 * datediff('day', DATE '1970-01-01', a."start") + datediff('day', DATE '1970-01-01', p."end")) AS value FROM lat a JOIN lat p ON a.symbol = p.symbol AND a.moment = p.moment AND a."start" = p."start"
+  WHERE a."end" - a."start" > 100 AND a."end" - p."end" BETWEEN 80 AND 100 GROUP BY 1, 2, 3),
+q AS (SELECT *, 'direct' AS method FROM direct UNION ALL SELECT *, 'ytd_diff' FROM diffs ANTI JOIN direct USING (symbol, moment, "end"))"""
+
+
+@query(_FACTS + """, ask AS (SELECT DISTINCT symbol, filed AS moment FROM kept), """ + _QUARTERS + """, steps AS (SELECT *, lag(value) OVER w AS pv, lag(method) OVER w AS pm FROM q WINDOW w AS (PARTITION BY symbol, "end" ORDER BY moment))
+SELECT symbol, "end", min(moment) AS first_known, count(*) FILTER (pv IS NOT NULL AND (value <> pv OR method <> pm)) AS changes, arg_max(method, moment) AS method, round(arg_min(value, moment), 2) AS first_value, round(arg_max(value, moment), 2) AS value FROM steps GROUP BY 1, 2""")
+def win31_quarters_as_known(spark, d):
+    s = vintages.quarter_states(_facts(spark, d))
+    w = W.partitionBy("symbol", "end").orderBy("known_from")
+    changed = F.lag("value").over(w).isNotNull() & ((F.lag("value").over(w) != F.col("value")) | (F.lag("method").over(w) != F.col("method")))
+    return s.withColumn("changed", changed).groupBy("symbol", "end").agg(
+        F.min("known_from").alias("first_known"), F.count_if("changed").alias("changes"), F.max_by("method", "known_from").alias("method"),
+        F.round(F.min_by("value", "known_from"), 2).alias("first_value"), F.round(F.max_by("value", "known_from"), 2).alias("value"),
+    )
+
+
+@query(_FACTS + """, days AS (SELECT symbol, CAST(unnest(generate_series(CAST(date_trunc('month', min(filed)) AS TIMESTAMP), CAST(max(filed) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) + 14 AS decision FROM kept GROUP BY 1),
+ask AS (SELECT symbol, decision - 1 AS moment FROM days UNION SELECT symbol, filed FROM kept), """ + _QUARTERS + """, fk AS (SELECT symbol, "end", min(moment) AS first_known, arg_min(value, moment) AS first_value FROM q SEMI JOIN (SELECT symbol, filed AS moment FROM kept) USING (symbol, moment) GROUP BY 1, 2),
+bases AS (SELECT t.symbol, t.moment, t.e, arg_min(b.value, abs(t.e - 365 - b."end") * 100000 + (b."end" - DATE '1970-01-01')) AS base FROM (SELECT a.symbol, a.moment, x."end" AS e FROM ask a JOIN (SELECT DISTINCT symbol, "end" FROM kept) x USING (symbol)) t
+  JOIN q b ON t.symbol = b.symbol AND t.moment = b.moment AND abs(t.e - 365 - b."end") <= 10 GROUP BY 1, 2, 3),
+grown AS (SELECT q.symbol, q.moment, max(q."end") AS last_end, arg_max(ln(q.value / base), q."end") AS g FROM q JOIN bases b ON q.symbol = b.symbol AND q.moment = b.moment AND q."end" = b.e WHERE base > 0 AND q.value > 0 GROUP BY 1, 2),
+ends AS (SELECT *, "end" - lag("end") OVER (PARTITION BY symbol ORDER BY "end") BETWEEN 80 AND 100 AS linked FROM (SELECT DISTINCT symbol, "end" FROM kept) LEFT JOIN fk USING (symbol, "end")),
+halt AS (SELECT d.symbol, d.decision, g.last_end, g.g, min(e."end") AS next_end FROM days d LEFT JOIN grown g ON d.symbol = g.symbol AND d.decision - 1 = g.moment LEFT JOIN ends e ON e.symbol = d.symbol AND e."end" > g.last_end AND (NOT linked OR first_known IS NULL OR first_known >= d.decision) GROUP BY 1, 2, 3, 4),
+full_ AS (SELECT h.*, e.first_known, e.linked AND e.first_known IS NOT NULL AND b.base > 0 AND e.first_value > 0 AS ok, e.first_value, b.base FROM halt h LEFT JOIN ends e ON h.symbol = e.symbol AND h.next_end = e."end"
+  LEFT JOIN bases b ON b.symbol = h.symbol AND b.moment = h.decision - 1 AND b.e = h.next_end)
+SELECT symbol, decision, last_end, CASE WHEN ok THEN next_end END AS next_end, CASE WHEN ok THEN first_known END AS known_on, round(CASE WHEN ok THEN ln(first_value / base) - g END, 6) AS acceleration FROM full_""")
+def win31_acceleration(spark, d):
+    f = _facts(spark, d)
+    months = f.groupBy("symbol").agg(F.trunc(F.min("filed"), "month").alias("a"), F.max("filed").alias("z")).select("symbol", F.explode(F.expr("sequence(a, z, interval 1 month)")).alias("m"))
+    return vintages.next_quarter_acceleration(months.select("symbol", F.date_add("m", 14).alias("decision")), f).withColumn("acceleration", F.round("acceleration", 6))
