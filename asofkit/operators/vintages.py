@@ -95,3 +95,70 @@ def next_quarter_acceleration(decisions: DataFrame, facts: DataFrame, keys: tupl
         *keys, "decision", "last_end", F.when(matured, F.col("n.end")).alias("next_end"), F.when(matured, F.col("n.first_known")).alias("known_on"),
         F.when(matured, F.log(F.col("n.first_value") / F.col("base")) - F.col("last_growth")).alias("acceleration"),
     )
+
+
+#: The forms of annual reports, which alone define a fiscal year.
+ANNUAL_FORMS = ("10-K", "10-K/A", "10-KT", "20-F", "20-F/A", "40-F")
+
+
+def fiscal_year_starts(facts: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """``keys, fy_start``: the start of every year that an annual report carried, and the day after its end."""
+    years = facts.filter(F.col("form").isin(*ANNUAL_FORMS) & (F.datediff("end", "start") + 1).between(*YEAR))
+    return years.select(*keys, F.explode(F.array(F.col("start"), F.date_add("end", 1))).alias("fy_start")).distinct()
+
+
+def quarter_plans(facts: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """How each quarter can be had: ``keys, start, end, long_start, short_end, fiscal_year, fiscal_quarter``.
+
+    Quarters are the steps between the year-to-date ends of a fiscal year; a step of another length is left as a gap. ``long_start`` is the start of both
+    legs (NULL where only a direct fact can tell: first quarters, and three-month facts outside of any chain), ``short_end`` the end of the shorter one.
+    """
+    periods = facts.filter("start is not null").select(*keys, "start", "end").distinct()
+    starts = fiscal_year_starts(facts, keys)
+    chain = periods.join(starts.withColumnRenamed("fy_start", "start"), [*keys, "start"]).filter(F.datediff("end", "start") + 1 <= YEAR[1])
+    chain = chain.withColumn("before", F.coalesce(F.lag("end").over(W.partitionBy(*keys, "start").orderBy("end")), F.date_sub("start", 1))).filter(F.datediff("end", "before").between(*QUARTER))
+    legs = F.when(F.date_add("before", 1) != F.col("start"), F.struct(F.col("start").alias("long_start"), F.col("before").alias("short_end")))
+    steps = chain.groupBy(*keys, F.date_add("before", 1).alias("q"), "end").agg(F.max_by(legs, "start").alias("legs")).withColumnRenamed("q", "start")
+    plans = steps.select(*keys, "start", "end", "legs.long_start", "legs.short_end")
+    alone = periods.filter((F.datediff("end", "start") + 1).between(*QUARTER)).join(plans, [*keys, "start", "end"], "left_anti")
+    plans = plans.unionByName(alone, allowMissingColumns=True)
+    owner = plans.join(starts, [*keys]).filter((F.col("fy_start") <= F.col("start")) & (F.datediff("end", "fy_start") + 1 <= YEAR[1]))  # the few years of one company
+    owner = owner.groupBy(*keys, "start", "end").agg(F.max("fy_start").alias("fy"))
+    quarter = F.greatest(F.lit(1), F.bround((F.datediff("end", "fy") + 1) / 91.3).cast("int"))
+    return plans.join(owner, [*keys, "start", "end"], "left").select(*keys, "start", "end", "long_start", "short_end", F.year(F.date_add("fy", 360)).alias("fiscal_year"), F.when(F.col("fy").isNotNull(), quarter).alias("fiscal_quarter"))
+
+
+def quarterly_vintages(facts: DataFrame, keys: tuple[str, ...] = ("symbol",), tolerance: float = 0.01) -> DataFrame:
+    """Every value that each quarter has had, one row a change: the columns of the plan and ``vintage`` (from 0), ``filed, method, value, form, accession, inputs, flag, confirmed_by``.
+
+    Of one period and day the last report by (amendment, accession) counts. A direct fact wins; else the longer leg less the shorter one, both as of the same day.
+    A quarter is read anew when its direct fact or its longer leg is filed; the shorter leg alone counts only for the first value. ``flag`` tells a direct
+    fact that differs from the difference by more than ``tolerance``; ``confirmed_by`` lists the filings that gave the same value again.
+    """
+    plans, key = quarter_plans(facts, keys), [*keys, "start", "end"]
+    report = F.struct("filed", "accession", "form", "value")
+    daily = facts.filter("start is not null").groupBy(*key, "filed").agg(F.max_by(report, F.struct(F.endswith("form", F.lit("/A")).alias("amended"), "accession")).alias("r"))
+    leg = lambda name, start, end: plans.select(*key, F.col(start).alias("__s"), F.col(end).alias("__e")).join(daily.withColumnsRenamed({"start": "__s", "end": "__e"}), [*keys, "__s", "__e"]).select(*key, "filed", F.lit(name).alias("leg"), "r")
+    events = leg("d", "start", "end").unionByName(leg("l", "long_start", "end")).unionByName(leg("s", "long_start", "short_end"))
+    days = events.groupBy(*key, "filed").agg(*[F.max(F.when(F.col("leg") == x, F.col("r"))).alias(x) for x in "dls"])
+    by_day = W.partitionBy(*key).orderBy("filed")
+    seen = days.withColumn("asks", F.col("d").isNotNull() | F.col("l").isNotNull()).withColumns({x: F.last(x, ignorenulls=True).over(by_day.rowsBetween(W.unboundedPreceding, 0)) for x in "dls"})
+    both = F.col("l").isNotNull() & F.col("s").isNotNull()
+    seen = seen.filter(F.col("d").isNotNull() | both).join(plans, key)
+    difference = F.when(both, F.col("l.value") - F.col("s.value"))
+    way = F.when((F.datediff("end", "long_start") + 1).between(*YEAR), "fy_minus_9m").otherwise("ytd_diff")
+    newer = F.when(F.struct("s.filed", "s.accession") > F.struct("l.filed", "l.accession"), F.col("s")).otherwise(F.col("l"))
+    gap = F.abs(F.col("d.value") - difference) / F.when(F.col("d.value") != 0, F.abs("d.value")).otherwise(1.0)
+    direct = F.col("d").isNotNull()
+    read = seen.withColumns({
+        "value": F.when(direct, F.col("d.value")).otherwise(difference), "method": F.when(direct, "direct").otherwise(way), "source": F.when(direct, F.col("d")).otherwise(newer),
+        "inputs": F.when(direct, F.array("d.accession")).otherwise(F.array("s.accession", "l.accession")),
+        "flag": F.when(direct & (gap > tolerance), F.concat(F.lit("direct_vs_"), way, F.lit("_mismatch_"), F.format_string("%.3f", gap))),
+    })
+    read = read.withColumn("place", F.row_number().over(by_day)).filter("asks or place = 1")
+    new = F.lag("value").over(by_day).isNull() | (F.lag("value").over(by_day) != F.col("value"))
+    read = read.withColumn("new", new).withColumn("vintage", F.sum(F.col("new").cast("int")).over(by_day.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    kept = ["long_start", "short_end", "fiscal_year", "fiscal_quarter", "value", "method", "inputs", "flag"]
+    first = F.min_by(F.struct("filed", *kept, F.col("source.form").alias("form"), F.col("source.accession").alias("accession")), "filed").alias("f")
+    again = F.transform(F.array_sort(F.collect_list(F.struct("filed", "source.accession"))), lambda r: r["accession"])
+    return read.groupBy(*key, "vintage").agg(first, F.array_distinct(again).alias("confirmed_by")).select(*key, "vintage", "f.*", "confirmed_by")

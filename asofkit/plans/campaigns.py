@@ -108,3 +108,40 @@ def win31_acceleration(spark, d):
     f = _facts(spark, d)
     months = f.groupBy("symbol").agg(F.trunc(F.min("filed"), "month").alias("a"), F.max("filed").alias("z")).select("symbol", F.explode(F.expr("sequence(a, z, interval 1 month)")).alias("m"))
     return vintages.next_quarter_acceleration(months.select("symbol", F.date_add("m", 14).alias("decision")), f).withColumn("acceleration", F.round("acceleration", 6))
+
+
+#: Quarter plans in SQL, and the vintages read anew for each day on which one of the three reports of a plan was filed.
+_PLANS = _FACTS + """, fy AS (SELECT DISTINCT symbol, unnest(["start", "end" + 1]) AS fy FROM kept WHERE form IN ('10-K', '10-K/A') AND "end" - "start" + 1 BETWEEN 350 AND 380),
+periods AS (SELECT DISTINCT symbol, "start", "end" FROM kept),
+chain AS (SELECT symbol, fy, "end", coalesce(lag("end") OVER (PARTITION BY symbol, fy ORDER BY "end"), fy - 1) AS before FROM periods JOIN fy USING (symbol) WHERE "start" = fy AND "end" - "start" + 1 <= 380),
+steps AS (SELECT symbol, before + 1 AS "start", "end", max(fy) AS fy, arg_max(before, fy) AS before FROM chain WHERE "end" - before BETWEEN 80 AND 100 GROUP BY 1, 2, 3),
+bare AS (SELECT symbol, "start", "end", CASE WHEN "start" <> fy THEN fy END AS long_start, CASE WHEN "start" <> fy THEN before END AS short_end FROM steps
+  UNION ALL SELECT symbol, "start", "end", NULL, NULL FROM periods ANTI JOIN steps USING (symbol, "start", "end") WHERE "end" - "start" + 1 BETWEEN 80 AND 100),
+owned AS (SELECT b.*, (SELECT max(fy) FROM fy WHERE fy.symbol = b.symbol AND fy.fy <= b."start" AND b."end" - fy.fy + 1 <= 380) AS fy FROM bare b),
+plans AS (SELECT symbol, "start", "end", long_start, short_end, year(fy + 360) AS fiscal_year, CASE WHEN fy IS NOT NULL THEN greatest(1, round_even(("end" - fy + 1) / 91.3, 0))::INTEGER END AS fiscal_quarter FROM owned)
+"""
+
+
+@query(_PLANS + "SELECT * FROM plans")
+def win28_fiscal_quarters(spark, d):
+    return vintages.quarter_plans(_facts(spark, d))
+
+
+_ORDER = "CAST(filed AS VARCHAR) || CASE WHEN form LIKE '%/A' THEN '1' ELSE '0' END || accession"
+
+
+@query(_PLANS + f""", legs AS (SELECT p.*, k.filed AS day, k."start" = p."start" OR k."end" = p."end" AS asks FROM plans p JOIN kept k ON p.symbol = k.symbol AND ((k."start" = p."start" AND k."end" = p."end") OR (k."start" = p.long_start AND k."end" IN (p."end", p.short_end)))),
+days AS (SELECT symbol, "start", "end", long_start, short_end, fiscal_year, fiscal_quarter, day, bool_or(asks) AS asks FROM legs GROUP BY ALL),
+seen AS (SELECT y.*, {', '.join(f'''(SELECT arg_max({{'v': value, 'a': accession, 'f': form, 'o': CAST(filed AS VARCHAR) || accession}}, {_ORDER}) FROM kept k WHERE k.symbol = y.symbol AND k."start" = y.{s} AND k."end" = y.{e} AND k.filed <= y.day) AS {n}''' for n, s, e in (('d', '"start"', '"end"'), ('l', 'long_start', '"end"'), ('s', 'long_start', 'short_end')))} FROM days y),
+told AS (SELECT *, CASE WHEN d IS NOT NULL THEN d.v ELSE l.v - s.v END AS value, CASE WHEN "end" - long_start + 1 BETWEEN 350 AND 380 THEN 'fy_minus_9m' ELSE 'ytd_diff' END AS way,
+  CASE WHEN d IS NOT NULL THEN d WHEN s.o > l.o THEN s ELSE l END AS source, CASE WHEN d IS NOT NULL THEN d.a ELSE s.a || ';' || l.a END AS inputs, abs(d.v - (l.v - s.v)) / CASE WHEN d.v = 0 THEN 1.0 ELSE abs(d.v) END AS gap FROM seen WHERE d IS NOT NULL OR (l IS NOT NULL AND s IS NOT NULL)),
+asked AS (SELECT *, row_number() OVER (PARTITION BY symbol, "start", "end" ORDER BY day) AS place FROM told),
+marked AS (SELECT *, lag(value) OVER (PARTITION BY symbol, "start", "end" ORDER BY day) AS pv FROM asked WHERE asks OR place = 1),
+numbered AS (SELECT *, sum(CASE WHEN pv = value THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, "start", "end" ORDER BY day) - 1 AS vintage FROM marked),
+once AS (SELECT *, row_number() OVER (PARTITION BY symbol, "start", "end", vintage, source.a ORDER BY day) AS time FROM numbered)
+SELECT symbol, "start", "end", CAST(vintage AS INTEGER) AS vintage, min(day) AS filed, long_start, short_end, fiscal_year, fiscal_quarter, round(arg_min(value, day), 2) AS value, arg_min(CASE WHEN d IS NOT NULL THEN 'direct' ELSE way END, day) AS method,
+arg_min(inputs, day) AS inputs, coalesce(arg_min(CASE WHEN d IS NOT NULL AND gap > 0.01 THEN 'direct_vs_' || way || '_mismatch_' || printf('%.3f', gap) ELSE '' END, day), '') AS flag, arg_min(source.f, day) AS form, arg_min(source.a, day) AS accession,
+string_agg(source.a, ';' ORDER BY day) FILTER (time = 1) AS confirmed_by FROM once GROUP BY symbol, "start", "end", vintage, long_start, short_end, fiscal_year, fiscal_quarter""")
+def win29_quarterly_vintages(spark, d):
+    joined = {c: F.array_join(c, ";") for c in ("inputs", "confirmed_by")}
+    return vintages.quarterly_vintages(_facts(spark, d)).withColumns({**joined, "flag": F.coalesce("flag", F.lit("")), "value": F.round("value", 2)})
