@@ -162,3 +162,55 @@ def quarterly_vintages(facts: DataFrame, keys: tuple[str, ...] = ("symbol",), to
     first = F.min_by(F.struct("filed", *kept, F.col("source.form").alias("form"), F.col("source.accession").alias("accession")), "filed").alias("f")
     again = F.transform(F.array_sort(F.collect_list(F.struct("filed", "source.accession"))), lambda r: r["accession"])
     return read.groupBy(*key, "vintage").agg(first, F.array_distinct(again).alias("confirmed_by")).select(*key, "vintage", "f.*", "confirmed_by")
+
+
+def annual_vintages(facts: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Every value that each year-long period has had: ``keys, start, end, vintage`` (from 0), ``filed, value, form, accession, fiscal_year, confirmed_by``."""
+    key = [*keys, "start", "end"]
+    years = facts.filter((F.datediff("end", "start") + 1).between(*YEAR))
+    report = F.struct("value", "form", "accession")
+    daily = years.groupBy(*key, "filed").agg(F.max_by(report, F.struct(F.endswith("form", F.lit("/A")).alias("amended"), "accession")).alias("r")).select(*key, "filed", "r.*")
+    by_day = W.partitionBy(*key).orderBy("filed")
+    new = F.lag("value").over(by_day).isNull() | (F.lag("value").over(by_day) != F.col("value"))
+    numbered = daily.withColumn("new", new.cast("int")).withColumn("vintage", F.sum("new").over(by_day.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    again = F.transform(F.array_sort(F.collect_list(F.struct("filed", "accession"))), lambda r: r["accession"])
+    g = numbered.groupBy(*key, "vintage").agg(F.min_by(F.struct("filed", "value", "form", "accession"), "filed").alias("f"), F.array_distinct(again).alias("confirmed_by"))
+    return g.select(*key, "vintage", "f.*", F.year(F.date_add("start", 360)).alias("fiscal_year"), "confirmed_by")
+
+
+def growth_rows(vintages: DataFrame, keys: tuple[str, ...] = ("symbol",), *, quarterly: bool = True, length_tolerance: int = 10) -> DataFrame:
+    """Growth of each period anew on every day on which one of its inputs changed, from what was filed by then.
+
+    ``vintages``: ``keys, start, end, vintage, filed, value, accession, confirmed_by``. Inputs are the period, the one a quarter before (of quarters), the one a year
+    before, and the year before the former (of years: the latter). A prior period ends latest in the range and is of like length; growth over a base that
+    is missing or not positive is NULL. ``same_filing``: the filing behind the value also reported the year-ago value.
+    """
+    key = [*keys, "start", "end"]
+    periods = vintages.select(*key).distinct()
+    other = periods.withColumnsRenamed({"start": "s", "end": "e"})
+    gap, length = F.datediff("end", "e"), F.abs(F.datediff("end", "start") - F.datediff("e", "s"))
+    pairs = periods.join(other, [*keys]).filter((gap.between(*QUARTER) | gap.between(*YEAR)) & (length <= length_tolerance))  # the periods of one company
+    best = lambda low, high: F.max_by(F.when(gap.between(low, high), F.struct("s", "e")), F.when(gap.between(low, high), F.struct("e", (-F.datediff("s", F.to_date(F.lit("1970-01-01")))).alias("b"))))
+    prior = periods.join(pairs.groupBy(*key).agg(best(*QUARTER).alias("pq"), best(*YEAR).alias("py")), key, "left")
+    if not quarterly:
+        prior = prior.withColumn("pq", F.lit(None).cast(prior.schema["py"].dataType))
+    over = F.col("pq" if quarterly else "py")
+    linked = prior.withColumns({"s": over["s"], "e": over["e"]}).join(prior.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), F.col("py").alias("pqy")), [*keys, "s", "e"], "left")
+    roles = F.array(*[F.struct(F.lit(r).alias("role"), s.alias("s"), e.alias("e")) for r, s, e in [("c", F.col("start"), F.col("end")), *((r, F.col(f"{r}.s"), F.col(f"{r}.e")) for r in ("pq", "py", "pqy"))]])
+    wanted = linked.select(*key, F.explode(roles).alias("w")).filter("w.e is not null").select(*key, "w.*")
+    row = F.struct("filed", "vintage", "value", "accession", "confirmed_by")
+    events = wanted.join(vintages.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), "filed", "vintage", row.alias("v")), [*keys, "s", "e"])
+    names = ("c", "pq", "py", "pqy")
+    days = events.groupBy(*key, "filed").agg(*[F.max_by(F.when(F.col("role") == r, F.col("v")), F.when(F.col("role") == r, F.col("vintage"))).alias(r) for r in names])
+    by_day = W.partitionBy(*key).orderBy("filed")
+    known = days.withColumns({r: F.last(r, ignorenulls=True).over(by_day.rowsBetween(W.unboundedPreceding, 0)) for r in names}).filter("c is not null")
+    known = known.withColumn("signature", F.struct(*[F.col(f"{r}.value").alias(r) for r in names]))
+    changed = known.withColumn("same", F.lag("signature").over(by_day).eqNullSafe(F.col("signature"))).filter("not same")
+    growth = lambda a, b: F.when(F.col(f"{b}.value") > 0, F.col(f"{a}.value") / F.col(f"{b}.value") - 1)
+    used = F.array_compact(F.array(*[F.struct(F.col(f"{r}.filed").alias("filed"), F.col(f"{r}.accession").alias("accession")) for r in names]))
+    newest = F.array_max(F.filter(used, lambda u: u["filed"].isNotNull()))
+    out = changed.select(
+        *key, "filed", newest["accession"].alias("accession"), F.col("c.value").alias("value"), F.col("pq.value").alias("prior_quarter_value"), F.col("py.value").alias("prior_year_value"), growth("c", "pq").alias("qoq"),
+        growth("c", "py").alias("yoy"), growth("pq" if quarterly else "py", "pqy").alias("yoy_prev"), newest["filed"].alias("inputs_max_filed"), F.when(F.col("py").isNotNull(), F.array_contains("py.confirmed_by", F.col("c.accession"))).alias("same_filing"),
+    )
+    return out.withColumn("yoy_accel", F.col("yoy") - F.col("yoy_prev"))

@@ -145,3 +145,24 @@ string_agg(source.a, ';' ORDER BY day) FILTER (time = 1) AS confirmed_by FROM on
 def win29_quarterly_vintages(spark, d):
     joined = {c: F.array_join(c, ";") for c in ("inputs", "confirmed_by")}
     return vintages.quarterly_vintages(_facts(spark, d)).withColumns({**joined, "flag": F.coalesce("flag", F.lit("")), "value": F.round("value", 2)})
+
+
+_PRIOR = """SELECT a.symbol, a."start", a."end", arg_max({{'s': b."start", 'e': b."end"}}, (b."end" - DATE '1970-01-01') * 1000000 - (b."start" - DATE '1970-01-01')) AS p FROM g_periods a JOIN g_periods b ON a.symbol = b.symbol
+  AND a."end" - b."end" BETWEEN {} AND {} AND abs((a."end" - a."start") - (b."end" - b."start")) <= 10 GROUP BY 1, 2, 3"""
+_ROLES = {"c": ('g."start"', 'g."end"'), "pq": ("g.pq.s", "g.pq.e"), "py": ("g.py.s", "g.py.e"), "pqy": ("g.pqy.s", "g.pqy.e")}
+
+
+@query(f"""WITH vint AS ({ORACLES['win29_quarterly_vintages']}), g_periods AS (SELECT symbol, "start", "end", min(filed) AS first FROM vint GROUP BY 1, 2, 3),
+g_pq AS ({_PRIOR.format(80, 100)}), g_py AS ({_PRIOR.format(350, 380)}),
+links AS (SELECT a.*, q.p AS pq, y.p AS py, z.p AS pqy FROM g_periods a LEFT JOIN g_pq q ON a.symbol = q.symbol AND a."start" = q."start" AND a."end" = q."end" LEFT JOIN g_py y ON a.symbol = y.symbol AND a."start" = y."start" AND a."end" = y."end"
+  LEFT JOIN g_py z ON a.symbol = z.symbol AND q.p.s = z."start" AND q.p.e = z."end"),
+g_days AS (SELECT DISTINCT g.*, v.filed AS day FROM links g JOIN vint v ON g.symbol = v.symbol AND v.filed >= g.first AND ({' OR '.join(f'(v."start" = {s} AND v."end" = {e})' for s, e in _ROLES.values())})),
+g_seen AS (SELECT g.symbol, g."start", g."end", g.day, {', '.join(f'''(SELECT arg_max({{'filed': v.filed, 'value': v.value, 'a': v.accession, 'o': CAST(v.filed AS VARCHAR) || v.accession, 'by': v.confirmed_by}}, CAST(v.filed AS VARCHAR) || v.vintage) FROM vint v WHERE v.symbol = g.symbol AND v."start" = {s} AND v."end" = {e} AND v.filed <= g.day) AS v{r}''' for r, (s, e) in _ROLES.items())} FROM g_days g),
+signed AS (SELECT *, concat_ws('|', vc.value, coalesce(vpq.value::VARCHAR, '-'), coalesce(vpy.value::VARCHAR, '-'), coalesce(vpqy.value::VARCHAR, '-')) AS sig FROM g_seen),
+lagged AS (SELECT *, lag(sig) OVER (PARTITION BY symbol, "start", "end" ORDER BY day) AS before FROM signed),
+grown AS (SELECT *, CASE WHEN vpq.value > 0 THEN vc.value / vpq.value - 1 END AS qoq, CASE WHEN vpy.value > 0 THEN vc.value / vpy.value - 1 END AS yoy, CASE WHEN vpqy.value > 0 THEN vpq.value / vpqy.value - 1 END AS yoy_prev, greatest(vc.o, vpq.o, vpy.o, vpqy.o) AS o FROM lagged WHERE before IS NULL OR before <> sig)
+SELECT symbol, "start", "end", day AS filed, substr(o, 11) AS accession, vc.value AS value, vpq.value AS prior_quarter_value, vpy.value AS prior_year_value, round(qoq, 8) AS qoq, round(yoy, 8) AS yoy, round(yoy_prev, 8) AS yoy_prev, CAST(left(o, 10) AS DATE) AS inputs_max_filed,
+CASE WHEN vpy IS NOT NULL THEN list_contains(string_split(vpy.by, ';'), vc.a) END AS same_filing, round(yoy - yoy_prev, 8) AS yoy_accel FROM grown""")
+def win30_growth_rows(spark, d):
+    told = vintages.quarterly_vintages(_facts(spark, d)).withColumn("value", F.round("value", 2))
+    return vintages.growth_rows(told).withColumns({c: F.round(c, 8) for c in ("qoq", "yoy", "yoy_prev", "yoy_accel")})
