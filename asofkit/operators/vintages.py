@@ -118,10 +118,10 @@ def quarter_plans(facts: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> Data
     chain = periods.join(starts.withColumnRenamed("fy_start", "start"), [*keys, "start"]).filter(F.datediff("end", "start") + 1 <= YEAR[1])
     chain = chain.withColumn("before", F.coalesce(F.lag("end").over(W.partitionBy(*keys, "start").orderBy("end")), F.date_sub("start", 1))).filter(F.datediff("end", "before").between(*QUARTER))
     legs = F.when(F.date_add("before", 1) != F.col("start"), F.struct(F.col("start").alias("long_start"), F.col("before").alias("short_end")))
-    steps = chain.groupBy(*keys, F.date_add("before", 1).alias("q"), "end").agg(F.max_by(legs, "start").alias("legs")).withColumnRenamed("q", "start")
-    plans = steps.select(*keys, "start", "end", "legs.long_start", "legs.short_end")
-    alone = periods.filter((F.datediff("end", "start") + 1).between(*QUARTER)).join(plans, [*keys, "start", "end"], "left_anti")
-    plans = plans.unionByName(alone, allowMissingColumns=True)
+    steps = chain.select(*keys, F.date_add("before", 1).alias("q"), "end", legs.alias("legs"), F.col("start").alias("year")).withColumnRenamed("q", "start")
+    alone = periods.filter((F.datediff("end", "start") + 1).between(*QUARTER))
+    plans = steps.unionByName(alone, allowMissingColumns=True).groupBy(*keys, "start", "end").agg(F.max_by("legs", F.coalesce("year", F.to_date(F.lit("0001-01-01")))).alias("legs"))
+    plans = plans.select(*keys, "start", "end", "legs.long_start", "legs.short_end")
     owner = plans.join(starts, [*keys]).filter((F.col("fy_start") <= F.col("start")) & (F.datediff("end", "fy_start") + 1 <= YEAR[1]))  # the few years of one company
     owner = owner.groupBy(*keys, "start", "end").agg(F.max("fy_start").alias("fy"))
     quarter = F.greatest(F.lit(1), F.bround((F.datediff("end", "fy") + 1) / 91.3).cast("int"))
@@ -135,16 +135,17 @@ def quarterly_vintages(facts: DataFrame, keys: tuple[str, ...] = ("symbol",), to
     A quarter is read anew when its direct fact or its longer leg is filed; the shorter leg alone counts only for the first value. ``flag`` tells a direct
     fact that differs from the difference by more than ``tolerance``; ``confirmed_by`` lists the filings that gave the same value again.
     """
-    plans, key = quarter_plans(facts, keys), [*keys, "start", "end"]
+    plan, key = ["long_start", "short_end", "fiscal_year", "fiscal_quarter"], [*keys, "start", "end"]
     report = F.struct("filed", "accession", "form", "value")
     daily = facts.filter("start is not null").groupBy(*key, "filed").agg(F.max_by(report, F.struct(F.endswith("form", F.lit("/A")).alias("amended"), "accession")).alias("r"))
-    leg = lambda name, start, end: plans.select(*key, F.col(start).alias("__s"), F.col(end).alias("__e")).join(daily.withColumnsRenamed({"start": "__s", "end": "__e"}), [*keys, "__s", "__e"]).select(*key, "filed", F.lit(name).alias("leg"), "r")
-    events = leg("d", "start", "end").unionByName(leg("l", "long_start", "end")).unionByName(leg("s", "long_start", "short_end"))
-    days = events.groupBy(*key, "filed").agg(*[F.max(F.when(F.col("leg") == x, F.col("r"))).alias(x) for x in "dls"])
+    legs = F.array(*[F.struct(F.lit(n).alias("leg"), F.col(a).alias("__s"), F.col(z).alias("__e")) for n, a, z in (("d", "start", "end"), ("l", "long_start", "end"), ("s", "long_start", "short_end"))])
+    wanted = quarter_plans(facts, keys).select(*key, *plan, F.explode(legs).alias("w")).select(*key, *plan, "w.*").filter("__s is not null")
+    events = wanted.join(daily.withColumnsRenamed({"start": "__s", "end": "__e"}), [*keys, "__s", "__e"])
+    days = events.groupBy(*key, *plan, "filed").agg(*[F.max(F.when(F.col("leg") == x, F.col("r"))).alias(x) for x in "dls"])
     by_day = W.partitionBy(*key).orderBy("filed")
     seen = days.withColumn("asks", F.col("d").isNotNull() | F.col("l").isNotNull()).withColumns({x: F.last(x, ignorenulls=True).over(by_day.rowsBetween(W.unboundedPreceding, 0)) for x in "dls"})
     both = F.col("l").isNotNull() & F.col("s").isNotNull()
-    seen = seen.filter(F.col("d").isNotNull() | both).join(plans, key)
+    seen = seen.filter(F.col("d").isNotNull() | both)
     difference = F.when(both, F.col("l.value") - F.col("s.value"))
     way = F.when((F.datediff("end", "long_start") + 1).between(*YEAR), "fy_minus_9m").otherwise("ytd_diff")
     newer = F.when(F.struct("s.filed", "s.accession") > F.struct("l.filed", "l.accession"), F.col("s")).otherwise(F.col("l"))
@@ -158,7 +159,7 @@ def quarterly_vintages(facts: DataFrame, keys: tuple[str, ...] = ("symbol",), to
     read = read.withColumn("place", F.row_number().over(by_day)).filter("asks or place = 1")
     new = F.lag("value").over(by_day).isNull() | (F.lag("value").over(by_day) != F.col("value"))
     read = read.withColumn("new", new).withColumn("vintage", F.sum(F.col("new").cast("int")).over(by_day.rowsBetween(W.unboundedPreceding, 0)) - 1)
-    kept = ["long_start", "short_end", "fiscal_year", "fiscal_quarter", "value", "method", "inputs", "flag"]
+    kept = [*plan, "value", "method", "inputs", "flag"]
     first = F.min_by(F.struct("filed", *kept, F.col("source.form").alias("form"), F.col("source.accession").alias("accession")), "filed").alias("f")
     again = F.transform(F.array_sort(F.collect_list(F.struct("filed", "source.accession"))), lambda r: r["accession"])
     return read.groupBy(*key, "vintage").agg(first, F.array_distinct(again).alias("confirmed_by")).select(*key, "vintage", "f.*", "confirmed_by")
@@ -186,17 +187,19 @@ def growth_rows(vintages: DataFrame, keys: tuple[str, ...] = ("symbol",), *, qua
     is missing or not positive is NULL. ``same_filing``: the filing behind the value also reported the year-ago value.
     """
     key = [*keys, "start", "end"]
-    periods = vintages.select(*key).distinct()
-    other = periods.withColumnsRenamed({"start": "s", "end": "e"})
-    gap, length = F.datediff("end", "e"), F.abs(F.datediff("end", "start") - F.datediff("e", "s"))
-    pairs = periods.join(other, [*keys]).filter((gap.between(*QUARTER) | gap.between(*YEAR)) & (length <= length_tolerance))  # the periods of one company
-    best = lambda low, high: F.max_by(F.when(gap.between(low, high), F.struct("s", "e")), F.when(gap.between(low, high), F.struct("e", (-F.datediff("s", F.to_date(F.lit("1970-01-01")))).alias("b"))))
-    prior = periods.join(pairs.groupBy(*key).agg(best(*QUARTER).alias("pq"), best(*YEAR).alias("py")), key, "left")
-    if not quarterly:
-        prior = prior.withColumn("pq", F.lit(None).cast(prior.schema["py"].dataType))
-    over = F.col("pq" if quarterly else "py")
-    linked = prior.withColumns({"s": over["s"], "e": over["e"]}).join(prior.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), F.col("py").alias("pqy")), [*keys, "s", "e"], "left")
-    roles = F.array(*[F.struct(F.lit(r).alias("role"), s.alias("s"), e.alias("e")) for r, s, e in [("c", F.col("start"), F.col("end")), *((r, F.col(f"{r}.s"), F.col(f"{r}.e")) for r in ("pq", "py", "pqy"))]])
+    periods = vintages.groupBy(*keys).agg(F.collect_set(F.struct("start", "end")).alias("all"))  # the periods of one company
+    size = lambda p: F.datediff(p["end"], p["start"])
+
+    def prior(p, low, high):
+        gap = lambda x: F.datediff(p["end"], x["end"])
+        fit = F.filter("all", lambda x: gap(x).between(low, high) & (F.abs(size(x) - size(p)) <= length_tolerance))
+        best = F.array_max(F.transform(fit, lambda x: F.struct(x["end"].alias("e"), size(x).alias("size"), x["start"].alias("s"))))
+        return F.when(best.isNotNull(), F.struct(best["s"].alias("start"), best["e"].alias("end")))
+
+    linked = periods.withColumn("p", F.explode("all")).withColumn("py", prior(F.col("p"), *YEAR))
+    linked = linked.withColumn("pq", prior(F.col("p"), *QUARTER) if quarterly else F.lit(None).cast(linked.schema["py"].dataType))
+    linked = linked.withColumn("pqy", prior(F.col("pq" if quarterly else "py"), *YEAR)).select(*keys, "p.*", "pq", "py", "pqy")
+    roles = F.array(*[F.struct(F.lit(r).alias("role"), s.alias("s"), e.alias("e")) for r, s, e in [("c", F.col("start"), F.col("end")), *((r, F.col(f"{r}.start"), F.col(f"{r}.end")) for r in ("pq", "py", "pqy"))]])
     wanted = linked.select(*key, F.explode(roles).alias("w")).filter("w.e is not null").select(*key, "w.*")
     row = F.struct("filed", "vintage", "value", "accession", "confirmed_by")
     events = wanted.join(vintages.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), "filed", "vintage", row.alias("v")), [*keys, "s", "e"])
