@@ -65,3 +65,10 @@ def test_acceleration_waits_for_the_next_quarter(spark):
     got = {(r["symbol"], str(r["decision"])): r for r in vintages.next_quarter_acceleration(ask, facts(spark, *rows)).collect()}
     assert got["x", "2023-06-01"]["acceleration"] == pytest.approx(0.6931471805599453) and str(got["x", "2023-06-01"]["known_on"]) == "2023-08-09"
     assert got["x", "2024-01-01"]["acceleration"] is None and got["y", "2023-06-01"]["last_end"] is None
+
+
+def test_annual_vintages(spark):
+    again = (Y, "2023-12-31", 100, "10-K/A", "ka", "2024-04-01")
+    other = (Y, "2023-12-31", 110, "10-K/A", "kb", "2024-06-01")
+    rows = vintages.annual_vintages(facts(spark, *YEAR, again, other)).orderBy("vintage").collect()
+    assert [(r["vintage"], r["value"], r["accession"], r["confirmed_by"], r["fiscal_year"]) for r in rows] == [(0, 100.0, "k", ["k", "ka"], 2023), (1, 110.0, "kb", ["kb"], 2023)]
