@@ -250,10 +250,11 @@ def fn21_sample_gates(spark, d):
     return table(spark, d, "part").select("p_partkey", pick(F.lit(40), F.lit(80)).alias("discovery_trades"), pick(F.lit(15), F.lit(35)).alias("holdout_trades"), pick(F.lit(1), F.least(F.lit(6), n)).alias("min_symbols"), pick(F.lit(1.0), F.greatest(F.lit(0.35), F.bround(1.5 / n, 2))).alias("max_concentration"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN round(o_totalprice / 1000, 2) END AS metric, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS trades FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN (CAST(round(o_totalprice * 100) AS BIGINT) + 500) // 1000 / 100 END AS metric, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS trades FROM orders""")
 def fn29_last_metric(spark, d):
     """The last metric line of an output, and a number out of its last JSON line; NULL where there is none."""
-    x = F.format_string("%.2f", F.col("o_totalprice") / 1000)
+    hundredths = F.floor((F.round(F.col("o_totalprice") * 100).cast("long") + 500) / 1000)
+    x = F.format_string("%d.%02d", F.floor(hundredths / 100), hundredths % 100)
     text = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit('metric=0.1\n{"trades": 1}\nmetric='), x, F.lit('\n{"trades": '), F.col("o_custkey").cast("string"), F.lit("}\ndone"))).otherwise("no figures")
     o = table(spark, d, "orders").select("o_orderkey", text.alias("t"))
     last = lambda p: F.try_element_at(F.regexp_extract_all("t", F.lit(p), 1), F.lit(-1))

@@ -29,16 +29,21 @@ def plain(x):
     return str(x)
 
 
-def place(x):
-    """A sort key that is the same for an integer and an equal float, and for floats that differ in the last digits."""
+def place(x, rounded: bool = False):
+    """A sort key: integers, strings and Booleans exactly; a number of a column with floats by five digits, so that the last digits do not matter."""
     if x is None or isinstance(x, (bool, str)):
         return (0, str(x))
-    return (1, f"{float(f'{x:.5g}'):+.4e}") if isinstance(x, float) or abs(x) < 1 << 53 else (1, str(x))
+    return (1, f"{float(f'{x:.5g}'):+.4e}") if rounded else (2, x)
+
+
+def sorted_rows(rows: list[tuple], floats: set[int]) -> list[tuple]:
+    """Rows by their exact columns first, then by the columns that hold a float in either result."""
+    return sorted(rows, key=lambda r: [(place(x), i) for i, x in enumerate(r) if i not in floats] + [place(x, True) for i, x in enumerate(r) if i in floats])
 
 
 def rows_of(names: list[str], rows) -> list[tuple]:
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=lambda r: [(2, "") if isinstance(x, float) else place(x) for x in r] + [place(x) for x in r])
+    return [tuple(plain(r[i]) for i in order) for r in rows]
 
 
 def differ(x, y) -> bool:
@@ -54,6 +59,8 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> str | None:
     if sorted(df.columns) != sorted(rel.columns):
         return f"columns {sorted(df.columns)} and {sorted(rel.columns)}"
     got, want = rows_of(df.columns, df.collect()), rows_of(rel.columns, rel.fetchall())
+    floats = {i for r in got + want for i, x in enumerate(r) if isinstance(x, float)}
+    got, want = sorted_rows(got, floats), sorted_rows(want, floats)
     if len(got) != len(want):
         return f"{len(got)} rows, the oracle has {len(want)}"
     for a, b in zip(got, want):

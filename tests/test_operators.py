@@ -200,6 +200,6 @@ def test_wilder_adx_of_a_straight_rise_is_100_and_of_no_move_0():
     from asofkit.operators.indicators import adx
 
     x = np.arange(1.0, 60)
-    assert np.isnan(adx(x + 0.5, x - 0.5, x, 14)[:27]).all() and adx(x + 0.5, x - 0.5, x, 14)[-1] == 100
+    assert np.isnan(adx(x + 0.5, x - 0.5, x, 14)[:27]).all() and adx(x + 0.5, x - 0.5, x, 14)[-1] == pytest.approx(100)
     flat = np.full(40, 5.0)
     assert adx(flat, flat, flat, 14)[-1] == 0
