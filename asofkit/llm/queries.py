@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from asofkit.llm.alignment import pair_scores
 from asofkit.llm.common import held_out, read_table
 from asofkit.llm.decontamination import contamination_digest
 from asofkit.llm.fingerprints import compare_with_next
 from asofkit.llm.jaccard import link_documents
 from asofkit.llm.lm_scoring import score_texts
 from asofkit.llm.mixing import mix_sources
+from asofkit.llm.quality_rules import clean_lines, quality_sql
 from asofkit.llm.secrets import secret_digest
 from asofkit.llm.sharding import shard_rows
 from asofkit.llm.token_counts import document_token_counts
@@ -65,6 +67,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(read_table(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_scores(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,9 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_toxicity, op3_lm_scoring, op4_jaccard_join, op5_token_counts, op6_sharding, op7_fingerprints,
-        op8_warc_derivatives, op9_secret_scan, op10_decontamination, pipeline,
+        op8_warc_derivatives, op9_secret_scan, op10_decontamination, op12_quality_rules, op13_token_alignment, pipeline,
     )
 }
 
 #: Queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_quality_rules": quality_sql()}

@@ -98,9 +98,9 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def scan_words(texts: pa.Array, is_word: np.ndarray = SPACED) -> Words:
+def scan_words(texts: pa.Array, is_word: np.ndarray = SPACED, *, lower: bool = True) -> Words:
     data, offsets = flat(texts)
-    data = _LOWER[data]
+    data = _LOWER[data] if lower else data
     n = len(data)
     inside = is_word[data]
     first = np.zeros(n + 1, dtype=bool)
