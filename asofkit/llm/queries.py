@@ -20,6 +20,7 @@ from asofkit.llm.sharding import shard_rows
 from asofkit.llm.token_counts import document_token_counts
 from asofkit.llm.toxicity import THRESHOLD, score_toxicity, train_toxicity
 from asofkit.llm.warc import build_derivatives, page_responses
+from asofkit.llm.whitening import whiten
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(read_table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -85,7 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_toxicity, op3_lm_scoring, op4_jaccard_join, op5_token_counts, op6_sharding, op7_fingerprints,
-        op8_warc_derivatives, op9_secret_scan, op10_decontamination, op12_quality_rules, op13_token_alignment, pipeline,
+        op8_warc_derivatives, op9_secret_scan, op10_decontamination, op11_embedding_whitening, op12_quality_rules, op13_token_alignment, pipeline,
     )
 }
 
