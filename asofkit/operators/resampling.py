@@ -10,17 +10,22 @@ from pyspark.sql import Window as W
 def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, x: str, *, resamples: int, seed: str, alpha: float) -> DataFrame:
     """``keys, lower_bound``: the alpha quantile of the pooled mean over resamples of whole clusters.
 
-    Clusters are summed first, so a resample joins (sum, count) pairs. Draw ``slot`` of resample ``r`` is a hash of
-    (seed, r, slot), the same in every engine; draws are made per key in parallel and joined on the cluster's number.
+    Clusters are summed first, and a key's sums and counts become two arrays. Draw ``slot`` of resample ``r`` is a hash of (seed, r, slot),
+    the same in every engine and for every key, so the hashes are made once: as many as resamples times the most clusters of a key, which
+    is small next to the data (a key has as many clusters as it has weeks or blocks), and broadcast. Each (key, resample) then folds its draws over the arrays without a shuffle.
     """
     sums = df.groupBy(*keys, cluster).agg(F.sum(x).alias("s"), F.count(x).alias("n"))
-    w = W.partitionBy(*keys)
-    numbered = sums.withColumn("idx", F.row_number().over(w.orderBy(cluster)) - 1).withColumn("k", F.count(F.lit(1)).over(w))
-    slots = numbered.select(*keys, F.col("k"), F.col("idx").alias("slot"))  # as many draws as clusters
-    draws = slots.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("r").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = draws.withColumn("idx", F.pmod(number, "k").cast("int")).select(*keys, "r", "idx")
-    means = drawn.join(numbered.select(*keys, "idx", "s", "n"), [*keys, "idx"]).groupBy(*keys, "r").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(cluster).alias("__c"), F.coalesce(F.col("s").cast("double"), F.lit(0.0)).alias("s"), F.col("n").alias("n")))).alias("__x"))
+    packed = packed.select(*keys, F.col("__x.s").alias("__s"), F.col("__x.n").alias("__n"), F.size("__x").alias("__k"))
+    most = sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("__k")).agg(F.max("__k").alias("__most"))
+    number = lambda slot: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("__r").cast("string"), slot.cast("string"))), 1, 8), 16, 10).cast("long")
+    draws = df.sparkSession.range(resamples).withColumnRenamed("id", "__r").join(F.broadcast(most))  # one row
+    draws = draws.filter("__most > 0").select("__r", F.transform(F.sequence(F.lit(0), F.col("__most").cast("int") - 1), number).alias("__draws"))
+    each = packed.withColumn("__r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long")))).join(F.broadcast(draws), "__r")
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
+    place = lambda d: (d % F.col("__k")).cast("int")
+    total = F.aggregate(F.slice("__draws", 1, F.col("__k")), start, lambda t, d: F.struct((t["s"] + F.get("__s", place(d))).alias("s"), (t["n"] + F.get("__n", place(d))).alias("n")))
+    means = each.select(*keys, total.alias("t")).select(*keys, F.try_divide("t.s", "t.n").alias("mean"))
     return means.groupBy(*keys).agg(F.percentile("mean", F.lit(alpha)).alias("lower_bound"))
 
 

@@ -104,6 +104,29 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("symbol", "day", F.timestamp_seconds(F.unix_timestamp(F.col("day").cast("timestamp")) + F.col("hour") * 3600).alias("decision"))
 
 
+def session_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, session, minute, open, high, low, close, volume: bars of an hour from 9:30, over years of sessions."""
+    line = table(spark, sf_dir, "lineitem")
+    price, first = F.col("l_extendedprice") / 250 + 50, F.struct("l_orderkey", "l_linenumber")
+    minute = ((F.col("l_orderkey") + F.col("l_linenumber")) % 7 * 60 + 570).cast("int")
+    return line.groupBy(F.col("l_linestatus").alias("symbol"), F.to_date("l_shipdate").alias("session"), minute.alias("minute")).agg(
+        F.min_by(price, first).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, first).alias("close"), F.count(F.lit(1)).alias("volume"),
+    )
+
+
+def option_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, session, cp, strike, minute, price, bid, ask around the open of every bar; some strikes are missing, some quotes are old, some crossed."""
+    bars = session_bars(spark, sf_dir).select("symbol", "session", F.col("minute").alias("bar"), "open", "volume", F.explode(F.sequence(F.lit(-3), F.lit(3))).alias("k"))
+    v, k = F.col("volume") + F.dayofmonth("session"), F.col("k")
+    x = bars.filter((v * 3 + k + 3) % 19 != 0).withColumn("strike", F.rint(F.col("open") / 5) * 5 + k * 5).withColumn("cp", F.explode(F.array(F.lit("C"), F.lit("P"))))
+    inside = F.when(F.col("cp") == "C", F.col("open") - F.col("strike")).otherwise(F.col("strike") - F.col("open"))
+    x = x.withColumn("price", F.round(F.greatest(inside, F.lit(0.0)) + 1.5 + (v * 7 + k * 3 + 9) % 5 * 0.7, 2))
+    x = x.withColumn("minute", (F.col("bar") - F.when((v + k + 3) % 23 == 5, 20).otherwise((v + k + 3) % 4 * 5)).cast("int"))
+    crossed = (v + 2 * k + 6) % 29 == 7
+    side = lambda low: F.round(F.greatest(F.col("price") + F.when(crossed == F.lit(low), 0.3).otherwise(-0.3), F.lit(0.0)), 2)
+    return x.select("symbol", "session", "cp", "strike", "minute", "price", side(True).alias("bid"), side(False).alias("ask"))
+
+
 #: The same tables in SQL, as common table expressions.
 SQL = {
     "daily": """daily AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS session, min_by(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
@@ -128,6 +151,12 @@ SQL = {
     "windows": """obs AS (SELECT g.symbol, g.day, CAST(g.day AS TIMESTAMP) + to_hours(CAST(g.hour + 1 AS INTEGER)) AS observed_at, coalesce(n, 0) AS event_count FROM
         (SELECT symbol, day, unnest(range(0, 24)) AS hour FROM (SELECT DISTINCT event_type AS symbol, CAST(ts AS DATE) AS day FROM events)) g
         LEFT JOIN (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, hour(ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2, 3) c ON g.symbol = c.symbol AND g.day = c.day AND g.hour = c.hour WHERE g.hour % 5 <> 0)""",
+    "bars": """bars AS (SELECT l_linestatus AS symbol, CAST(l_shipdate AS DATE) AS session, CAST((l_orderkey + l_linenumber) % 7 * 60 + 570 AS INTEGER) AS minute, min_by(l_extendedprice / 250 + 50, l_orderkey * 10 + l_linenumber) AS open,
+        max(l_extendedprice / 250 + 50) AS high, min(l_extendedprice / 250 + 50) AS low, max_by(l_extendedprice / 250 + 50, l_orderkey * 10 + l_linenumber) AS close, count(*) AS volume FROM lineitem GROUP BY 1, 2, 3)""",
+    "quotes": """quotes AS (SELECT symbol, session, cp, strike, CAST(bar - CASE WHEN (volume + k + 3) % 23 = 5 THEN 20 ELSE (volume + k + 3) % 4 * 5 END AS INTEGER) AS minute, price,
+        round(greatest(price + CASE WHEN (volume + 2 * k + 6) % 29 = 7 THEN 0.3 ELSE -0.3 END, 0), 2) AS bid, round(greatest(price + CASE WHEN (volume + 2 * k + 6) % 29 = 7 THEN -0.3 ELSE 0.3 END, 0), 2) AS ask
+        FROM (SELECT *, round(greatest(CASE WHEN cp = 'C' THEN open - strike ELSE strike - open END, 0) + 1.5 + (volume * 7 + k * 3 + 9) % 5 * 0.7, 2) AS price
+        FROM (SELECT symbol, session, minute AS bar, open, volume + day(session) AS volume, k, round_even(open / 5, 0) * 5 + k * 5 AS strike, cp FROM bars, (SELECT unnest(range(-3, 4)) AS k), (SELECT unnest(['C', 'P']) AS cp) WHERE ((volume + day(session)) * 3 + k + 3) % 19 <> 0)))""",
     "decisions": """decisions AS (SELECT symbol, day, CAST(day AS TIMESTAMP) + to_hours(CAST(h AS INTEGER)) AS decision FROM
         (SELECT symbol, day, unnest([10, 14]) AS h FROM (SELECT DISTINCT event_type AS symbol, CAST(ts AS DATE) AS day FROM events)))""",
 }

@@ -38,9 +38,14 @@ FEATURE = {"op": "gt", "observation": {"obs": "feature", "family": "portfolio_si
 TOUCH = {"op": "observed", "observation": {"obs": "first_touch_before_entry", "after_minute": 590, "open_offset": 2}}
 
 
-def _judged(signal, **changes):
-    doc = {"schema_version": 3, "entry_minute": 630, "signal": signal, "structure": {"helper": "call_debit_spread", "width": 5, "otm_offset": 0}} | changes
-    return rules.judge(json.dumps(doc))
+def _document(signal, **changes):
+    return json.dumps({"schema_version": 3, "entry_minute": 630, "signal": signal, "structure": {"helper": "call_debit_spread", "width": 5, "otm_offset": 0}} | changes)
+
+
+def _judge(spark, documents):
+    """The verdicts in the order of the documents."""
+    rows = rules.judge_proposals(spark.createDataFrame(list(enumerate(documents)), "attempt int, document string").coalesce(1)).collect()
+    return [r.asDict() for r in sorted(rows, key=lambda r: r["attempt"])]
 
 
 def _not(x):
@@ -52,34 +57,82 @@ def test_unknown_observation_is_false_and_not_stays_above_it(spark):
     run = lambda rule: [r[0] for r in df.select(rules.compile_rule(rule, lambda o: F.col("x"))).collect()]
     assert run(_not(LESS)) == [True, True, False]
     assert run(MORE) == [False, True, False]
-    a, b = _judged(_not(LESS)), _judged(MORE)
-    assert a["ok"] and b["ok"] and a["rule_hash"] != b["rule_hash"]
-    assert _judged(_not(_not(LESS)))["rule_hash"] == _judged(LESS)["rule_hash"]
+    a, b, c, d = _judge(spark, [_document(x) for x in (_not(LESS), MORE, _not(_not(LESS)), LESS)])
+    assert a["ok"] and b["ok"] and a["rule_hash"] != b["rule_hash"] and c["rule_hash"] == d["rule_hash"]
 
 
-def test_rules_of_one_meaning_share_a_hash():
-    a = _judged({"op": "and", "args": [LESS, TOUCH]})
-    assert a["ok"] and a["rule_hash"] == _judged(_not({"op": "or", "args": [_not(TOUCH), _not(LESS)]}))["rule_hash"]
-    assert a["rule_hash"] == _judged({"op": "and", "args": [TOUCH, LESS | {"value": 1.0}]})["rule_hash"]
-    assert (a["minutes"], a["thresholds"], a["bucket"], a["helper"]) == ([590, 600], [2.0, 1.0], 630, "call_debit_spread")
-    assert a["family"] == "and/observed/lt:first_touch_before_entry+return_from_open"
-    assert _judged(FEATURE)["reads"] == ["portfolio_signal.m"]
+def test_rules_of_one_meaning_share_a_hash(spark):
+    same = [{"op": "and", "args": [LESS, TOUCH]}, _not({"op": "or", "args": [_not(TOUCH), _not(LESS)]}), {"op": "and", "args": [TOUCH, LESS | {"value": 1.0}]}]
+    nested = [{"op": "and", "args": [{"op": "and", "args": [LESS, TOUCH]}, FEATURE]}, {"op": "and", "args": [FEATURE, LESS, TOUCH]}]
+    got = _judge(spark, [_document(x) for x in (*same, FEATURE, *nested)])
+    a = got[0]
+    assert a["ok"] and len({g["rule_hash"] for g in got[:3]}) == 1 and got[4]["canonical"] == got[5]["canonical"] != a["canonical"]
+    assert (a["minutes"], a["thresholds"], a["bucket"], a["helper"], a["width"], a["otm_offset"]) == ([590, 600], [2.0, 1.0], 630, "call_debit_spread", 5.0, 0.0)
+    assert a["family"] == "and/observed/lt:first_touch_before_entry+return_from_open" and got[3]["reads"] == ["portfolio_signal.m"]
+    assert a["canonical"] == json.dumps(json.loads(a["canonical"]), sort_keys=True, separators=(",", ":"))
+    assert [g["duplicate_of"] for g in got] == [None, 0, 0, None, None, 4]
 
 
-@pytest.mark.parametrize("signal, changes, reason", [
-    ({"op": "and", "args": [LESS, LESS]}, {}, "repeated condition"), (LESS, {"schema_version": 99}, "unsupported version"), (LESS, {"entry_minute": -605}, "entry_minute"),
+REFUSED = [
+    ({"op": "and", "args": [LESS, LESS]}, {}, "repeated condition"), (LESS, {"schema_version": 99}, "unsupported version"), (LESS, {"schema_version": 3.0}, "unsupported version"), (LESS, {"entry_minute": -605}, "entry_minute"),
     (LESS, {"entry_minute": 632}, "entry_minute"), (_not(FEATURE), {}, "feature under not"), (_not(_not(FEATURE)), {}, "feature under not"), (LESS | {"value": True}, {}, "value"),
-    (LESS | {"value": 1e9}, {}, "value"), (LESS | {"more": 1}, {}, "unexpected"), ({"op": "lt", "observation": TOUCH["observation"], "value": 1}, {}, "first touch"),
+    (LESS | {"value": 1e9}, {}, "value"), (LESS | {"value": "1"}, {}, "value"), (LESS | {"more": 1}, {}, "unexpected"), ({"op": "lt", "observation": TOUCH["observation"], "value": 1}, {}, "first touch"),
     ({"op": "observed", "observation": LESS["observation"]}, {}, "first touch"), ({"op": "lt", "observation": {"obs": "return_from_open", "minute": 640}, "value": 1}, {}, "minute"),
+    ({"op": "lt", "observation": {"obs": "return_from_open", "minute": 600.0}, "value": 1}, {}, "minute"), ({"op": "lt", "observation": {"obs": "return_between", "start_minute": 600, "end_minute": 600}, "value": 1}, {}, "start is not before end"),
     ({"op": "lt", "observation": {"obs": "tea_leaves"}, "value": 1}, {}, "unknown observation"), ({"op": "xor", "args": [LESS, TOUCH]}, {}, "unknown operator"),
-    ({"op": "and", "args": [LESS]}, {}, "two to eight"), (LESS, {"structure": {"helper": "naked_call", "width": 5, "otm_offset": 0}}, "unknown structure"),
-    (LESS, {"structure": {"helper": "call_debit_spread", "width": 0, "otm_offset": 0}}, "width"), (LESS, {"structure": None}, "structure"), (None, {}, "malformed"),
-    (_not(_not(_not(_not(_not(_not(LESS)))))), {}, "too deep"),
-])
-def test_what_is_not_admissible_is_refused(signal, changes, reason):
-    got = _judged(signal, **changes)
-    assert not got["ok"] and reason in got["reason"]
-    assert not rules.judge("not json")["ok"] and not rules.judge(None)["ok"] and not rules.judge("[1]")["ok"]
+    ({"op": "lt", "observation": FEATURE["observation"] | {"metric": "Bad Name"}, "value": 1}, {}, "bad metric"), ({"op": "lt", "observation": FEATURE["observation"] | {"family": "tarot"}, "value": 1}, {}, "feature family"),
+    ({"op": "and", "args": [LESS]}, {}, "two to eight"), ({"op": "or", "args": [LESS | {"value": k} for k in range(9)]}, {}, "two to eight"), (LESS, {"structure": {"helper": "naked_call", "width": 5, "otm_offset": 0}}, "unknown structure"),
+    ({"op": "or", "args": [{"op": "and", "args": [LESS | {"value": k}, MORE | {"value": k}]} for k in range(5)]}, {}, "too many conditions"), (LESS, {"structure": {"helper": "call_debit_spread", "width": 5, "otm_offset": 21}}, "otm_offset"),
+    (LESS, {"structure": {"helper": "call_debit_spread", "width": 0, "otm_offset": 0}}, "width"), (LESS, {"structure": None}, "structure"), (None, {}, "malformed"), (LESS, {"extra": 1}, "document"),
+    (_not(_not(_not(_not(_not(_not(LESS)))))), {}, "too deep"), ({"op": "and", "args": [LESS, None]}, {}, "malformed"), ({"op": 3}, {}, "malformed"),
+]
+
+
+def test_what_is_not_admissible_is_refused(spark):
+    plain = ["not json", None, "[1]", "3", "{}", '{"a":1,"a":2}']
+    got = _judge(spark, [*[_document(signal, **changes) for signal, changes, _ in REFUSED], *plain])
+    for (signal, changes, reason), g in zip(REFUSED, got):
+        assert not g["ok"] and reason in g["reason"] and g["canonical"] is None and g["rule_hash"] is None, (signal, changes, g)
+    assert not any(g["ok"] for g in got[len(REFUSED) :])
+
+
+def test_canonical_rules_mean_what_was_proposed(spark):
+    """Random trees against their canonical form, on every combination of answers of their leaves."""
+    rng = np.random.default_rng(11)
+    leaves = [LESS, LESS | {"value": -2.5}, TOUCH, MORE | {"value": 7}]
+
+    def tree(depth):
+        kind = rng.choice(["leaf", "not", "and", "or"]) if depth < 5 else "leaf"
+        if kind == "leaf":
+            return leaves[rng.integers(len(leaves))]
+        return _not(tree(depth + 1)) if kind == "not" else {"op": str(kind), "args": [tree(depth + 1) for _ in range(2)]}
+
+    def answer(t, known):
+        if "observation" in t:
+            return known[json.dumps(t | ({"value": float(t["value"])} if "value" in t else {}), sort_keys=True)]
+        if t["op"] == "not":
+            return not answer(t["arg"], known)
+        return (all if t["op"] == "and" else any)([answer(a, known) for a in t["args"]])
+
+    trees = [tree(1) for _ in range(150)]
+    keys = [json.dumps(x | ({"value": float(x["value"])} if "value" in x else {}), sort_keys=True) for x in leaves]
+    good = 0
+    for t, g in zip(trees, _judge(spark, [_document(t) for t in trees])):
+        if not g["ok"]:
+            assert g["reason"] in ("repeated condition", "too many conditions"), g["reason"]
+            continue
+        good += 1
+        canonical = json.loads(g["canonical"])["signal"]
+        for bits in range(16):
+            known = {k: bool(bits >> i & 1) for i, k in enumerate(keys)}
+            assert answer(t, known) == answer(canonical, known)
+        assert "not" not in [n["op"] for n in _junctions(canonical) if "observation" not in n.get("arg", {"observation": 1})]
+    assert good > 50
+
+
+def _junctions(t):
+    below = t.get("args") or ([t["arg"]] if "arg" in t else [])
+    return [t, *[n for b in below for n in _junctions(b)]]
 
 
 def test_asof_is_strict_tolerant_and_ties_by_key(spark):
