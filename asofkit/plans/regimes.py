@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from asofkit.operators import regimes
 from asofkit.plans.market import r6
 from asofkit.sources import tables as src
+from asofkit.sources.files import work_folder
 from asofkit.sources.tables import daily_bars, table, with_sql
 from asofkit.streaming import jobs
 
@@ -30,9 +31,21 @@ def _features(spark, d):
     return x.dropna(subset=[*X, "trend"])
 
 
+_FITTED: dict[tuple[str, str], str] = {}
+
+
+def _grid(spark, d):
+    """The fitted grid, written once a session as a table of the shared folder, which every query on regimes reads."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _FITTED:
+        path = work_folder(spark, "regime-models")
+        regimes.fit_grid(_features(spark, d), X, key="symbol", order="session").write.parquet(path)
+        _FITTED[at] = path
+    return spark.read.parquet(_FITTED[at])
+
+
 def _walk_input(spark, d):
-    features = _features(spark, d)
-    return regimes.with_models(features, regimes.choose(regimes.fit_grid(features, X, key="symbol", order="session"), "symbol"), "symbol")
+    return regimes.with_models(_features(spark, d), regimes.choose(_grid(spark, d), "symbol"), "symbol")
 
 
 _WS = "PARTITION BY symbol ORDER BY session"
@@ -52,7 +65,7 @@ def win24_regime_features(spark, d):
 @query()
 def ml1_ml2_regime_models(spark, d):
     """All fits of the grid, with the chosen model of each series marked."""
-    grid = regimes.fit_grid(_features(spark, d), X, key="symbol", order="session")
+    grid = _grid(spark, d)
     chosen = regimes.choose(grid, "symbol").select("symbol", "k", F.lit(True).alias("chosen"))
     return grid.join(chosen, ["symbol", "k"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
 
@@ -82,12 +95,33 @@ def win38_state_calibration(spark, d):
 
 @query()
 def win40_refit_drift(spark, d):
-    """A fit of the first half against a fit of everything."""
+    """Fits of the first half against fits of everything, for every number of states."""
     x = _features(spark, d)
     middle = x.groupBy("symbol").agg(F.percentile_approx(F.unix_date("session"), 0.5).alias("middle"))
     half = x.join(middle, "symbol").filter(F.unix_date("session") <= F.col("middle")).drop("middle")
-    fit = lambda df: regimes.fit_grid(df, X, key="symbol", order="session", states=(3,))
-    return regimes.refit_drift(fit(half), fit(x), key="symbol", d=len(X))
+    fit = lambda df: regimes.fit_grid(df, X, key="symbol", order="session")
+    return regimes.refit_drift(fit(half), _grid(spark, d), key="symbol", d=len(X))
+
+
+def _forward(spark, d):
+    features = _features(spark, d)
+    cut = features.withColumn("__p", F.percent_rank().over(W.partitionBy("symbol").orderBy("session"))).filter("__p < 0.8").drop("__p")
+    models = regimes.choose(regimes.fit_grid(cut, X, key="symbol", order="session", tail=0.25), "symbol")
+    track = regimes.regime_track(regimes.with_models(features, models, "symbol"), X, key="symbol", order="session")
+    return regimes.arm_rows(track, regimes.base_odds(features, key="symbol", order="session"), key="symbol", order="session", cost=0.0015)
+
+
+@query()
+def ev20_walk_forward(spark, d):
+    """Four arms over the last fifth of every series, with refits every 30 sessions, and the six gates."""
+    return regimes.arm_metrics(_forward(spark, d), key="symbol", order="session", per_year=252.0, cost=0.0015)
+
+
+@query()
+def ev20_agg27_arms_by_state_and_year(spark, d):
+    """What every arm earned in each state and year."""
+    rows = _forward(spark, d)
+    return rows.groupBy("symbol", "arm", F.year("session").alias("year"), "active").agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("pnl"), F.sum("costs").alias("costs"), F.avg((F.col("position") > 0).cast("double")).alias("in_market"))
 
 
 # --- streams -------------------------------------------------------------------------------------------------------

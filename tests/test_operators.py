@@ -13,7 +13,6 @@ from asofkit.operators import calendar as cal
 from asofkit.operators import rules, vintages
 from asofkit.operators import windows as win
 from asofkit.operators.asof import asof
-from asofkit.plans.regimes import ml1_ml2_regime_models
 from asofkit.sources.tables import daily_bars
 
 
@@ -174,73 +173,6 @@ def test_quarters_from_year_to_date_do_not_bridge_gaps(spark):
     assert got == {3: ("direct", 10.0), 6: ("ytd_diff", 12.0), 12: (None, None)}
 
 
-def test_regime_grid_has_two_to_five_states_and_eight_restarts(spark):
-    import inspect
-
-    from asofkit.operators import regimes
-
-    options = inspect.signature(regimes.fit_grid).parameters
-    assert options["restarts"].default == 8 and options["states"].default == (2, 3, 4, 5)
-    models = ml1_ml2_regime_models(spark, "/root/testdata/sf0.001").collect()
-    assert {r["k"] for r in models} == {2, 3, 4, 5}
-    assert all(abs(sum(r["start"]) - 1) < 1e-6 and r["means"][0] <= r["means"][2] for r in models)
-    assert len({r["symbol"] for r in models if r["chosen"]}) == sum(r["chosen"] for r in models) == 5
-
-
-def test_chain_fit_finds_planted_states():
-    from asofkit.operators import regimes
-
-    rng = np.random.default_rng(1)
-    state = np.repeat([0, 1, 0, 1], 150)
-    x = np.stack((np.where(state == 0, -1.0, 1.0) + rng.normal(0, 0.2, 600), np.where(state == 0, 2.0, 0.5) + rng.normal(0, 0.1, 600)), axis=1)
-    m = regimes.fit_chains(x, 2, 3)
-    assert np.allclose(m["means"], [[-1, 2], [1, 0.5]], atol=0.1) and m["trans"][0, 0] > 0.97
-    probs, ll = regimes.filter_rows(m, x)
-    assert (probs.argmax(axis=1) == state).mean() > 0.99
-    again, ll2 = regimes.filter_rows(m, x[300:], probs[299])
-    assert np.allclose(again, probs[300:]) and abs(regimes.filter_rows(m, x[:300])[1] + ll2 - ll) < 1e-6
-    assert regimes.match_states(m["means"], m["means"][::-1]) == [1, 0]
-
-
-def test_switching_needs_hold_and_cooldown_and_goes_flat():
-    from asofkit.operators import regimes
-
-    s, names = regimes.new_walk(), ("STRESS", "CHOP", "CALM_UP")
-    step = lambda *p, stale=0: regimes.switch(s, np.array(p), np.array(p), names, 4, stale)
-    assert step(0.1, 0.3, 0.6) == 0.0 and s["active"] is None
-    assert step(0.0, 0.2, 0.8) == 1.0 and s["active"] == "CALM_UP"
-    assert [step(0.1, 0.8, 0.1) for _ in range(4)] == [1.0] * 4 and s["active"] == "CALM_UP"  # held, but in the cooldown
-    assert step(0.1, 0.8, 0.1) == 1.0 and s["active"] == "CHOP"
-    assert step(0.45, 0.5, 0.05) == 0.0  # uncertain
-    assert step(0.3, 0.6, 0.1) == 0.5  # early cut
-    assert step(0.0, 1.0, 0.0, stale=3) == 0.0
-    assert step(0.9, 0.1, 0.0) == 0.5 and s["candidate"] == "STRESS"
-    assert step(0.6, 0.3, 0.1) == 0.5 and s["candidate"] is None  # not above the threshold: the count begins anew
-
-
-def test_book_stops_and_waits_and_limits_hold():
-    from asofkit.operators import regimes
-
-    s = regimes.new_walk() | {"active": "CALM_UP"}
-    assert regimes.book(s, 100, 0.02, 1.0, 1.0) == "enter" and s["stop"] == 96.0
-    assert regimes.book(s, 99, 0.02, 1.0, 0.5) == "resize" and s["position"] == 0.5
-    assert regimes.book(s, 95, 0.02, 1.0, 1.0) == "stop" and s["position"] == 0.0
-    assert regimes.book(s, 97, 0.02, 1.0, 1.0) == "hold" and s["position"] == 0.0  # blocked until the trend was off
-    regimes.book(s, 97, 0.02, -1.0, 1.0)
-    assert regimes.book(s, 97, 0.02, 1.0, 1.0) == "enter"
-    r = regimes.new_walk() | {"active": "CALM_UP"}
-    assert regimes.limit(r, "d1", 1.0, 0, 10_000) == (0.75, "cap") and regimes.limit(r, "d1", 0.5, 0, 1e6) == (0.5, "approval")
-    assert regimes.limit(r, "d1", 0.5, 4, 10_000) == (0.0, "stale")
-    r["equity"] = 0.94
-    assert regimes.limit(r, "d1", 0.5, 0, 10_000)[1] == "flat_day"
-    r["equity"] = 1.0
-    assert regimes.limit(r, "d1", 0.5, 0, 10_000)[1] == "flat_day" and regimes.limit(r, "d2", 0.5, 0, 10_000) == (0.5, "ok")
-    r["equity"] = 0.79
-    assert regimes.limit(r, "d3", 0.5, 0, 10_000)[1] == "kill"
-    r["equity"] = 1.0
-    assert regimes.limit(r, "d4", 0.5, 0, 10_000)[1] == "kill"
-
-
 def test_streamed_walk_equals_the_batch_walk(spark):
     from asofkit.plans.regimes import str5_str8_streamed_walk, str5_str8_walk
 
