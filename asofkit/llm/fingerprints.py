@@ -14,8 +14,9 @@ The fingerprint is the smallest sketch (18 cells and the number of pieces) in he
 by itself (``likeness_of_fingerprints``); ``near_*`` go on with larger sketches of the texts where it gets stuck, and agree
 with it where it does not. All texts of a slice are sketched, subtracted and peeled together in numpy.
 
-To meet the next document, texts are dealt into ranges of ids of bounded bytes by cut points from a sample of the ids; the
-first text of each range is also sent to the range before. Cut points and first ids are a row for each range.
+To meet the next document, texts are dealt into ranges of ids, as many as the cluster has shuffle partitions, whatever the size of the data; the first text of each range is
+also sent to the range before. Spark parts the ids alone first (``repartitionByRange``); cut points and first ids are a row for each range, and nothing that grows with the
+documents reaches the driver or is broadcast. A range is sorted by Spark and read as a stream, some megabytes at a time.
 
 Defined cases: a null text counts as empty; equal texts have equal fingerprints; repeated ids are ordered by text; null
 ids come last in descending order; a single document is its own next one; empty tables give empty results; extra columns
@@ -38,7 +39,6 @@ from asofkit.llm.text_kernel import mix64, scan_words
 CELLS = 16
 HASHES = 3
 PIECE = 12
-PART_BYTES = 8 << 20
 
 
 def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -131,9 +131,10 @@ def fingerprints(parts: tuple[np.ndarray, np.ndarray], rows: int) -> list[str]:
     return s.text(np.bincount(parts[0], minlength=rows))
 
 
-def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], rows: int, cells: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """How many pieces only ``a`` has and only ``b`` has, per row, by subtraction and peeling with growing sketches."""
+def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], rows: int, cells: int = 64) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """How many pieces only ``a`` has and only ``b`` has, per row, by subtraction and peeling with growing sketches; and the pieces: (row, digest, whether ``a`` has it)."""
     only_a, only_b = np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=np.int64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))]
     todo = np.arange(rows)
     while len(todo):
         number = np.full(rows, -1)
@@ -149,17 +150,23 @@ def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarra
                 s = Sketches(len(part), sketch_size(cells))
                 s.add(number[row[on]] - k, digest[on])
                 sides.append(s)
-            row, _, side, whole = sides[0].minus(sides[1]).peel()
-            np.add.at(only_a, part[row[(side > 0) & whole[row]]], 1)
-            np.add.at(only_b, part[row[(side < 0) & whole[row]]], 1)
+            row, digest, side, whole = sides[0].minus(sides[1]).peel()
+            sure = whole[row]
+            np.add.at(only_a, part[row[(side > 0) & sure]], 1)
+            np.add.at(only_b, part[row[(side < 0) & sure]], 1)
+            found.append((part[row[sure]], digest[sure], side[sure] > 0))
             again.append(part[~whole])
         todo = np.concatenate(again)
         cells *= 2
-    return only_a, only_b
+    return only_a, only_b, tuple(np.concatenate(x) for x in zip(*found))
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
-    only_a, only_b = differences(a, b, rows)
+    return _alike(a, differences(a, b, rows), rows)
+
+
+def _alike(a: tuple[np.ndarray, np.ndarray], differing: tuple, rows: int) -> np.ndarray:
+    only_a, only_b, _ = differing
     n_a = np.bincount(a[0], minlength=rows)
     common = n_a - only_a
     every = common + only_a + only_b
@@ -190,21 +197,20 @@ def likeness_of_fingerprints(a: str, b: str) -> float | None:
     return (sizes[0] - only_a) / every if every else 1.0
 
 
-def _cut_points(ids: DataFrame, part_bytes: int) -> list:
-    """Ids that part the texts into ranges of about ``part_bytes``, ascending, from a sample of 16 ids for each range."""
-    n, total = ids.agg(F.count("doc_id"), F.sum("bytes")).first()
-    parts = -(-(total or 0) // part_bytes)
-    if parts < 2 or not n:
-        return []
-    sample = sorted(r["doc_id"] for r in ids.filter("doc_id is not null").sample(min(1.0, 16 * parts / n), seed=7).select("doc_id").collect())
-    return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+def _cut_points(ids: DataFrame, ranges: int) -> list:
+    """The least id of every range but the first, ascending: at most ``ranges`` values."""
+    parted = ids.filter("doc_id is not null").repartitionByRange(ranges, "doc_id").select("doc_id", F.spark_partition_id().alias("p"))
+    least = parted.groupBy("p").agg(F.min("doc_id").alias("least")).collect()
+    return sorted(r["least"] for r in least)[1:]
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = PART_BYTES) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int | None = None) -> DataFrame:
     """``doc_id, text, part, last``: ranges of descending ids; every range also has the first rows of the following one (``last``)."""
+    spark = docs.sparkSession
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = cut(source.select("doc_id", F.octet_length("text").cast("long").alias("bytes")))
-    cuts = _cut_points(ids, part_bytes)
+    ids = cut(source.select("doc_id"))
+    cuts = _cut_points(ids, ranges)
     sent = docs.sparkSession.sparkContext.broadcast(cuts)
 
     @F.pandas_udf("int")
@@ -227,9 +233,12 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = PAR
     return found.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", "c.part", "c.last")
 
 
-def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 2_000_000, part_bytes: int = PART_BYTES) -> DataFrame:
-    """One row per document: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
-    rows = with_next(docs, id_col, text_col, part_bytes)
+def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 2_000_000, ranges: int | None = None, digests: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
+
+    With ``digests`` also ``removed`` and ``added``: the digests of the pieces that only the text and only the edited text have, recovered from the sketches.
+    """
+    rows = with_next(docs, id_col, text_col, ranges)
     kind = docs.schema[id_col].dataType.simpleString()
     ordered = rows.repartition(F.col("part")).sortWithinPartitions("part", "last", F.col("doc_id").desc_nulls_last(), "text")
 
@@ -239,11 +248,21 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         n = len(ids)
         edited = [edited_text(t, f) for t, f in zip(texts, following)]
         own, changed, after = (pieces(pa.array(x, pa.large_string())) for x in (texts, edited, following))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, id_type), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
-             pa.array(fingerprints(own, n)), pa.array(fingerprints(changed, n)), pa.array(likeness(own, changed, n)), pa.array(likeness(own, after, n))],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
+        differing = differences(own, changed, n)
+        columns = [
+            pa.array(ids, id_type), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
+            pa.array(fingerprints(own, n)), pa.array(fingerprints(changed, n)), pa.array(_alike(own, differing, n)), pa.array(likeness(own, after, n)),
+        ]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        if digests:
+            row, digest, here = differing[2]
+            order = np.lexsort((digest.astype(np.int64), row))
+            row, digest, here = row[order], digest[order].astype(np.int64), here[order]
+            for name, side in (("removed", here), ("added", ~here)):
+                edges = np.searchsorted(row[side], np.arange(n + 1))
+                columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(digest[side], pa.int64())))
+                names.append(name)
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def compare(batches):
         nonlocal id_type
@@ -266,5 +285,5 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if ids:
             yield work(ids, texts, following)
 
-    out = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    out = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double" + (", removed array<bigint>, added array<bigint>" if digests else "")
     return ordered.select("doc_id", "text", "part", "last").mapInArrow(compare, out)

@@ -24,15 +24,15 @@ def plain_likeness(a, b):
     return sum((x & y).values()) / every if every else 1.0
 
 
-@pytest.mark.parametrize("kind, part_bytes", [("bigint", 1 << 23), ("bigint", 900), ("string", 900)])
-def test_near_next_and_near_edited_equal_a_plain_count(spark, kind, part_bytes):
+@pytest.mark.parametrize("kind, ranges", [("bigint", 1), ("bigint", 40), ("string", 40), ("string", None)])
+def test_near_next_and_near_edited_equal_a_plain_count(spark, kind, ranges):
     texts = [words(60, k // 2) + ("\n" + words(40, k)) for k in range(60)] + ["", None, "one", words(4000, 9)]
     ids = list(range(len(texts))) + [None, 7, 7]
     texts += [words(30, 5), words(31, 6), words(32, 6)]
     key = lambda i: None if i is None else f"d{i:03d}" if kind == "string" else i
     rows = [(key(i), t, 1) for i, t in zip(ids, texts)]
     docs = spark.createDataFrame(rows, f"doc_id {kind}, text string, part int").repartition(3)
-    got = sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fp.compare_with_next(docs, part_bytes=part_bytes).collect()), key=repr)
+    got = sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fp.compare_with_next(docs, ranges=ranges).collect()), key=repr)
     plain = [(i, t or "") for i, t, _ in rows]
     ordered = sorted((x for x in plain if x[0] is not None), key=lambda x: x[1])
     ordered = sorted(ordered, key=lambda x: x[0], reverse=True) + [x for x in plain if x[0] is None]
@@ -44,6 +44,17 @@ def test_near_next_and_near_edited_equal_a_plain_count(spark, kind, part_bytes):
     assert got == sorted(want, key=repr)
 
 
+def test_the_digests_that_differ_are_recovered(spark):
+    texts = [words(900, k) + "\n" + words(50, k + 100) for k in range(6)] + ["", None, words(30, 3)]
+    docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id bigint, text string, removed int").repartition(2)
+    got = {r["doc_id"]: r for r in fp.compare_with_next(docs, ranges=4, digests=True).collect()}
+    for k, t in enumerate(texts):
+        t, following = t or "", (texts[k - 1] if k else texts[-1]) or ""
+        a, b = (Counter(np.array(list(pieces_of(x)), np.uint64).astype(np.int64).tolist()) for x in (t, fp.edited_text(t, following)))
+        assert (sorted(got[k]["removed"]), sorted(got[k]["added"])) == (sorted((a - b).elements()), sorted((b - a).elements()))
+    assert any(len(r["removed"]) > 20 for r in got.values())
+
+
 def test_fingerprints_alone_tell_the_likeness_of_close_texts():
     base = words(300, 1)
     for other in (base, base + " and more", base.replace("w3 ", "x "), words(300, 2), ""):
