@@ -18,7 +18,6 @@ count; repeated documents are separate rows; empty tables give empty results. Ex
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -229,7 +228,3 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -66,11 +66,21 @@ def _without_hidden(page: str) -> str:
     return "".join(out) + head[at:] + tail
 
 
+def one_line(value: str) -> str:
+    """A value as one header line: every run of white space and control characters is a space."""
+    return _CONTROL.sub(" ", value).strip()
+
+
+def uri(value: str | None) -> str | None:
+    """A URI as one header value: white space and control characters are percent-encoded."""
+    return None if value is None else _CONTROL.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value.strip())
+
+
 def page_title(page: str) -> str:
     head, _ = _tagged(page)
     opened = _TITLE.search(head)
     closed = opened and _CLOSER["title"].search(head, opened.end())
-    return _SPACE.sub(" ", html.unescape(head[opened.end() : closed.start()])).strip() if closed else ""
+    return one_line(html.unescape(head[opened.end() : closed.start()])) if closed else ""
 
 
 def count_links(page: str) -> int:
@@ -84,7 +94,7 @@ def record_bytes(r: dict) -> bytes:
         ("WARC-Refers-To-Target-URI", r["refers_to_target"]), ("WARC-Refers-To-Date", r["refers_to_date"]), ("WARC-Block-Digest", r["block_digest"]), ("WARC-Payload-Digest", r["payload_digest"]),
         ("Content-Type", r["content_type"]), ("Content-Length", str(r["content_length"])),
     ]
-    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named if v is not None)
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {one_line(v)}\r\n" for k, v in named if v is not None)
     return head.encode() + b"\r\n" + r["content"].encode() + b"\r\n\r\n"
 
 
@@ -117,7 +127,8 @@ def derive(response: str | None, target: str | None, date: str | None, headers:
     status, fields = header_fields(headers)
     text = visible_text(payload)
     facts = [("status", status or ""), ("title", page_title(payload)), ("outlinks", str(count_links(payload))), ("payload-length", str(len(payload.encode()))), ("payload-digest", digest)]
-    facts += [(f"http-{k.lower()}", v) for k, v in fields]
+    facts += [(f"http-{re.sub(r'[^!-9;-~]', '-', k.lower())}", v) for k, v in fields]
+    facts, target = [(k, one_line(v)) for k, v in facts], uri(target)
     meta = "".join(f"{k}: {v}\r\n" for k, v in facts)
     meta_id, text_id = record_id("metadata", response, digest), record_id("conversion", response, digest)
     out = []

@@ -109,3 +109,13 @@ def test_token_counts_equal_direct_encoding(spark):
         assert Counter((r["doc_id"], r["n_tokens"]) for r in document_token_counts(docs, block_tokens=block).collect()) == want
     assert document_token_counts(spark.createDataFrame([], SCHEMA)).count() == 0
     assert np.uint16(50256) == 50256
+
+
+def test_nothing_in_a_page_forges_a_header_line():
+    page = "<title>Line one\nx-evil: two\r\nWARC-Type: warcinfo\u2028end</title>body"
+    made = warc.derive("<urn:uuid:1>", "http://a.b/c\r\nWARC-Type: forged\r\n d", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nX-A: v\x0bw\x00z\r\n", page)
+    for r in made:
+        head = r["record"].split(b"\r\n\r\n")[0].decode().split("\r\n")
+        assert len([x for x in head if x.startswith("WARC-Type")]) == 1 and r["target_uri"] == "http://a.b/c%0D%0AWARC-Type:%20forged%0D%0A%20d"
+    fields = dict(x.split(": ", 1) for x in made[0]["content"].split("\r\n") if x)
+    assert fields["title"] == "Line one x-evil: two WARC-Type: warcinfo end" and fields["http-x-a"] == "v w z" and "x-evil" not in fields
