@@ -34,6 +34,8 @@ _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>", re.I)
 _LINK = re.compile(r"\bhref\s*=", re.I)
 _SPACE = re.compile(r"[ \t\r\f\v ]+")
+#: What would end a header line or is no text: control characters and the line separators of Unicode.
+_CONTROL = re.compile(r"[\x00-\x20\x7F\x85\u2028\u2029]+")
 
 
 def sha1_base32(data: bytes) -> str:
