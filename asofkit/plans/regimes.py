@@ -161,6 +161,15 @@ def str4_prints_before_decisions(spark, d):
     return jobs.finish(met.select("purchase_id", "print_id"), "met")
 
 
+@query("""SELECT event_id AS decision, print FROM (SELECT a.event_id, a.ts, max_by(b.event_id, (b.ts, b.event_id)) AS print FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type <> 'purchase' AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 900 SECOND
+WHERE a.event_type = 'purchase' GROUP BY 1, 2) WHERE epoch_us(ts) < (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000""")
+def str4_join5_latest_print(spark, d):
+    """A stream with state: each purchase with the latest other event of its user in the 15 minutes before, given out when the watermark has passed it."""
+    e = _events(spark, d).select("event_id", "user_id", "ts", (F.col("event_type") == "purchase").alias("decides"))
+    stream = jobs.replay(e, "ts", "events")
+    return jobs.finish(jobs.latest_before(stream, key="user_id", ts="ts", row_id="event_id", decides="decides", seconds=900, late="10 minutes"), "latest").select("decision", "print")
+
+
 @query(with_sql("flow") + """SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT CASE WHEN epoch(ingested_at) - epoch(date_trunc('second', event_time)) > 420 THEN 'late capture' WHEN epoch(ingested_at) - epoch(available_at) > 60 THEN 'stale' END AS reason FROM flow) GROUP BY 1""")
 def str9_capture_ledger(spark, d):
     """Limits of 420 and 60 seconds, as the records of the table come within minutes."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 
 import pandas as pd
@@ -54,6 +55,47 @@ def prints_before(decisions: DataFrame, prints: DataFrame, *, key: str, at: str,
     return d.join(p, on).select("d.*", F.col(f"p.{ts}").alias(ts), *[F.col(f"p.{c}").alias(c) for c in prints.columns if c not in (key, ts)])
 
 
+def latest_before(rows: DataFrame, *, key: str, ts: str, row_id: str, decides: str, seconds: int, late: str) -> DataFrame:
+    """One stream of decisions and prints (``decides`` tells which): each decision with its *latest* print of the last ``seconds``, or NULL; ``key, decision, at, print, printed``.
+
+    The state of a key holds its open decisions and the prints that one of them, or one still to come, may need. A decision is given out once, when the
+    watermark has passed it, so prints that come late, but before it is given out, still count; an event-time timer wakes a key that gets no more rows. Of prints of one
+    time the one with the greater id counts.
+    """
+    kinds = dict(rows.dtypes)
+    names = [key, "decision", "at", "print", "printed"]
+
+    def each(at, frames, state):
+        open_, prints = json.loads(state.get[0]) if state.exists else ([], [])
+        for pdf in frames:
+            moments = pdf[ts].astype("datetime64[us]").astype("int64")
+            for moment, own, asks in zip(moments.tolist(), pdf[row_id].tolist(), pdf[decides].tolist()):
+                (open_ if asks else prints).append([moment, own])
+        mark = state.getCurrentWatermarkMs() * 1000
+        prints.sort()
+        times = [p[0] for p in prints]
+        done = []
+        for moment, own in sorted(d for d in open_ if d[0] < mark):
+            k = bisect.bisect_right(times, moment) - 1
+            hit = prints[k] if k >= 0 and times[k] >= moment - seconds * 1_000_000 else [None, None]
+            done.append((at[0], own, moment, hit[1], hit[0]))
+        open_ = [d for d in open_ if d[0] >= mark]
+        needed = min([mark, *(d[0] for d in open_)]) - seconds * 1_000_000
+        prints = prints[bisect.bisect_left(times, needed) :]
+        if open_ or prints:
+            state.update((json.dumps((open_, prints)),))
+            wake = min(d[0] for d in open_) // 1000 if open_ else prints[-1][0] // 1000 + seconds * 1000
+            state.setTimeoutTimestamp(max(wake, mark // 1000) + 1)
+        elif state.exists:
+            state.remove()
+        out = pd.DataFrame(done, columns=names).astype({"print": "Int64", "printed": "Int64"})
+        yield out.assign(at=pd.to_datetime(out["at"], unit="us"), printed=pd.to_datetime(out["printed"].astype("float64"), unit="us") if not len(out) else pd.Series([pd.NaT if v is None else pd.Timestamp(v, unit="us") for v in (d[4] for d in done)], dtype="datetime64[us]"))
+
+    marked = rows.withWatermark(ts, late)
+    schema = f"{key} {kinds[key]}, decision bigint, at timestamp, print bigint, printed timestamp"
+    return marked.groupBy(key).applyInPandasWithState(each, schema, "held string", "append", "EventTimeTimeout")
+
+
 def walk_stream(features: DataFrame, x: list[str], *, key: str, order: str, cooldown: int = 3, capital: float = 10_000.0) -> DataFrame:
     """``regimes.walk_history`` over a stream: the walk of a key goes on from the state that was kept after its last row."""
     kinds = dict(features.dtypes)
