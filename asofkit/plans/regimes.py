@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from asofkit.operators import regimes
+from asofkit.operators import channels, regimes
 from asofkit.plans.market import r6
 from asofkit.sources import tables as src
 from asofkit.sources.files import work_folder
@@ -62,6 +62,13 @@ def win24_regime_features(spark, d):
     return x.select("symbol", "session", *[r6(c).alias(c) for c in ("ret", "rvol", "span", "volume_ratio", "trend")])
 
 
+@query()
+def win22_channels(spark, d):
+    """Bars, slope, fit, deviation and breakouts of the pivot-anchored channel of every series."""
+    x = channels.channels(daily_bars(spark, d))
+    return x.select("symbol", "session", F.col("chan_bars").cast("int").alias("chan_bars"), *[r6(c).alias(c) for c in ("chan_slope", "chan_r", "chan_z")], F.col("chan_breakout").cast("int").alias("chan_breakout"))
+
+
 @query()
 def ml1_ml2_regime_models(spark, d):
     """All fits of the grid, with the chosen model of each series marked."""
