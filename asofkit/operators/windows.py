@@ -77,11 +77,16 @@ def signed_streak(df: DataFrame, x: str, w: WindowSpec, keys: tuple[str, ...], n
     return df.withColumn(name, (F.coalesce("__s", F.lit(0.0)) * F.least(F.row_number().over(order), F.lit(most))).cast("int")).drop("__s", "__new", "__run")
 
 
-def cross_rank(x: str, by: str = "session", tie: str = "symbol") -> Column:
-    """Rank within a cross-section from 0 to 1; 0.5 for a cross-section of one. NULL values have no rank."""
-    known = W.partitionBy(by, F.col(x).isNull())
-    place, n = F.row_number().over(known.orderBy(x, tie)), F.count(F.lit(1)).over(known)
-    return F.when(F.col(x).isNotNull(), F.when(n < 2, 0.5).otherwise((place - 1) / (n - 1)))
+def cross_ranks(df: DataFrame, columns: list[str], by: str = "session", tie: str = "symbol") -> DataFrame:
+    """``tie, by`` and ``rank_<column>`` of every column: the rank within a cross-section from 0 to 1; 0.5 for a cross-section of one, NULL for a NULL value.
+
+    One sort does for all columns: they are ranked as rows and put side by side again.
+    """
+    long = df.select(tie, by, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select(tie, by, "e.*")
+    known = W.partitionBy(by, "feature", F.col("x").isNull())
+    place, n = F.row_number().over(known.orderBy("x", tie)), F.count(F.lit(1)).over(known)
+    ranked = long.withColumn("rank", F.when(F.col("x").isNotNull(), F.when(n < 2, 0.5).otherwise((place - 1) / (n - 1))))
+    return ranked.groupBy(tie, by).agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(f"rank_{c}") for c in columns])
 
 
 def bollinger(close: str, n: int, width: float, w: WindowSpec) -> tuple[Column, Column]:

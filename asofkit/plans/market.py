@@ -263,7 +263,7 @@ def win12_cross_rank(spark, d):
         "volume_ratio": F.avg("volume").over(w.rowsBetween(-4, 0)) / F.avg("volume").over(f), "from_high": win.full(F.col("close") / F.max("close").over(f) - 1, "close", f, 20),
     }
     b = b.select("symbol", "session", *[r6(c).alias(name) for name, c in features.items()])
-    return b.select("symbol", "session", *[r6(win.cross_rank(c)).alias(f"rank_{c}") for c in _RANKED])
+    return win.cross_ranks(b, list(_RANKED)).select("symbol", "session", *[r6(f"rank_{c}").alias(f"rank_{c}") for c in _RANKED])
 
 
 @query(with_sql("daily") + f"SELECT symbol, session, round(lead(close) OVER w / lead(open) OVER w - 1, 6) AS next_open_to_close, round(lead(close) OVER w / close - 1, 6) AS next_close_to_close FROM daily WINDOW w AS ({WS})")
