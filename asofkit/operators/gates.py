@@ -15,12 +15,12 @@ def without_best(x: str) -> Column:
 
 
 def stage_gates(
-    outcomes: DataFrame, keys: list[str], order: str, base: str, elevated: str, position: str, *, min_periods: int, min_share: float, block: int = 4, resamples: int = 2000, seed: str = "stage", alpha: float = 0.05
+    outcomes: DataFrame, keys: list[str], order: str, base: str, elevated: str, position: str, *, min_periods: int, min_share: float, block: int = 4, resamples: int = 2000, seed: str = "stage", alpha: float = 0.05, traded: bool = True
 ) -> DataFrame:
     """One row per key: the gate values and PASSED, FAILED or UNTESTABLE.
 
     Too few periods, or too few periods in the rarer of long and not long, make a stage UNTESTABLE, never FAILED. Halves
-    are split at n div 2, the lower bound resamples blocks of consecutive periods.
+    are split at n div 2, the lower bound resamples blocks of consecutive periods. What is not ``traded`` has no cost, so its mean at double cost is NULL and no gate.
     """
     w = W.partitionBy(*keys)
     rows = outcomes.withColumn("__r", F.row_number().over(w.orderBy(order))).withColumn("__half", F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) / 2)))
@@ -31,8 +31,10 @@ def stage_gates(
     )
     bound = cluster_bootstrap(block_ids(outcomes, keys, order, block), keys, "block", base, resamples=resamples, seed=seed, alpha=alpha)
     out = stats.join(bound, keys)
+    if not traded:
+        out = out.withColumn("elevated_mean", F.lit(None).cast("double"))
     positive = F.lit(True)
-    for c in ("mean", "elevated_mean", "without_best", "first_half", "second_half", "lower_bound"):
+    for c in ("mean", *(["elevated_mean"] if traded else []), "without_best", "first_half", "second_half", "lower_bound"):
         positive = positive & F.coalesce(F.col(c) > 0, F.lit(False))
     testable = (F.col("periods") >= min_periods) & (F.least("long_share", 1 - F.col("long_share")) >= min_share)
     return out.withColumn("verdict", F.when(~testable, "UNTESTABLE").when(positive, "PASSED").otherwise("FAILED"))
