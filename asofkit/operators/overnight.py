@@ -108,7 +108,7 @@ def trades(days: DataFrame, candidates: Sequence[Candidate], exits: Sequence[str
 
     def row(c: Candidate) -> Column:
         entry = price_at(c.entry)
-        legs = structures.vertical(c.helper, entry, F.lit(c.width), F.lit(c.offset), structures.INDEX_STEP)
+        legs = structures.index_vertical(c.helper, entry, F.lit(c.width), F.lit(c.offset))
         return F.struct(F.lit(c.label).alias("label"), F.coalesce(c.signal(View(c.entry)), F.lit(False)).alias("selected"), F.lit(c.width).cast("double").alias("width"), entry.alias("entry"), legs.alias("legs"), sigma2(c.entry).alias("entry_var"))
 
     x = days.withColumn("c", F.explode(F.array(*[row(c) for c in candidates]))).withColumn("exit", F.explode(F.array(*[F.lit(e) for e in exits])))
