@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from asofkit.operators import fundamentals, vintages
-from asofkit.plans import campaigns
+from asofkit.operators import fundamentals, universe, vintages
+from asofkit.plans import campaigns, market
 from asofkit.plans.campaigns import _FACTS, _PRIOR, _facts
+from asofkit.plans.market import RET, WS
 from asofkit.sources import files
+from asofkit.sources.tables import daily_bars, table, with_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -86,3 +88,65 @@ def ev15_agg22_coverage(spark, d):
     """What a store built at once holds of each company, with flagged vintages and methods."""
     path = _store(spark, d, ())
     return fundamentals.coverage(fundamentals.stored(spark, path, "vintages")).withColumn("methods", F.array_join("methods", ";"))
+
+
+# --- the daily universe ----------------------------------------------------------------------------------------------
+
+BENCHMARK = "1-URGENT"
+#: The features in SQL, over windows named by their length.
+_OWN = {
+    **{f"ret_{k}d": f"close / lag(close, {k}) OVER w - 1" for k in (1, 5, 10, 20, 60)}, "gap_open": "open / lag(close) OVER w - 1", "oc_ret": "close / open - 1",
+    "range_pos": "coalesce((close - low) / nullif(high - low, 0), 0.5)", "k_body": "coalesce((close - open) / nullif(high - low, 0), 0)",
+    "k_upper": "coalesce((high - greatest(open, close)) / nullif(high - low, 0), 0)", "k_lower": "coalesce((least(open, close) - low) / nullif(high - low, 0), 0)",
+    **{f"rv_{n}d": f"stddev_samp(ret) OVER f{n}" for n in (5, 20, 60)}, "rv_ratio_5_20": "coalesce(stddev_samp(ret) OVER f5 / nullif(stddev_samp(ret) OVER f20, 0), 1)",
+    **{f"dist_ma_{n}": f"close / avg(close) OVER f{n} - 1" for n in (5, 20, 60)}, "ma_5_20_spread": "avg(close) OVER f5 / avg(close) OVER f20 - 1",
+    "dist_high_20": "close / max(close) OVER f20 - 1", "dist_low_20": "close / min(close) OVER f20 - 1", "rsv_20": "coalesce((close - min(low) OVER f20) / nullif(max(high) OVER f20 - min(low) OVER f20, 0), 0.5)",
+    "high_recency_20": "(list_position(list(high) OVER f20, max(high) OVER f20) - 1) / 19.0", "low_recency_20": "(list_position(list(low) OVER f20, min(low) OVER f20) - 1) / 19.0",
+    **{f"trend_slope_{n}": f"regr_slope(close, rn) OVER f{n} / avg(close) OVER f{n}" for n in (20, 60)}, **{f"trend_r2_{n}": f"regr_r2(close, rn) OVER f{n}" for n in (20, 60)},
+    "bb_pctb": "coalesce((close - avg(close) OVER f20 + 2 * stddev_pop(close) OVER f20) / nullif(4 * stddev_pop(close) OVER f20, 0), 0.5)", "bb_bandwidth": "4 * stddev_pop(close) OVER f20 / avg(close) OVER f20",
+    "up_frac_20": "avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) OVER f20", "gain_share_20": "coalesce(sum(greatest(ret, 0)) OVER f20 / nullif(sum(abs(ret)) OVER f20, 0), 0.5)",
+    "vol_ratio_5_20": "avg(volume) OVER f5 / avg(volume) OVER f20", "vol_cv_20": "stddev_samp(volume) OVER f20 / avg(volume) OVER f20",
+    "corr_ret_vol_20": "coalesce(covar_pop(ret, volume) OVER f19 / nullif(stddev_pop(ret) OVER f19 * stddev_pop(volume) OVER f19, 0), 0)", "day_of_week": "isodow(session) - 1.0",
+    "next_open_to_close": "lead(close) OVER w / lead(open) OVER w - 1", "next_close_to_close": "lead(close) OVER w / close - 1",
+}
+_FRAMES = ", ".join([f"w AS ({WS})", *[f"f{n} AS ({WS} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 19, 20, 60)]])
+_SNAPSHOT = (
+    with_sql("daily") + f""", {RET}, ev AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice > 480000),
+u_own AS (SELECT symbol, session, rn, lead(session) OVER w AS next_session, {', '.join(f'round({e}, 6) AS {c}' for c, e in _OWN.items())} FROM r WINDOW {_FRAMES}),
+u_rows AS (SELECT o.* EXCLUDE (rn, next_session), s.streak::DOUBLE AS streak, coalesce(k.skew_20, 0) AS ret_skew_20, CASE WHEN session IN (SELECT day FROM ev) THEN 1.0 ELSE 0.0 END AS event_today, CASE WHEN next_session IN (SELECT day FROM ev) THEN 1.0 ELSE 0.0 END AS event_next_session
+  FROM u_own AS o JOIN ({market.ORACLES['win11_signed_streak']}) AS s USING (symbol, session) JOIN ({market.ORACLES['win9_skewness']}) AS k USING (symbol, session) WHERE rn > 61 AND next_session IS NOT NULL)
+"""
+)
+_XS = ", ".join(f"CASE WHEN count(*) OVER s < 2 THEN 0.5 ELSE round((row_number() OVER (PARTITION BY session ORDER BY {c}, symbol) - 1.0) / (count(*) OVER s - 1), 6) END AS xs_rank_{c}" for c in universe.RANKED)
+
+
+def _event_days(spark, d):
+    return table(spark, d, "orders").filter("o_totalprice > 480000").select(F.to_date("o_orderdate").alias("day"))
+
+
+@query(_SNAPSHOT + f"SELECT *, {_XS}, {', '.join(f'round({c} - max(CASE WHEN symbol = {BENCHMARK!r} THEN {c} END) OVER s, 6) AS {c}_rel' for c in universe.PAYOFFS)} FROM u_rows WINDOW s AS (PARTITION BY session)")
+def ev17_universe_snapshot(spark, d):
+    """All columns of the snapshot but the recursions, which SQL cannot express and ``ev17_universe_recursions`` gives. Features are rounded before they are ranked."""
+    x = universe.daily_snapshot(daily_bars(spark, d), _event_days(spark, d), benchmark=BENCHMARK, decimals=6)
+    return x.drop(*universe.RECURSIVE)
+
+
+def ev17_universe_recursions(spark, d):
+    x = universe.daily_snapshot(daily_bars(spark, d), _event_days(spark, d), benchmark=BENCHMARK)
+    return x.select("session", "symbol", *universe.RECURSIVE)
+
+
+QUERIES["ev17_universe_recursions"] = ev17_universe_recursions
+
+
+@query(_SNAPSHOT + f""", u_days AS (SELECT session, row_number() OVER (ORDER BY session) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT session FROM u_rows)),
+u_cut AS (SELECT *, CASE WHEN i <= floor(n * 0.6) THEN 'discovery' WHEN i <= floor(n * 0.8) THEN 'validation' ELSE 'holdout' END AS stage FROM u_days)
+SELECT stage, min(session) AS stage_first, max(session) AS stage_last, count(*) AS sessions, t.* FROM u_cut, (SELECT count(*) AS rows, min(session) AS first, max(session) AS last, count(*) FILTER (symbol = '{BENCHMARK}') AS benchmark_sessions FROM u_rows) AS t GROUP BY ALL""")
+def ev17_prepared_universe(spark, d):
+    """The written snapshot: its manifest next to each suggested stage, after a check of the content against the digest."""
+    path = files.work_folder(spark, "universe")
+    bars = daily_bars(spark, d)
+    about = universe.prepare_universe(bars, _event_days(spark, d), path, [r["symbol"] for r in bars.select("symbol").distinct().collect()], benchmark=BENCHMARK)  # five order priorities
+    files.verify(spark, path)
+    splits = spark.read.parquet(f"{path}/splits").withColumnsRenamed({"first": "stage_first", "last": "stage_last"})
+    return splits.join(about.select("rows", "first", "last", "benchmark_sessions"), how="inner", on=F.lit(True))  # one row
