@@ -1,15 +1,15 @@
-"""Queries on snapshots that a user starts from: the store of filed facts, and the daily universe with its features."""
+"""Queries on snapshots that a user starts from: the store of filed facts, the daily universe, sessions at a fixed minute, and adjusted prices."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from asofkit.operators import fundamentals, universe, vintages
+from asofkit.operators import fundamentals, intraday, prices, tape, universe, vintages
 from asofkit.plans import campaigns, market
 from asofkit.plans.campaigns import _FACTS, _PRIOR, _facts
 from asofkit.plans.market import RET, WS
 from asofkit.sources import files
-from asofkit.sources.tables import daily_bars, table, with_sql
+from asofkit.sources.tables import daily_bars, intraday_bars, table, with_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -150,3 +150,60 @@ def ev17_prepared_universe(spark, d):
     files.verify(spark, path)
     splits = spark.read.parquet(f"{path}/splits").withColumnsRenamed({"first": "stage_first", "last": "stage_last"})
     return splits.join(about.select("rows", "first", "last", "benchmark_sessions"), how="inner", on=F.lit(True))  # one row
+
+
+# --- sessions at a fixed minute --------------------------------------------------------------------------------------
+
+_CLOCK = {"session_open": 0, "opening_end": 480, "first_end": 480, "session_close": 1440, "step": 240}
+_LONG = with_sql("hourly").replace("CAST(hour(ts) * 60 AS INTEGER)", "CAST(hour(ts) // 4 * 240 AS INTEGER)")
+
+
+@query(_LONG + f""", i_s AS (SELECT symbol, session, min(minute) AS a, max(minute) AS z, arg_min(open, minute) AS open, arg_max(close, minute) AS close, max(open) FILTER (minute = 720) AS price, max(high) FILTER (minute < 480) AS hi, min(low) FILTER (minute < 480) AS lo,
+  arg_max(close, minute) FILTER (minute < 480) AS oc, sum(close * volume) FILTER (minute < 720) / sum(volume) FILTER (minute < 720) AS vwap, coalesce(sum(volume) FILTER (minute < 480), 0) AS fv FROM hourly GROUP BY 1, 2),
+i_n AS (SELECT *, row_number() OVER ({WS}) AS no, close / lag(close) OVER ({WS}) - 1 AS ret FROM i_s),
+i_x AS (SELECT session, symbol, no, a, z, price, lead(close) OVER w AS after, isodow(session) - 1.0 AS day_of_week, price / open - 1 AS session_ret_so_far, price / vwap - 1 AS vwap_dist, oc / open - 1 AS or_ret,
+  CASE WHEN hi > lo THEN least(1.0, greatest(0.0, (price - lo) / (hi - lo))) ELSE 0.5 END AS or_break, lag(close) OVER w / lag(close, 2) OVER w - 1 AS prior_ret_1d, lag(close) OVER w / lag(close, 6) OVER w - 1 AS prior_ret_5d, open / lag(close) OVER w - 1 AS gap_open,
+  stddev_samp(ret) OVER ({WS} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS rv_5d, coalesce(fv / nullif(avg(fv) OVER ({WS} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0), 1) AS vol_ratio_open, close / price - 1 AS next_open_to_close, lead(close) OVER w / close - 1 AS next_close_to_close FROM i_n WINDOW w AS ({WS}))
+SELECT session, symbol, {', '.join(f'round({c}, 6) AS {c}' for c in ('day_of_week', 'session_ret_so_far', 'vwap_dist', 'or_ret', 'or_break', 'prior_ret_1d', 'prior_ret_5d', 'gap_open', 'rv_5d', 'vol_ratio_open', 'next_open_to_close', 'next_close_to_close'))} FROM i_x WHERE no > 20 AND a = 0 AND z = 1200 AND price > 0 AND after > 0""")
+def ev18_intraday_snapshot(spark, d):
+    """Bars of four hours, those of even days twice; the decision is at noon."""
+    bars = intraday_bars(spark, d, 240)
+    return intraday.intraday_snapshot(bars.unionByName(bars.filter("day(session) % 2 = 0")), 720, decimals=6, **_CLOCK)
+
+
+# --- adjusted prices -------------------------------------------------------------------------------------------------
+
+_ADJUSTED = with_sql("daily") + """, p_rows AS (SELECT symbol, session, open, high, low, close, CASE WHEN day(session) % 11 = 0 THEN 0 ELSE volume END AS volume, CASE WHEN day(session) % 11 = 0 THEN 0 ELSE volume END AS trade_count, (open + close) / 2 AS vwap,
+  CASE WHEN day(session) % 13 <> 0 THEN close * CASE WHEN year(session) < 1998 THEN 2 ELSE 1 END END AS raw_close FROM daily)
+"""
+
+
+def _prices(spark, d):
+    bars = daily_bars(spark, d)
+    volume = F.when(F.dayofmonth("session") % 11 == 0, 0).otherwise(F.col("volume"))
+    adjusted = bars.withColumns({"vwap": (F.col("open") + F.col("close")) / 2, "volume": volume, "trade_count": volume})
+    raw = bars.filter("day(session) % 13 <> 0").withColumn("close", F.col("close") * F.when(F.year("session") < 1998, 2).otherwise(1))
+    return prices.adjusted_prices(adjusted, raw)
+
+
+@query(_ADJUSTED + "SELECT symbol, session, open, high, low, close, volume, round(vwap, 4) AS vwap, trade_count, raw_close, round(raw_close / close, 6) AS adj_factor FROM p_rows WHERE volume > 0")
+def ev16_adjusted_prices(spark, d):
+    """Prices split two to one in 1998 whose raw close is missing on some days, without placeholders."""
+    return _prices(spark, d).filter("not untraded").drop("untraded").withColumns({"vwap": F.round("vwap", 4), "adj_factor": F.round("adj_factor", 6)})
+
+
+@query(_ADJUSTED + """, p_x AS (SELECT *, raw_close / close AS f, lag(close) OVER w AS pc, lag(raw_close) OVER w AS pr, lag(raw_close / close) OVER w AS pf FROM p_rows WHERE volume > 0 WINDOW w AS (PARTITION BY symbol ORDER BY session)),
+p_cal AS (SELECT day FROM (SELECT CAST(unnest(generate_series(CAST(min(session) AS TIMESTAMP), CAST(max(session) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM daily) WHERE isodow(day) < 6),
+p_s AS (SELECT symbol, count(*) AS sessions, min(session) AS first_session, max(session) AS last_session, count(*) FILTER (raw_close IS NULL) AS rows_without_raw_close, coalesce(string_agg(CAST(session AS VARCHAR), ';' ORDER BY session) FILTER (isodow(session) > 5), '') AS bars_on_non_sessions,
+  coalesce(string_agg(CAST(session AS VARCHAR), ';' ORDER BY session) FILTER (abs(ln(close / pc)) > ln(1.4)), '') AS outliers, coalesce(string_agg(CAST(session AS VARCHAR), ';' ORDER BY session) FILTER (abs(f / pf - 1) > 0.02), '') AS factor_steps FROM p_x GROUP BY 1),
+p_m AS (SELECT s.symbol, string_agg(CAST(day AS VARCHAR), ';' ORDER BY day) AS missing_sessions FROM p_s AS s JOIN p_cal ON day BETWEEN s.first_session AND s.last_session ANTI JOIN p_x AS x ON x.symbol = s.symbol AND x.session = day GROUP BY 1),
+p_u AS (SELECT symbol, count(*) AS untraded, min(session) AS untraded_first, max(session) AS untraded_last FROM p_rows WHERE volume = 0 GROUP BY 1)
+SELECT s.*, coalesce(missing_sessions, '') AS missing_sessions, coalesce(untraded, 0) AS untraded, untraded_first, untraded_last FROM p_s AS s LEFT JOIN p_m USING (symbol) LEFT JOIN p_u USING (symbol)""")
+def ev16_price_audit(spark, d):
+    """The audit of each symbol with its lists of days as text; weekdays are sessions."""
+    calendar = tape.weekday_calendar(table(spark, d, "orders"), F.to_date("o_orderdate"), 7, 14)
+    days = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ";").alias(c)
+    named = lambda c: F.array_join(F.transform(c, lambda x: x["session"].cast("string")), ";").alias(c)
+    return prices.price_audit(_prices(spark, d), calendar).select(
+        "symbol", "sessions", "first_session", "last_session", "rows_without_raw_close", days("bars_on_non_sessions"), named("outliers"), named("factor_steps"), days("missing_sessions"), "untraded", "untraded_first", "untraded_last",
+    )
