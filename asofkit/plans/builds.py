@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from asofkit.operators import fundamentals, intraday, prices, tape, universe, vintages
+from asofkit.operators import fundamentals, intraday, overnight_build, prices, tape, universe, vintages
 from asofkit.plans import campaigns, market
 from asofkit.plans.campaigns import _FACTS, _PRIOR, _facts
 from asofkit.plans.market import RET, WS
@@ -207,3 +207,29 @@ def ev16_price_audit(spark, d):
     return prices.price_audit(_prices(spark, d), calendar).select(
         "symbol", "sessions", "first_session", "last_session", "rows_without_raw_close", days("bars_on_non_sessions"), named("outliers"), named("factor_steps"), days("missing_sessions"), "untraded", "untraded_first", "untraded_last",
     )
+
+
+# --- stitched overnight sessions -------------------------------------------------------------------------------------
+
+_STITCHED = _LONG + """, o_in AS (SELECT symbol AS contract, (minute - 1080 + 1440) % 1440 AS minute, CASE WHEN minute >= 1080 THEN session + 1 ELSE session END AS session, open, high, low, close, volume FROM hourly WHERE minute <> 960 AND isodow(session) < 6 AND NOT (isodow(session) = 5 AND minute >= 1080)),
+o_v AS (SELECT *, sum(volume) OVER (PARTITION BY session, contract) AS traded FROM o_in WHERE minute <= 1080), o_f AS (SELECT *, first_value(contract) OVER (PARTITION BY session ORDER BY traded DESC, contract) AS front FROM o_v),
+o_j AS (SELECT session, minute, open, high, low, close, volume, contract, CASE WHEN min(minute) OVER (PARTITION BY session) > 120 THEN 'evening missing' WHEN max(minute) OVER (PARTITION BY session) < 1080 THEN 'no settlement bar' END AS reason FROM o_f WHERE contract = front)
+"""
+
+
+def _overnight(spark, d):
+    """Bars of four hours, one contract a type of event; the weekend has no bars, so Mondays miss their evening. The settlement is at noon."""
+    bars = intraday_bars(spark, d, 240).filter("weekday(session) < 5 and not (weekday(session) = 4 and minute >= 1080)")
+    ts = F.timestamp_seconds(F.unix_timestamp(F.col("session").cast("timestamp")) + F.col("minute") * 60)
+    told = overnight_build.session_minutes(bars.withColumnRenamed("symbol", "contract").withColumn("ts", ts).drop("session", "minute"), "UTC")
+    return overnight_build.judged_bars(told.unionByName(told.filter("minute = 120")), latest_first=120, settlement=1080)
+
+
+@query(_STITCHED + "SELECT * EXCLUDE (reason) FROM o_j WHERE reason IS NULL")
+def ev19_stitched_bars(spark, d):
+    return _overnight(spark, d).filter("reason is null").drop("reason")
+
+
+@query(_STITCHED + "SELECT session, contract, reason, count(*) AS bars FROM o_j GROUP BY ALL")
+def ev19_session_verdicts(spark, d):
+    return overnight_build.session_verdicts(_overnight(spark, d))
