@@ -22,14 +22,16 @@ def asof(
     """
     side = 0 if strict else 1  # at equal times, right rows come before left rows unless strict
     packed = F.struct(F.col(right_ts).alias("__ts"), *[F.col(v).alias(v) for v in values])
-    r = right.select(*keys, F.col(right_ts).alias("__at"), F.lit(1 - side).alias("__side"), F.struct(*[F.col(t) for t in tie] or [F.lit(0)]).cast("string").alias("__tie") if tie else F.lit("").alias("__tie"), packed.alias("__row"), *[F.lit(None).cast(left.schema[c].dataType).alias(f"__l_{c}") for c in left.columns])
-    l_ = left.select(*keys, F.col(left_ts).alias("__at"), F.lit(side).alias("__side"), F.lit("").alias("__tie"), F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType).alias("__row"), *[F.col(c).alias(f"__l_{c}") for c in left.columns])
+    place = F.struct(*[F.col(t) for t in tie] or [F.lit(0)])  # in its own type, as numbers do not sort as text
+    r = right.select(*keys, F.col(right_ts).alias("__at"), F.lit(1 - side).alias("__side"), place.alias("__tie"), packed.alias("__row"), *[F.lit(None).cast(left.schema[c].dataType).alias(f"__l_{c}") for c in left.columns])
+    l_ = left.select(*keys, F.col(left_ts).alias("__at"), F.lit(side).alias("__side"), F.lit(None).cast(right.select(place.alias("p")).schema["p"].dataType).alias("__tie"), F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType).alias("__row"), *[F.col(c).alias(f"__l_{c}") for c in left.columns])
     both = r.withColumn("__is_left", F.lit(False)).unionByName(l_.withColumn("__is_left", F.lit(True)))
     order = W.partitionBy(*keys).orderBy("__at", "__side", "__tie").rowsBetween(W.unboundedPreceding, 0)
     seen = both.withColumn("__seen", F.last("__row", ignorenulls=True).over(order)).filter("__is_left")
     fresh = F.col("__seen")
     if tolerance_seconds is not None:
-        fresh = F.when(F.unix_timestamp(F.col("__at").cast("timestamp")) - F.unix_timestamp(F.col("__seen.__ts").cast("timestamp")) <= tolerance_seconds, F.col("__seen"))
+        moment = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+        fresh = F.when(moment("__at") - moment("__seen.__ts") <= tolerance_seconds * 1_000_000, F.col("__seen"))
     out = seen.withColumn("__seen", fresh)
     return out.select(*[F.col(f"__l_{c}").alias(c) for c in left.columns], F.col("__seen.__ts").alias(right_ts), *[F.col(f"__seen.{v}").alias(v) for v in values])
 

@@ -144,6 +144,14 @@ def test_asof_is_strict_tolerant_and_ties_by_key(spark):
     assert run(tolerance_seconds=900) == {("a", 10): 1, ("a", 40): None, ("b", 10): None}
 
 
+def test_asof_ties_sort_by_number_and_tolerance_counts_parts_of_a_second(spark):
+    t = lambda s, us=0: dt.datetime(2024, 1, 2, 10, 0, s, us)
+    left = spark.createDataFrame([("a", t(10)), ("b", t(20, 900_000)), ("c", t(20, 100_000))], "k string, at timestamp")
+    right = spark.createDataFrame([("a", t(5), 9), ("a", t(5), 10), ("b", t(10, 100_000), 1), ("c", t(10, 100_000), 2)], "k string, ts timestamp, v int")
+    out = asof(left, right, keys=["k"], left_ts="at", right_ts="ts", values=["v"], tie=["v"], tolerance_seconds=10)
+    assert {r["k"]: r["v"] for r in out.collect()} == {"a": 10, "b": None, "c": 2}
+
+
 def test_features_do_not_see_the_future(spark):
     bars = daily_bars(spark, "/root/testdata/sf0.001")
 
