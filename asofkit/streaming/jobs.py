@@ -13,17 +13,39 @@ from asofkit.operators import regimes
 from asofkit.sources.files import work_folder
 
 
-def replay(table: DataFrame, order: str, name: str, files: int = 4) -> DataFrame:
-    """A stream over a stored table, as files in order of time, read one at a time."""
+def replay(table: DataFrame, order: str, name: str, batches: int = 4, most: int = 250_000) -> DataFrame:
+    """A stream over a stored table, in ``batches`` parts in order of time, read one at a time.
+
+    Every part has the same number of files, of about ``most`` rows, so that a batch of the stream is one part and no task holds a part whole.
+    The bounds of the parts are found once: an approximate percentile may come out differently in every job, and rows between two answers would be lost or doubled.
+    """
     spark = table.sparkSession
     whole, path = work_folder(spark, f"{name}-all"), work_folder(spark, name)
     table.write.parquet(whole)
     table = spark.read.schema(table.schema).parquet(whole)
-    bounds = table.agg(F.percentile_approx(F.unix_timestamp(F.col(order).cast("timestamp")), [k / files for k in range(1, files)]).alias("b"))  # one row
-    part = F.size(F.filter("b", lambda b: b < F.unix_timestamp(F.col(order).cast("timestamp"))))
-    for k in range(files):
-        table.join(bounds).filter(part == k).drop("b").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    moment = F.unix_timestamp(F.col(order).cast("timestamp"))
+    bounds = table.agg(F.percentile_approx(moment, [k / batches for k in range(1, batches)]).alias("b")).first()["b"] or []
+    part = sum((F.coalesce(moment > b, F.lit(False)).cast("int") for b in bounds), F.lit(0))
+    files, held = _files(table.select(part.alias("part"), F.xxhash64(*table.columns).alias("h")), most)
+    for k in range(batches):
+        one = table.filter(part == k)
+        if files == 1:
+            one.coalesce(1).write.mode("append").parquet(path)
+        elif k in held:  # nothing to write would still be one file
+            one.repartitionById(files, F.pmod(F.xxhash64(*table.columns), F.lit(files)).cast("int")).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _files(rows: DataFrame, most: int) -> tuple[int, set[int]]:
+    """(files of a part, parts with rows): so many files that each has about ``most`` rows, and that in every part a row falls to each, as an empty file is not written."""
+    counts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # one row a part
+    files = -(-max(counts.values(), default=0) // most)
+    while files > 1:
+        filled = rows.groupBy("part").agg(F.count_distinct(F.pmod("h", F.lit(files))).alias("n")).collect()
+        if all(r["n"] == files for r in filled):
+            break
+        files //= 2
+    return max(files, 1), set(counts)
 
 
 def finish(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
