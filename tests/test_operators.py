@@ -72,6 +72,15 @@ def test_rules_of_one_meaning_share_a_hash(spark):
     assert [g["duplicate_of"] for g in got] == [None, 0, 0, None, None, 4]
 
 
+def test_equal_documents_are_judged_once_and_point_to_the_first_attempt(spark, monkeypatch):
+    seen, nodes = [], rules.signal_nodes
+    monkeypatch.setattr(rules, "signal_nodes", lambda p: (seen.append(p.count()), nodes(p))[1])
+    got = _judge(spark, [_document(LESS), None, _document(_not(_not(LESS))), "{", _document(MORE)] * 20)
+    assert seen == [5]
+    assert [g["duplicate_of"] for g in got] == [None, None, 0, None, None, *[0, None, 0, None, 4] * 19]
+    assert [g["reason"] for g in got] == [None, "malformed", None, "malformed", None] * 20 and len({g["canonical"] for g in got}) == 3
+
+
 REFUSED = [
     ({"op": "and", "args": [LESS, LESS]}, {}, "repeated condition"), (LESS, {"schema_version": 99}, "unsupported version"), (LESS, {"schema_version": 3.0}, "unsupported version"), (LESS, {"entry_minute": -605}, "entry_minute"),
     (LESS, {"entry_minute": 632}, "entry_minute"), (_not(FEATURE), {}, "feature under not"), (_not(_not(FEATURE)), {}, "feature under not"), (LESS | {"value": True}, {}, "value"),
