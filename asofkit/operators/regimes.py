@@ -1,6 +1,6 @@
 """Regimes of a series: fitted chains, their choice and labels, the forward filter, switching, the position book, risk limits, and the walk forward with refits.
 
-Fits are grouped maps over (series, number of states, restart); the passes of EM run over pieces of the history side by side, not row by row. What follows a fit works on
+Fits are grouped maps over (series, number of states, restart), a task each; the passes of EM run over pieces of the history side by side, not row by row. What follows a fit works on
 blocks of rows: a block goes through filter, switching, book and limits as arrays, and what the next block needs is a handful of values. The batch form has one
 block, the streaming form (``asofkit.streaming.jobs``) one per batch, with the values kept in between, so both give the same rows.
 """
@@ -61,52 +61,53 @@ def _densities(x: np.ndarray, means: np.ndarray, covars: np.ndarray) -> np.ndarr
     return -0.5 * (z**2).sum(axis=-2) - np.log(np.diagonal(root, axis1=-2, axis2=-1)).sum(axis=-1)[..., None] - 0.5 * x.shape[1] * math.log(2 * math.pi)
 
 
-def _carried(first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, float]:
-    """``first @ steps[0] @ ... @ steps[t]`` for every t, each scaled to a sum of 1, and the sum of the logarithms of the scales.
+def _carried(first: np.ndarray, trans: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """``first @ (trans * b[:, 0]) @ ... @ (trans * b[:, t])`` for every t (k, n), each scaled to a sum of 1, and the sum of the logarithms of the scales.
 
     The steps are cut into about as many pieces as a piece is long. All pieces multiply out side by side, which tells what enters each, and then run side by side from there.
+    The pieces lie along the last axis, so a step is one product with ``trans`` and one pass over rows that lie together; no matrix per row is held.
     """
-    n, k = len(steps), len(first)
+    k, n = b.shape
     long = int(math.sqrt(n)) + 1
     pieces = -(-n // long)
-    m = np.concatenate((steps, np.broadcast_to(np.eye(k), (pieces * long - n, k, k)))).reshape(pieces, long, k, k)
-    through = m[:, 0]
-    for j in range(1, long):
-        through = through @ m[:, j]
-        through = through / np.maximum(through.max(axis=(1, 2), keepdims=True), 1e-300)
-    at = np.empty((pieces, k))
-    at[0] = first
+    # the last piece is filled up with rows that are cut off again
+    sides = np.concatenate((b, np.ones((k, pieces * long - n))), axis=1).reshape(k, pieces, long).transpose(2, 0, 1).copy()
+    through = np.repeat(np.eye(k)[:, :, None], pieces, axis=2)  # to, from, piece
+    for step in sides:
+        through = (trans.T @ through.reshape(k, -1)).reshape(k, k, pieces) * step[:, None, :]
+        through /= np.maximum(through.max(axis=0).max(axis=0), 1e-300)
+    at = np.empty((k, pieces))
+    at[:, 0] = first
     for c in range(1, pieces):
-        v = at[c - 1] @ through[c - 1]
-        at[c] = v / max(v.sum(), 1e-300)
-    out, logs = np.empty((pieces, long, k)), 0.0
-    for j in range(long):
-        at = (at[:, None, :] @ m[:, j])[:, 0]
-        total = np.maximum(at.sum(axis=1, keepdims=True), 1e-300)
-        at = out[:, j] = at / total
-        logs += float(np.log(total).sum())
-    return out.reshape(-1, k)[:n], logs
+        v = through[:, :, c - 1] @ at[:, c - 1]
+        at[:, c] = v / max(v.sum(), 1e-300)
+    totals = np.empty((long, pieces))
+    for j, step in enumerate(sides):
+        at = (trans.T @ at) * step
+        totals[j] = np.maximum(at.sum(axis=0), 1e-300)
+        at = sides[j] = at / totals[j]
+    return sides.transpose(1, 2, 0).reshape(k, -1)[:, :n], float(np.log(totals.T.reshape(-1)[:n]).sum())
 
 
 def expectation(m: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(state probabilities of the rows given all rows, expected transitions, log-likelihood)."""
-    log_b = _densities(x, m["means"], m["covars"]).T
-    top = log_b.max(axis=1)
-    b = np.exp(log_b - top[:, None])
-    steps = m["trans"] * b[1:, None, :]  # of row t: from its state before to its own
-    first = m["start"] * b[0]
+    log_b = _densities(x, m["means"], m["covars"])
+    top = log_b.max(axis=0)
+    b, trans = np.exp(log_b - top), m["trans"]
+    first = m["start"] * b[:, 0]
     begin = max(first.sum(), 1e-300)
-    if not len(steps):
-        return (first / begin)[None, :], np.zeros_like(m["trans"]), float(np.log(begin) + top[0])
-    k = len(first)
-    ahead, logs = _carried(first / begin, steps)
-    alpha = np.concatenate(((first / begin)[None, :], ahead))
-    back, _ = _carried(np.full(k, 1 / k), np.swapaxes(steps[::-1], 1, 2))  # from the end
-    beta = np.concatenate((back[::-1], np.full((1, k), 1 / k)))
-    gamma = alpha * beta
-    pairs = alpha[:-1, :, None] * steps * beta[1:, None, :]
-    pairs /= np.maximum(pairs.sum(axis=(1, 2), keepdims=True), 1e-300)
-    return gamma / np.maximum(gamma.sum(axis=1, keepdims=True), 1e-300), pairs.sum(axis=0), float(math.log(begin) + logs + top.sum())
+    if len(x) == 1:
+        return (first / begin)[None, :], np.zeros_like(trans), float(np.log(begin) + top[0])
+    ahead, logs = _carried(first / begin, trans, b[:, 1:])
+    alpha = np.concatenate(((first / begin)[:, None], ahead), axis=1)
+    # from the end: what a row and all after it say of its state
+    last = b[:, -1] / max(b[:, -1].sum(), 1e-300)
+    behind = last[:, None] if len(x) == 2 else np.concatenate((_carried(last, trans.T, b[:, -2:0:-1])[0][:, ::-1], last[:, None]), axis=1)
+    gamma = alpha.copy()
+    gamma[:, :-1] *= trans @ behind
+    total = np.maximum(gamma.sum(axis=0), 1e-300)
+    pairs = trans * ((alpha[:, :-1] / total[:-1]) @ behind.T)
+    return (gamma / total).T, pairs, float(math.log(begin) + logs + top.sum())
 
 
 def cold_start(x: np.ndarray, k: int, seed: int) -> dict:
@@ -129,8 +130,8 @@ def fit_chain(x: np.ndarray, m: dict, steps: int = EM_STEPS, tolerance: float =
             break
         before, weight = likelihood, gamma.sum(axis=0) + 1e-12
         means = gamma.T @ x / weight[:, None]
-        off = x[:, None, :] - means
-        covars = np.einsum("tk,tkd,tke->kde", gamma, off, off) / weight[:, None, None] + floor
+        off = [x - mean for mean in means]
+        covars = np.stack([(gamma[:, i, None] * o).T @ o for i, o in enumerate(off)]) / weight[:, None, None] + floor
         m = {"start": gamma[0], "trans": (pairs + 1e-12) / (pairs + 1e-12).sum(axis=1, keepdims=True), "means": means, "covars": covars}
     order = np.argsort(m["means"][:, 0], kind="stable")
     return {"start": m["start"][order], "trans": m["trans"][order][:, order], "means": m["means"][order], "covars": m["covars"][order], "log_likelihood": expectation(m, x)[2]}
@@ -142,9 +143,9 @@ def fit_chains(x: np.ndarray, k: int, restarts: int, seed: int = 7, warm: dict |
     return max((fit_chain(x, m) for m in starts), key=lambda m: m["log_likelihood"])
 
 
-def state_statistics(m: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def state_statistics(m: dict, x: np.ndarray, probs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(share of rows, mean and deviation of the first feature) of each state over the rows that the filter gives it; a state without rows keeps its fitted values."""
-    of = filter_rows(m, x)[0].argmax(axis=1)
+    of = (filter_rows(m, x)[0] if probs is None else probs).argmax(axis=1)
     k = len(m["start"])
     rows = [x[of == i, 0] for i in range(k)]
     return np.array([len(r) for r in rows]) / len(x), np.array([r.mean() if len(r) else m["means"][i, 0] for i, r in enumerate(rows)]), np.array([r.std() if len(r) else m["covars"][i, 0, 0] ** 0.5 for i, r in enumerate(rows)])
@@ -174,14 +175,16 @@ def label_states(mean: Column, vol: Column) -> Column:
 def filter_rows(model: dict, x: np.ndarray, prior: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """(forward probabilities of each row, log-likelihood); ``prior`` is the last row of the past, never a smoothed one."""
     log_b = _densities(x, model["means"], model["covars"]).T
-    out, total, at = np.empty_like(log_b), 0.0, prior
-    for t, row in enumerate(log_b):
-        ahead = model["start"] if at is None else at @ model["trans"]
-        top = row.max()
-        joint = ahead * np.exp(row - top)
-        total += math.log(joint.sum() + 1e-300) + top
-        at = out[t] = joint / (joint.sum() + 1e-300) if joint.sum() > 0 else ahead
-    return out, total
+    top = log_b.max(axis=1)
+    out, trans = np.exp(log_b - top[:, None]), model["trans"]
+    sums = np.empty(len(out))
+    ahead = model["start"] if prior is None else prior @ trans
+    for t, row in enumerate(out):
+        joint = ahead * row
+        total = sums[t] = joint.sum()
+        at = out[t] = joint / (total + 1e-300) if total > 0 else ahead
+        ahead = at @ trans
+    return out, float((np.log(sums + 1e-300) + top).sum())
 
 
 MODEL = "start array<double>, trans array<double>, means array<double>, covars array<double>"
@@ -194,34 +197,48 @@ def _unpack(row, d: int) -> dict:
     return m | {c: row[c] for c in ("labels", "state_means", "state_vols") if c in row}
 
 
-def fit_grid(features: DataFrame, x: list[str], *, key: str, order: str, states: tuple[int, ...] = (2, 3, 4, 5), restarts: int = 8, tail: float = 0.2) -> DataFrame:
+def _fit_rows(features: DataFrame, x: list[str], *, key: str, order: str, grid: list[tuple[int, int]], most_tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(the history of every series once for each (k, seed) of ``grid``, numbered by ``__fit`` and with a partition of its own for each number; the numbers ``__series`` of the series).
+
+    Hashes of so few large groups would lay several in one task, and small partitions would be joined. Beyond ``most_tasks`` fits, the partitions hold equally many.
+    """
+    rows = features.select(key, order, *x).dropna()
+    names = rows.select(key).distinct()
+    numbered = names.withColumn("__series", F.row_number().over(W.orderBy(key)) - 1)  # one row per series
+    tasks = max(min(names.count() * len(grid), most_tasks), 1)
+    fits = F.sequence(F.col("__series") * len(grid), (F.col("__series") + 1) * len(grid) - 1)
+    return rows.join(F.broadcast(numbered), key).select(order, *x, F.explode(fits).alias("__fit")).repartitionById(tasks, "__fit"), numbered
+
+
+def fit_grid(features: DataFrame, x: list[str], *, key: str, order: str, states: tuple[int, ...] = (2, 3, 4, 5), restarts: int = 8, tail: float = 0.2, most_tasks: int = 10_000) -> DataFrame:
     """One row per (series, k): the likeliest model on the head of the history, BIC, its likelihood per row on the tail, whether it is admissible, and the names of its states.
 
-    A state must hold a share of the rows and last a number of rows, by the fitted transitions. Every restart is a task of its own.
+    A state must hold a share of the rows and last a number of rows, by the fitted transitions. Every restart is a task of its own. The series are counted first, so ``features`` is best a table.
     """
-    seeds = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("seed")) for k in states for r in range(restarts)])
-    grid = features.select(key, order, *x).dropna().withColumn("__g", F.explode(seeds)).select(key, order, *x, "__g.k", "__g.seed")
+    grid = [(k, r) for k in states for r in range(restarts)]
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        k, v = int(pdf["k"].iloc[0]), pdf[x].to_numpy(dtype=float)
+        series, place = divmod(int(pdf["__fit"].iloc[0]), len(grid))
+        (k, seed), v = grid[place], pdf[x].to_numpy(dtype=float)
         head = len(v) - int(len(v) * tail)
         if head < 10 * k:
             return pd.DataFrame()
-        m = fit_chain(v[:head], cold_start(v[:head], k, 7 + int(pdf["seed"].iloc[0])))
-        share, mean, vol = state_statistics(m, v[:head])
+        m = fit_chain(v[:head], cold_start(v[:head], k, 7 + seed))
+        probs, _ = filter_rows(m, v[:head])
+        share, mean, vol = state_statistics(m, v[:head], probs)
         duration = 1 / np.maximum(1 - np.diag(m["trans"]), 1e-12)
         ok = bool((share >= LEAST_SHARE).all() and (duration >= LEAST_DURATION).all())
-        outside = filter_rows(m, v[head:], filter_rows(m, v[:head])[0][-1])[1] / max(len(v) - head, 1)
+        outside = filter_rows(m, v[head:], probs[-1])[1] / max(len(v) - head, 1)
         free = k - 1 + k * (k - 1) + k * len(x) + k * len(x) * (len(x) + 1) / 2
-        one = {key: pdf[key].iloc[0], "k": k, "seed": int(pdf["seed"].iloc[0]), "n": head, "log_likelihood": m["log_likelihood"], "bic": -2 * m["log_likelihood"] + free * math.log(head), "outside": outside, "admissible": ok}
+        one = {"__series": series, "k": k, "seed": seed, "n": head, "log_likelihood": m["log_likelihood"], "bic": -2 * m["log_likelihood"] + free * math.log(head), "outside": outside, "admissible": ok}
         return pd.DataFrame([one | {c: np.ravel(m[c]).tolist() for c in ("start", "trans", "means", "covars")} | {"shares": share.tolist(), "state_means": mean.tolist(), "state_vols": vol.tolist()}])
 
-    kind = dict(features.dtypes)[key]
-    fits = grid.groupBy(key, "k", "seed").applyInPandas(each, f"{key} {kind}, k int, seed int, n bigint, log_likelihood double, bic double, outside double, admissible boolean, {MODEL}, {STATISTICS}")
-    columns = [c for c in fits.columns if c not in (key, "k", "seed")]
-    best = fits.groupBy(key, "k").agg(F.max_by(F.struct(*columns), F.struct("log_likelihood", -F.col("seed"))).alias("m")).select(key, "k", "m.*")
-    return best.withColumn("labels", label_states(F.col("state_means"), F.col("state_vols")))
+    rows, numbered = _fit_rows(features, x, key=key, order=order, grid=grid, most_tasks=most_tasks)
+    fits = rows.groupBy("__fit").applyInPandas(each, f"__series int, k int, seed int, n bigint, log_likelihood double, bic double, outside double, admissible boolean, {MODEL}, {STATISTICS}")
+    columns = [c for c in fits.columns if c not in ("__series", "k", "seed")]
+    best = fits.groupBy("__series", "k").agg(F.max_by(F.struct(*columns), F.struct("log_likelihood", -F.col("seed"))).alias("m"))
+    return best.join(numbered, "__series").select(key, "k", "m.*").withColumn("labels", label_states(F.col("state_means"), F.col("state_vols")))
 
 
 def choose(grid: DataFrame, key: str) -> DataFrame:
@@ -384,16 +401,18 @@ def walk(s: dict, rows: pd.DataFrame, model: dict, x: list[str], order: str, *,
     return list(zip(probs.tolist(), active.tolist(), size.tolist(), action.tolist(), allowed.tolist(), why.tolist(), equity.tolist()))
 
 
-def walk_history(features: DataFrame, x: list[str], *, key: str, order: str, cooldown: int = 3, capital: float = 10_000.0) -> DataFrame:
-    """Filter, switching, book and limits over whole histories: rows of ``with_models`` with ``close, rvol, trend, stale``."""
-    kinds = dict(features.dtypes)
+def walk_history(features: DataFrame, models: DataFrame, x: list[str], *, key: str, order: str, cooldown: int = 3, capital: float = 10_000.0) -> DataFrame:
+    """Filter, switching, book and limits over whole histories: rows with ``close, rvol, trend, stale``, and a model per series, which meets its history once and not on every row."""
+    kinds, names = dict(features.dtypes), [c.split()[0] for c in WALKED.split(", ")]
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+    def each(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(model):
+            return pd.DataFrame()
         pdf = pdf.sort_values(order)
-        done = walk(new_walk(), pdf, _unpack(pdf["model"].iloc[0], len(x)), x, order, cooldown=cooldown, capital=capital)
-        return pd.DataFrame(done, columns=[c.split()[0] for c in WALKED.split(", ")]).assign(**{key: pdf[key].to_numpy(), order: pdf[order].to_numpy()})[[key, order, *[c.split()[0] for c in WALKED.split(", ")]]]
+        done = walk(new_walk(), pdf, _unpack(model.iloc[0], len(x)), x, order, cooldown=cooldown, capital=capital)
+        return pd.DataFrame(done, columns=names).assign(**{key: pdf[key].to_numpy(), order: pdf[order].to_numpy()})[[key, order, *names]]
 
-    return features.groupBy(key).applyInPandas(each, f"{key} {kinds[key]}, {order} {kinds[order]}, {WALKED}")
+    return features.groupBy(key).cogroup(models.groupBy(key)).applyInPandas(each, f"{key} {kinds[key]}, {order} {kinds[order]}, {WALKED}")
 
 
 def staleness(order: str, w, days: int = 1) -> Column:

@@ -26,26 +26,33 @@ def query(oracle: str | None = None):
     return add
 
 
-def _features(spark, d):
-    x = regimes.regime_features(daily_bars(spark, d)).withColumn("stale", regimes.staleness("session", W.partitionBy("symbol").orderBy("session")))
-    return x.dropna(subset=[*X, "trend"])
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark, d, name, make):
+    """A table of the shared folder, written once a session, which every query on regimes reads."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _WRITTEN:
+        path = work_folder(spark, name)
+        make().write.parquet(path)
+        _WRITTEN[at] = path
+    return spark.read.parquet(_WRITTEN[at])
 
 
-_FITTED: dict[tuple[str, str], str] = {}
+def _features(spark, d):
+    def make():
+        x = regimes.regime_features(daily_bars(spark, d)).withColumn("stale", regimes.staleness("session", W.partitionBy("symbol").orderBy("session")))
+        return x.dropna(subset=[*X, "trend"])
+
+    return _once(spark, d, "regime-features", make)
 
 
 def _grid(spark, d):
-    """The fitted grid, written once a session as a table of the shared folder, which every query on regimes reads."""
-    at = (spark.sparkContext.applicationId, d)
-    if at not in _FITTED:
-        path = work_folder(spark, "regime-models")
-        regimes.fit_grid(_features(spark, d), X, key="symbol", order="session").write.parquet(path)
-        _FITTED[at] = path
-    return spark.read.parquet(_FITTED[at])
+    return _once(spark, d, "regime-models", lambda: regimes.fit_grid(_features(spark, d), X, key="symbol", order="session"))
 
 
-def _walk_input(spark, d):
-    return regimes.with_models(_features(spark, d), regimes.choose(_grid(spark, d), "symbol"), "symbol")
+def _models(spark, d):
+    return regimes.choose(_grid(spark, d), "symbol")
 
 
 _WS = "PARTITION BY symbol ORDER BY session"
@@ -80,12 +87,12 @@ def ml1_ml2_regime_models(spark, d):
 @query()
 def str5_str8_walk(spark, d):
     """ML3 and the batch form of the filter, the switching, the book and the limits."""
-    return regimes.walk_history(_walk_input(spark, d), X, key="symbol", order="session")
+    return regimes.walk_history(_features(spark, d), _models(spark, d), X, key="symbol", order="session")
 
 
 @query()
 def str5_str8_streamed_walk(spark, d):
-    stream = jobs.replay(_walk_input(spark, d), "session", "features")
+    stream = jobs.replay(regimes.with_models(_features(spark, d), _models(spark, d), "symbol"), "session", "features")
     return jobs.finish(jobs.walk_stream(stream, X, key="symbol", order="session"), "walk")
 
 

@@ -166,3 +166,62 @@ def test_walk_forward_refits_match_labels_and_freezes_on_drift(spark):
     assert metrics["buy_hold"]["total_return"] == pytest.approx(math.prod(1 + p for _, p in hold) - 1) and metrics["buy_hold"]["passed"] is None
     pnl = np.array([p for _, p in hold])
     assert metrics["buy_hold"]["sharpe"] == pytest.approx(pnl.mean() / pnl.std(ddof=1) * 252**0.5) and metrics["hmm"]["passed"] in (True, False)
+
+
+def test_every_fit_has_a_partition_of_its_own(spark, monkeypatch):
+    def marked(x, m):
+        from pyspark import TaskContext
+
+        return m | {"log_likelihood": float(TaskContext.get().partitionId())}
+
+    monkeypatch.setattr(regimes, "fit_chain", marked)
+    rows = [(s, t, math.sin(t * (i + 1)), math.cos(t)) for i, s in enumerate(("a", "b", "c")) for t in range(80)]
+    df = spark.createDataFrame(rows, "symbol string, t int, ret double, rvol double")
+    grid = lambda **o: regimes.fit_grid(df, ["ret", "rvol"], key="symbol", order="t", **o).collect()
+    fits = grid(restarts=1)
+    assert len(fits) == 12 and len({r["log_likelihood"] for r in fits}) == 12
+    assert {r["log_likelihood"] for r in grid(restarts=1, most_tasks=6)} == set(range(6))  # more fits than tasks are spread evenly
+    assert sorted(r["log_likelihood"] for r in grid(states=(2,), restarts=4)) == [3, 7, 11]  # the likeliest restart is the last one of its series
+
+
+def test_expectation_holds_no_matrix_per_row():
+    import tracemalloc
+
+    n, k = 50_000, 5
+    x = np.random.default_rng(0).normal(size=(n, 2))
+    m = regimes.cold_start(x, k, 1)
+    tracemalloc.start()
+    regimes.expectation(m, x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * n * k * k * 8
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 10, 997])
+def test_expectation_equals_the_recursions_row_by_row(n):
+    _, x = planted(1200)
+    x, m = x[:n], regimes.fit_chains(x, 3, 1)
+    alpha, likelihood = regimes.filter_rows(m, x)
+    b = np.exp(regimes._densities(x, m["means"], m["covars"])).T
+    beta, pairs = np.ones((n, 3)), np.zeros((3, 3))
+    for t in range(n - 2, -1, -1):
+        joint = alpha[t][:, None] * m["trans"] * b[t + 1] * beta[t + 1]
+        pairs += joint / joint.sum()
+        beta[t] = m["trans"] @ (b[t + 1] * beta[t + 1])
+        beta[t] /= beta[t].sum()
+    gamma, got, total = regimes.expectation(m, x)
+    both = alpha * beta
+    assert np.allclose(gamma, both / both.sum(axis=1, keepdims=True)) and np.allclose(got, pairs) and total == pytest.approx(likelihood)
+
+
+def test_a_model_meets_its_history_once(spark):
+    _, x = planted(200)
+    m = regimes.fit_chains(x, 2, 1)
+    close, session = 100 * np.exp(np.cumsum(x[:, 0])), pd.date_range("2024-01-01", periods=200).date
+    one = pd.DataFrame({"session": session, "close": close, "ret": x[:, 0], "rvol": np.abs(x[:, 1]), "trend": np.sin(np.arange(200) / 7), "stale": 0})
+    df = spark.createDataFrame(pd.concat([one.assign(symbol=s) for s in ("a", "b")]))
+    model = ("a", m["start"].tolist(), np.ravel(m["trans"]).tolist(), np.ravel(m["means"]).tolist(), np.ravel(m["covars"]).tolist(), ["STRESS", "CALM_UP"])
+    models = spark.createDataFrame([model], f"symbol string, {regimes.MODEL}, labels array<string>")
+    got = regimes.walk_history(df, models, ["ret", "rvol"], key="symbol", order="session").orderBy("session").collect()
+    want = regimes.walk(regimes.new_walk(), one, regimes._unpack(models.first().asDict(), 2), ["ret", "rvol"], "session", cooldown=3, capital=10_000.0)
+    assert [tuple(r)[1:] for r in got] == list(zip(session, *zip(*want))) and {r["symbol"] for r in got} == {"a"}  # no model, no walk
