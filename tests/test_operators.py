@@ -13,6 +13,7 @@ from asofkit.operators import calendar as cal
 from asofkit.operators import rules, vintages
 from asofkit.operators import windows as win
 from asofkit.operators.asof import asof
+from asofkit.plans import admission
 from asofkit.sources.tables import daily_bars
 
 
@@ -81,6 +82,35 @@ def test_equal_documents_are_judged_once_and_point_to_the_first_attempt(spark, m
     assert [g["reason"] for g in got] == [None, "malformed", None, "malformed", None] * 20 and len({g["canonical"] for g in got}) == 3
 
 
+def _broadcast_unmeasured(df):
+    """The tables that the plan broadcasts by an estimate alone, as no shuffle lies between the file and the driver."""
+    lines, found = df._jdf.queryExecution().executedPlan().toString().split("\n"), []
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            for below in lines[i + 1 :]:
+                if depth(below) <= depth(line) or "Exchange" in below:
+                    break
+                found += [below] if "FileScan" in below else []
+    return found
+
+
+def test_proposals_are_not_broadcast_by_the_size_of_their_keys(spark, tmp_path):
+    spark.range(400).write.parquet(str(tmp_path / "keys"))
+    head, tail = _document(LESS | {"value": 77}).split("77")
+    proposals = spark.read.parquet(str(tmp_path / "keys")).select(F.col("id").alias("attempt"), F.concat(F.lit(head), (F.col("id") % 40).cast("string"), F.lit(tail)).alias("document"))
+    judged = rules.judge_proposals(proposals)
+    assert not _broadcast_unmeasured(judged)
+    got = {r["attempt"]: (r["ok"], r["duplicate_of"]) for r in judged.collect()}
+    assert got == {k: (True, k % 40 if k >= 40 else None) for k in range(400)}
+    assert "Broadcast" not in judged._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["ev21_batch_admission", "prj12_join20_feature_reads", "prj9_prj10_prj11_proposals", "join18_near_duplicates"])
+def test_queries_on_proposals_broadcast_no_table_by_an_estimate(spark, name):
+    assert not _broadcast_unmeasured(admission.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
 REFUSED = [
     ({"op": "and", "args": [LESS, LESS]}, {}, "repeated condition"), (LESS, {"schema_version": 99}, "unsupported version"), (LESS, {"schema_version": 3.0}, "unsupported version"), (LESS, {"entry_minute": -605}, "entry_minute"),
     (LESS, {"entry_minute": 632}, "entry_minute"), (_not(FEATURE), {}, "feature under not"), (_not(_not(FEATURE)), {}, "feature under not"), (LESS | {"value": True}, {}, "value"),
