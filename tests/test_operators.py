@@ -111,6 +111,12 @@ def test_queries_on_proposals_broadcast_no_table_by_an_estimate(spark, name):
     assert not _broadcast_unmeasured(admission.QUERIES[name](spark, "/root/testdata/sf0.001"))
 
 
+def test_the_admission_reads_written_verdicts(spark):
+    admitted = admission.ev21_batch_admission(spark, "/root/testdata/sf0.001")
+    assert "variant" not in admitted._jdf.queryExecution().optimizedPlan().toString()
+    assert admitted.filter("decision = 'admitted'").count() == 3
+
+
 REFUSED = [
     ({"op": "and", "args": [LESS, LESS]}, {}, "repeated condition"), (LESS, {"schema_version": 99}, "unsupported version"), (LESS, {"schema_version": 3.0}, "unsupported version"), (LESS, {"entry_minute": -605}, "entry_minute"),
     (LESS, {"entry_minute": 632}, "entry_minute"), (_not(FEATURE), {}, "feature under not"), (_not(_not(FEATURE)), {}, "feature under not"), (LESS | {"value": True}, {}, "value"),
